@@ -27,8 +27,8 @@ PREFIXES = (0, 4, 5, 6)
 LEAST_TEXTS = 3
 LEAST_Z = 3.5
 SWAP_PENALTY = 10.0
-RIDGE = 2e-4
-STEPS = 600
+RIDGE = 2e-5
+STEPS = 900
 
 #: Groups of identity terms that may stand for one another.
 IDENTITY_TERMS = (
