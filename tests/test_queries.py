@@ -5,7 +5,7 @@ import os
 
 import pytest
 
-from sessionloom.plans.queries import ORACLE_SQL, QUERIES
+from sessionloom.plans.catalog import ORACLE_SQL, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
