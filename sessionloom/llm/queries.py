@@ -68,6 +68,36 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM f GROUP BY conv_id
 """
 
+OP2_SQL = r"""
+WITH t(license, text) AS (VALUES %s),
+f AS (SELECT doc_id, coalesce(source, 'unknown') || '/' || array_to_string(string_split(CAST(doc_id AS VARCHAR), ''), '/') AS path, regexp_replace(lower(text), '^[ \t\n\x0B\f\r]+', '') AS x FROM documents),
+m AS (SELECT path, string_split(x, chr(10)) AS l FROM f WHERE %s),
+k AS (SELECT path, i - 1 AS segment, i = 1 AS first, l[i] AS x FROM (SELECT path, l, unnest(range(1, len(l) + 1)) AS i FROM m)),
+o AS (SELECT path, segment, first, x FROM k WHERE %s),
+s AS (SELECT * FROM o UNION ALL SELECT path, -1, false, string_agg(x, ' ' ORDER BY segment) FROM o GROUP BY path HAVING count(*) > 1),
+tok AS (SELECT path, segment, first, token, count(*) AS tf FROM (SELECT path, segment, first, unnest(regexp_extract_all(x, '[a-z0-9]+(?:[-.][a-z0-9]+)*')) AS token FROM s) GROUP BY ALL),
+own AS (SELECT license, token, count(*) AS tf FROM (SELECT license, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:[-.][a-z0-9]+)*')) AS token FROM t) GROUP BY ALL),
+n AS (SELECT count(DISTINCT (path, segment, first)) + (SELECT count(*) FROM t) AS n FROM tok),
+idf AS (SELECT token, ln((n + 1.0) / (1 + d0 + coalesce(d1, 0))) + 1 AS idf FROM (SELECT token, count(*) AS d0 FROM own GROUP BY token) LEFT JOIN (SELECT token, count(*) AS d1 FROM tok GROUP BY token) USING (token), n),
+w AS (SELECT license, token, tf * idf AS w FROM own JOIN idf USING (token)),
+u AS (SELECT license, token, w / sqrt(sum(w * w) OVER (PARTITION BY license)) AS u FROM w),
+mine AS (SELECT path, segment, first, token, tf * coalesce(idf, (SELECT ln(n + 1.0) + 1 FROM n)) AS w FROM tok LEFT JOIN idf USING (token)),
+len AS (SELECT path, segment, first, sqrt(sum(w * w)) AS len FROM mine GROUP BY ALL),
+c AS (SELECT path, segment, first, license, round(sum(w * u) / any_value(len), 6) AS similarity FROM mine JOIN u USING (token) JOIN len USING (path, segment, first) GROUP BY ALL),
+b AS (SELECT path, arg_min(license, (-similarity, license)) AS license, max(similarity) AS similarity, bool_or(first) AS heads FROM c WHERE similarity >= 0.6 GROUP BY path),
+g AS (SELECT regexp_replace(path, '/[^/]*$', '') AS directory, arg_min(path, (-similarity, path)) AS license_path, arg_min(license, (-similarity, path)) AS given FROM b WHERE heads GROUP BY 1),
+d AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS folder FROM f),
+a AS (SELECT folder, j AS depth, array_to_string(string_split(folder, '/')[1 : j], '/') AS directory FROM (SELECT folder, unnest(range(0, len(string_split(folder, '/')) + 1)) AS j FROM d)),
+r AS (SELECT folder, arg_max(license_path, depth) AS license_path, arg_max(given, depth) AS given FROM a JOIN g USING (directory) GROUP BY folder)
+SELECT doc_id, f.path, coalesce(b.license, given) AS license, coalesce(similarity, 0.0) AS similarity,
+  CASE WHEN b.license IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin, CASE WHEN b.license IS NOT NULL THEN f.path ELSE license_path END AS license_path
+FROM f LEFT JOIN b ON f.path = b.path LEFT JOIN r ON regexp_replace(f.path, '/[^/]*$', '') = r.folder
+""" % (
+    ", ".join(f"('{license}', '{text}')" for license, text in licenses.TEMPLATES),
+    " OR ".join(f"contains(x, '{stem}')" for stem in licenses.STEMS),
+    " OR ".join(f"contains(x, '{stem}')" for stem in licenses.STEMS),
+)
+
 OP4_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -113,4 +143,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op4_decontamination": OP4_SQL, "op5_minhash_neardup": OP5_SQL, "op7_warc": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_license_scan": OP2_SQL, "op4_decontamination": OP4_SQL, "op5_minhash_neardup": OP5_SQL, "op7_warc": OP7_SQL}
