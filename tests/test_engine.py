@@ -146,3 +146,41 @@ def test_imports_without_the_training_subpackage(tmp_path):
     shutil.copy(root / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; n = e.queries(); assert n and not any(k.startswith('op') or k == 'pipeline' for k in n)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_store_appends_only_what_is_new(spark, tmp_path):
+    from sessionloom.sources import store
+
+    rows, path = views.chunks(spark, SF), str(tmp_path / "store")
+    store.append_chunks(rows, path, known=False)
+    n = spark.read.parquet(path).count()
+    more = rows.unionByName(rows.limit(1).withColumn("text", F.lit("something new")))
+    store.append_chunks(more.unionByName(rows.limit(1).withColumn("text", F.lit(" "))), path, known=True)
+    assert spark.read.parquet(path).count() == n + 1
+
+
+def test_vector_index_round_trip_and_guard(spark, tmp_path):
+    from sessionloom.sources import store
+
+    path = tmp_path / "index"
+    v = spark.createDataFrame([(f"c{i}", [1.0, float(i)], {"project": f"p{i % 3}"}) for i in range(30)], "chunk_id string, embedding array<float>, metadata map<string,string>")
+    store.write_vectors(v, str(path))
+    assert store.read_vectors(spark, str(path)).count() == 30
+    store.derive_by_project(v, str(tmp_path / "by"), ["p0", "p2"])
+    assert spark.read.parquet(str(tmp_path / "by")).groupBy("project").count().count() == 2
+    (path / "bad.json").write_text("{broken\n" * 5)
+    with pytest.raises(store.CorruptIndex):
+        store.read_vectors(spark, str(path))
+
+
+def test_exports(spark):
+    from sessionloom.sources import store
+
+    rows = views.timeline(spark, SF)
+    got = store.conversations_json(rows)
+    assert got.count() == rows.select("session_id").distinct().count()
+    assert all(json.loads(r["conversation"])["messages"] for r in got.collect())
+    assert store.report_lines(rows).count() == rows.count()
+    sessions = rows.groupBy("session_id").agg(F.lit(7).cast("long").alias("entries"))
+    parts = rows.select("session_id", F.col("source_seq").cast("string").alias("chunk_id"))
+    assert store.credited(sessions, parts).groupBy("session_id").agg(F.sum("entries").alias("s")).where("s <> 7").count() == 0
