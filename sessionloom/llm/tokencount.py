@@ -6,7 +6,8 @@ there: a suffix whose predecessor it may follow, that is, merging the two alone
 change of the token count. There are finitely many states; those that texts reach are compiled when first met.
 
 Where a piece cannot span two neighbouring characters the state forgets what was before. No piece has a space mark behind
-another character, so words are transitions of their own, and a block of text maps to (head, tokens, tail): the parts
+another character or anything but a letter behind a letter, so the texts between such places are transitions of their own;
+this is checked when a vocabulary is compiled. A block of text maps to (head, tokens, tail): the parts
 before its first and from its last word start, and the tokens between. These maps compose associatively, so the blocks of
 a long text are mapped apart and combined pairwise, level by level, as in a parallel prefix scan.
 """
@@ -25,9 +26,10 @@ LIMIT = 4096
 #: Characters of text that are mapped at once.
 BLOCK = 1 << 16
 #: States that a task keeps, and words with their counts, before it begins anew.
-STATES = 150_000
-WORDS = 250_000
+STATES = 200_000
+WORDS = 500_000
 MARK = "▁"
+_LETTER, _OTHER = r"[^\W\d_]", rf"(?:(?!{MARK})[\W\d_])"
 
 State = tuple[str, tuple[tuple[str | None, int], ...]]
 Map = tuple[str, int, str | None]
@@ -41,7 +43,12 @@ class Transducer:
         self.prefixes = {p[:i] for p in scores for i in range(1, len(p) + 1)}
         self.pairs = {p[i : i + 2] for p in scores for i in range(len(p) - 1)}
         self.by_word = not any(a != MARK and b == MARK for a, b in self.pairs)
-        self.chunks = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if self.by_word else "(?s).+").findall
+        letter = re.compile(_LETTER).match
+        by_letter = self.by_word and not any(letter(a) and not letter(b) for a, b in self.pairs)
+        finer = f"{MARK}+{_OTHER}*{_LETTER}*|{_OTHER}+{_LETTER}*|{_LETTER}+"
+        self.chunks = re.compile(finer if by_letter else f"{MARK}+[^{MARK}]*|[^{MARK}]+" if self.by_word else "(?s).+").findall
+        self.ranks = {p: -score for p, score in scores.items()}
+        self.halves: dict[str, tuple[str, str] | None] = {}
         self.follows: dict[tuple[str | None, str], bool] = {}
         self.words: dict[str, int] = {}
         self.reset()
@@ -63,13 +70,50 @@ class Transducer:
             i = min(found)[1]
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
+    def split(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that the last merge of a piece joins; None for a character or a piece that merges never reach."""
+        if piece not in self.halves:
+            parts, before = list(piece), []
+            while len(parts) > 1:
+                found = min(((self.ranks[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.ranks), default=None)
+                if not found:
+                    break
+                before, i = parts, found[1]
+                parts = [*parts[:i], parts[i] + parts[i + 1], *parts[i + 2 :]]
+            self.halves[piece] = (before[0], before[1]) if len(parts) == 1 and before else None
+        return self.halves[piece]
+
     def may_follow(self, last: str | None, piece: str) -> bool:
+        """Whether ``piece`` is a token behind the token ``last``.
+
+        The merges that make the two are undone, the latest first. At each stage the symbols that touch must not form a
+        piece that would have been merged before the merge undone last: better, or as good and further left.
+        """
         known = self.follows.get((last, piece))
         if known is None:
-            known = self.merged((last or "") + piece) == ([last, piece] if last else [piece])
+            known = len(piece) == 1 or self.split(piece) is not None
+            if known and last:
+                known = self._apart(last, piece)
             self.follows[last, piece] = known
         return known
 
+    def _apart(self, left: str, right: str) -> bool:
+        ranks, never = self.ranks, float("inf")
+        undone, on_right = never, False
+        while True:
+            joint = ranks.get(left + right, never)
+            if joint < undone or (joint == undone != never and on_right):
+                return False
+            one = ranks[left] if len(left) > 1 else -never
+            two = ranks[right] if len(right) > 1 else -never
+            if one == two == -never:
+                return True
+            # of merges of equal rank the right one is later
+            if two >= one:
+                undone, on_right, right = two, True, self.split(right)[0]
+            else:
+                undone, on_right, left = one, False, self.split(left)[1]
+
     def compile(self, number: int, char: str) -> int:
         """The move from a state by a character that it has not met."""
         suffix, tail = self.states[number]
