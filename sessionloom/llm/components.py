@@ -9,7 +9,7 @@ from sessionloom.llm.shared import written
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One step on links (u, v) with u > v.
+    """One step on links (u, v) with u > v. The large step may repeat links; the small step that follows drops them.
 
     Large: every larger neighbour of a node goes to the least node of its neighbourhood. Small: a node and its smaller
     neighbours go there. The least neighbour is a grouped minimum, so a node with very many links is pre-aggregated.
@@ -21,7 +21,8 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         out = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u != v").distinct()
+    out = out.where("u != v")
+    return out if large else out.distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -3,8 +3,10 @@
 Every set gets COORDINATES minhash values. A tree branches its nodes: a node picks BRANCHES coordinates by its own seed,
 and each of its documents goes to one child per picked coordinate, the one of its value there. Two sets of similarity J
 stay together in a child with probability 1 - (1 - J)**BRANCHES, and TREES independent trees bring the recall to target.
-Nodes of at most SMALL sets are compared exhaustively. In larger nodes all sets are compared with pivots, and the node
-branches on unless links already join all its sets; past DEPTH levels what is left is compared exhaustively as well.
+Nodes of at most MEDIUM sets are compared exhaustively. In larger nodes all sets are compared with pivots, and the node
+branches on unless links already join all its sets. Where many sets of a node above SMALL resemble its pivot, branching
+would not part them; such a node is compared exhaustively at once, within a join that yields nothing but links. Past
+DEPTH levels what is left is compared exhaustively as well.
 Comparing means: sizes within the threshold, one-bit sketches within MAX_BITS of each other, then the full shingle sets.
 Pairs that earlier links join already are not compared, as they cannot change a component.
 """
@@ -31,9 +33,14 @@ PICKED = 64
 TREES = 6
 BRANCHES = 2
 SMALL = 40
+MEDIUM = 2000
+#: Sets of a dense node that are compared with one another in one group; larger nodes are cut into pairs of such blocks.
+NODE_BLOCK = 1000
 DEPTH = 5
-#: Differing bits of 128 that a pair at the threshold exceeds with probability under 1e-6: mean 16, deviation 3.7.
-MAX_BITS = 36
+#: The share of a large node that must resemble a pivot for the node to be compared at once.
+DENSE = 0.4
+#: Differing bits of 128 that a pair at the threshold exceeds with a probability of about 5e-5: mean 16, deviation 3.7.
+MAX_BITS = 33
 
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = np.random.default_rng(8).integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -117,23 +124,47 @@ def _alike(a: str, b: str) -> Column:
 def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are similar enough."""
     ids = narrow_side(written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup-ids"))
-    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, set array<long>")
+    sets = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, set array<long>"), "neardup-sets")
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_of_a")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_of_b")), "b")
     shared = F.size(F.array_intersect("set_of_a", "set_of_b"))
     union = F.size("set_of_a") + F.size("set_of_b") - shared
-    return both.where(100 * shared >= THRESHOLD * union).select("a", "b").distinct()
-
-
-def _joined(docs: DataFrame, pairs: DataFrame, labels: DataFrame | None) -> DataFrame | None:
-    """The components after the links among these pairs are added to those known."""
-    pairs = written(pairs.distinct(), "neardup-pairs")
-    if pairs.isEmpty():
-        return labels
-    links = written(_links(docs, pairs), "neardup-links")
-    if labels is not None:
-        links = links.unionByName(labels.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")))
-    return written(components(links), "neardup-components")
+    return both.where(100 * shared >= THRESHOLD * union).select("a", "b")
+
+
+class _Graph:
+    """The links so far as components, and the pairs that have been compared."""
+
+    def __init__(self, docs: DataFrame):
+        self.docs = docs
+        self.labels: DataFrame | None = None
+        self.compared: DataFrame | None = None
+
+    def links(self, pairs: DataFrame) -> DataFrame | None:
+        """The links among those of the pairs that are new."""
+        pairs = pairs.distinct()
+        if self.compared is not None:
+            pairs = pairs.join(self.compared, ["a", "b"], "left_anti")
+        pairs = written(pairs, "neardup-pairs")
+        if pairs.isEmpty():
+            return None
+        self.compared = pairs if self.compared is None else self.compared.unionByName(pairs)
+        return _links(self.docs, pairs)
+
+    def add(self, *found: DataFrame | None) -> None:
+        """Joins what these links connect."""
+        found = [f for f in found if f is not None]
+        if not found:
+            return
+        links = found[0]
+        for f in found[1:]:
+            links = links.unionByName(f)
+        links = written(links, "neardup-links")
+        if links.isEmpty():
+            return
+        if self.labels is not None:
+            links = links.unionByName(self.labels.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")))
+        self.labels = components(links)
 
 
 def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -156,14 +187,51 @@ def _within(entries: DataFrame) -> DataFrame:
     return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-def _with_pivots(entries: DataFrame) -> DataFrame:
-    """Each set of a node against the node's least set of its least and of its greatest component."""
+def _pivots(entries: DataFrame) -> DataFrame:
+    """(node, p): the node's least set of its least and of its greatest component."""
     fields = F.struct("id", "n", "bits_a", "bits_b", "component")
     picked = entries.groupBy("node").agg(F.min_by(fields, F.struct("component", "id")).alias("p"), F.min_by(fields, F.struct(-F.col("component"), "id")).alias("q"))
-    pivots = picked.select("node", F.explode(F.array("p", "q")).alias("p")).select("node", "p.*").alias("p")
-    members = entries.alias("m")
+    return picked.select("node", F.explode(F.array("p", "q")).alias("p")).select("node", "p.*")
+
+
+def _with_pivots(entries: DataFrame) -> DataFrame:
+    """Each set of a node against the node's pivots."""
     on = (F.col("p.node") == F.col("m.node")) & (F.col("p.component") != F.col("m.component")) & _alike("p", "m")
-    return members.join(pivots, on).select(F.least("m.id", "p.id").alias("a"), F.greatest("m.id", "p.id").alias("b"))
+    return entries.alias("m").join(_pivots(entries).alias("p"), on).select(F.least("m.id", "p.id").alias("a"), F.greatest("m.id", "p.id").alias("b"))
+
+
+def _dense_nodes(large: DataFrame) -> DataFrame:
+    """The nodes of which a large share resembles one of the pivots."""
+    on = (F.col("p.node") == F.col("m.node")) & _alike("p", "m")
+    near = large.alias("m").join(_pivots(large).alias("p"), on).groupBy("m.node", "p.id").agg(F.count("*").alias("near"), F.first("members").alias("members"))
+    return near.where(F.col("near") >= DENSE * F.col("members")).select("node").distinct()
+
+
+def _dense_links(docs: DataFrame, dense: DataFrame, reps: DataFrame, level: int) -> DataFrame:
+    """The links within these nodes between different components.
+
+    The full sets travel with the entries and are compared in the join's condition, so pairs that are no links never
+    leave it. A large node goes to many groups, one for each pair of its blocks, so none outgrows a task. In the first level a pair is compared in one of the nodes that it shares.
+    """
+    ids = narrow_side(written(dense.select(F.col("id").alias("doc_id")).distinct(), "neardup-ids"))
+    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"])
+    own = written(sets.join(reps.select("id", "nodes").dropDuplicates(["id"]), "id"), "neardup-sets")
+    parts = F.ceil(F.col("members") / NODE_BLOCK).cast("long")
+    full = dense.select("node", "id", "n", "bits_a", "bits_b", "component", parts.alias("parts")).join(own, "id")
+    full = full.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    first = F.pmod(F.col("id"), F.lit(TREES * BRANCHES)).cast("int")
+    full = full.withColumn("turns", F.concat(F.slice("nodes", first + 1, TREES * BRANCHES), F.slice("nodes", 1, first)))
+    full = full.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "parts", "nodes")
+    full = full.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node", "lo", "hi")
+    a, b = full.alias("a"), full.alias("b")
+    on = (F.col("a.node") == F.col("b.node")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
+    on = on & (F.col("a.id") < F.col("b.id")) & ((F.col("a.block") != F.col("b.block")) | (F.col("a.lo") == F.col("a.hi")))
+    on = on & (F.col("a.component") != F.col("b.component")) & _alike("a", "b")
+    if level == 1:  # the first common node, in an order that begins elsewhere for each id so that all nodes share the work
+        on = on & (F.element_at(F.array_intersect("a.turns", "b.turns"), 1) == F.col("a.node"))
+    shared = F.size(F.array_intersect("a.set", "b.set"))
+    on = on & (100 * shared >= THRESHOLD * (F.size("a.set") + F.size("b.set") - shared))
+    return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -182,26 +250,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     entries = _labelled(reps.select(F.explode("nodes").alias("node"), "id", "n", "bits_a", "bits_b").distinct(), None)
     shared = _mixed_nodes(entries).select("node", "members")
     entries = written(entries.join(shared, "node"), "neardup-entries")
-    labels = _joined(docs, _with_pivots(entries), None)
+    graph = _Graph(docs)
+    graph.add(graph.links(_with_pivots(entries)))
     for level in range(1, DEPTH + 1):
-        known = _labelled(entries, labels)
-        open_nodes = _mixed_nodes(known).select("node", "members")
-        entries = written(known.join(open_nodes, "node"), "neardup-entries")
-        if entries.isEmpty():
+        known = _labelled(entries, graph.labels)
+        entries = written(known.join(_mixed_nodes(known).select("node", "members"), "node"), "neardup-entries")
+        small, large = entries.where(F.col("members") <= SMALL), entries.where(F.col("members") > SMALL)
+        if large.isEmpty() or level == DEPTH:
+            graph.add(graph.links(_within(entries)))
             break
-        small = entries if level == DEPTH else entries.where(F.col("members") <= SMALL)
-        labels = _joined(docs, _within(small), labels)
-        large = entries.where(F.col("members") > SMALL)
-        if level == DEPTH or large.isEmpty():
+        dense_nodes = narrow_side(written(_dense_nodes(large), "neardup-dense"))
+        sparse, dense = large.join(dense_nodes, "node", "left_anti"), large.join(dense_nodes, "node", "left_semi")
+        medium, wide = sparse.where(F.col("members") <= MEDIUM), sparse.where(F.col("members") > MEDIUM)
+        pairs = graph.links(_within(small.unionByName(medium)).unionByName(_with_pivots(wide)))
+        graph.add(pairs, None if dense_nodes.isEmpty() else _dense_links(docs, dense, reps, level))
+        if wide.isEmpty():
             break
-        known = _labelled(large, labels)
-        known = known.join(_mixed_nodes(known).select("node"), "node", "left_semi")
-        labels = _joined(docs, _with_pivots(written(known, "neardup-large")), labels)
-        known = _labelled(large, labels)
+        known = _labelled(wide, graph.labels)
         known = known.join(_mixed_nodes(known).select("node"), "node", "left_semi")
         below = known.join(reps.select("id", "mins").distinct(), "id").mapInArrow(_branch, "node long, id long, n long, bits_a long, bits_b long, component long")
-        below = written(below.distinct(), "neardup-below")
-        entries = below.join(_mixed_nodes(below).select("node", "members"), "node")
+        entries = written(below.distinct(), "neardup-below")
+        if entries.isEmpty():
+            break
+    labels = graph.labels
     rows = sketches.join(classes, key, "left")
     component = F.coalesce("rep", "doc_id")
     if labels is not None:

@@ -200,13 +200,19 @@ def edited(text, n, r=rng):
     return " ".join(w)
 
 
-def test_near_duplicates(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL", 20)  # so that the large group takes the ways of large nodes
+@pytest.mark.parametrize(("small", "dense"), [(40, 0.4), (20, 0.4), (20, 2.0)])
+def test_near_duplicates(spark, monkeypatch, small, dense):
+    rng = random.Random(11)
+    prose = lambda n: " ".join(rng.choice(VOCABULARY) for _ in range(n))
+    monkeypatch.setattr(neardup, "SMALL", small)  # so that the large group takes the ways of large nodes
+    monkeypatch.setattr(neardup, "MEDIUM", small)
+    monkeypatch.setattr(neardup, "DENSE", dense)
+    monkeypatch.setattr(neardup, "NODE_BLOCK", 30)
     base = prose(150)
-    texts = ODD + [edited(base, rng.randint(0, 8)) for _ in range(120)]
+    texts = ODD + [edited(base, rng.randint(0, 8), rng) for _ in range(120)]
     for _ in range(25):
         t = prose(rng.randint(6, 200))
-        texts += [t, edited(t, 1), edited(t, 3), t.upper().replace("É", "é").replace("Ü", "ü")]
+        texts += [t, edited(t, 1, rng), edited(t, 3, rng), t.upper().replace("É", "é").replace("Ü", "ü")]
     chain = prose(100).split()
     texts += [" ".join(chain[i * 3 : i * 3 + 60]) for i in range(12)]
     got = sorted(neardup.near_duplicates(frame(spark, texts)).collect(), key=lambda r: r["doc_id"])
