@@ -1,7 +1,7 @@
 """License scans: sparse TF-IDF cosine of license lines to templates, then inheritance from the nearest directory above.
 
-Only DataFrame functions run here. The templates and their vocabulary are fixed and small, so they are broadcast; document
-frequencies are counted over all segments of all files.
+Only DataFrame functions run here. The templates are fixed and small, so they are broadcast; document frequencies are
+counted for every token over all segments of all files and joined back by shuffle, those of the commonest tokens by broadcast.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ TEMPLATES = (
 #: A line is a license line if its lower-cased text holds one of these.
 STEMS = ("licens", "licence", "copyright", "spdx", "redistribut", "public domain", "creative commons")
 THRESHOLD = 0.6
+#: A token with at least this fraction of all frequencies is common: so few are broadcast, so that none outgrows a task.
+COMMON = 1000
 TOKEN = r"[a-z0-9]+(?:[-.][a-z0-9]+)*"
 
 
@@ -67,15 +69,16 @@ def similarities(segments: DataFrame) -> DataFrame:
     key = ["path", "segment", "first"]
     found = written(tokens(segments, *key), "license-tokens")
     n = found.select(*key).distinct().count() + len(TEMPLATES)
-    vocabulary = own.groupBy("token").agg(F.count("*").alias("df0"))  # fixed by TEMPLATES
-    seen = found.join(F.broadcast(vocabulary.select("token")), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df1"))
-    idf = vocabulary.join(seen, "token", "left").select("token", (F.log(F.lit(n + 1.0) / (1 + F.col("df0") + F.coalesce("df1", F.lit(0)))) + 1).alias("idf"))
-    idf = written(idf, "license-idf")
-    rare = F.log(F.lit(n + 1.0)) + 1  # of a token that no template has
-    weighed = own.join(F.broadcast(idf), "token").select("license", "token", (F.col("tf") * F.col("idf")).alias("w"))
+    df = own.select("token").unionByName(found.select("token")).groupBy("token").agg(F.count("*").alias("df"))
+    idf = written(df.select("token", "df", (F.log(F.lit(n + 1.0) / (1 + F.col("df"))) + 1).alias("idf")), "license-idf")
+    total = idf.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
+    common = idf.where(F.col("df") * COMMON >= total).select("token", "idf")
+    rest = idf.where(F.col("df") * COMMON < total).select("token", "idf")
+    weighed = idf.join(F.broadcast(own), "token").select("license", "token", (F.col("tf") * F.col("idf")).alias("w"))
     norms = weighed.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     weighed = written(weighed.join(norms, "license").select("license", F.col("token").alias("_token"), (F.col("w") / F.col("norm")).alias("u")), "license-weights")
-    mine = found.join(F.broadcast(idf), "token", "left").select(*key, "token", (F.col("tf") * F.coalesce("idf", rare)).alias("w"))
+    known = found.join(F.broadcast(common), "token").unionByName(found.join(F.broadcast(common.select("token")), "token", "left_anti").join(rest, "token"))
+    mine = known.select(*key, "token", (F.col("tf") * F.col("idf")).alias("w"))
     lengths = mine.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
     dots = mine.join(F.broadcast(weighed), F.col("token") == F.col("_token")).groupBy(*key, "license").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("length"), 6)

@@ -90,6 +90,14 @@ def test_license_scan(spark):
     assert by["z/c"]["origin"] == by["top"]["origin"] == by[None]["origin"] == "none"
 
 
+@pytest.mark.parametrize("common", [1, 1000])
+def test_license_frequencies_of_all_tokens(spark, monkeypatch, common):
+    monkeypatch.setattr(licenses, "COMMON", common)  # 1: all tokens take the way of the rare ones
+    files = [(f"{i}/a", "x\nThis file is released under the MIT License.") for i in range(200)]
+    got = licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()
+    assert [r["license"] for r in got] == ["MIT"] * 200 and min(r["similarity"] for r in got) > 0.7
+
+
 # 3
 
 
