@@ -1,4 +1,4 @@
-"""License scans: sparse TF-IDF cosine of license lines to templates, then inheritance from the nearest directory above.
+"""License scans: sparse TF-IDF cosine of license lines, blocks and files to templates, then inheritance from the nearest directory above.
 
 Only DataFrame functions run here. The templates are fixed and small, so they are broadcast; document frequencies are
 counted for every token over all segments of all files and joined back by shuffle, those of the commonest tokens by broadcast.
@@ -6,6 +6,9 @@ counted for every token over all segments of all files and joined back by shuffl
 
 from __future__ import annotations
 
+import pkgutil
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,28 @@ TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0."),
 )
+_GNU = {"AGPL-3.0": ("GNU Affero General Public License", 3), "GPL-2.0": ("GNU General Public License", 2), "GPL-3.0": ("GNU General Public License", 3), "LGPL-3.0": ("GNU Lesser General Public License", 3)}
+_GNU_TERMS = "This program is free software: you can redistribute it and/or modify it under the terms of the {0} as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_GNU_REST = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {0} for more details. You should have received a copy of the {0} along with this program. If not, see <https://www.gnu.org/licenses/>."
+#: Usual headers and titles by license id.
+HEADERS = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("ISC", "ISC License"),
+    ("MIT", "The MIT License (MIT)"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    *((license, _GNU_TERMS.format(*of)) for license, of in _GNU.items()),
+    *((license, f"{_GNU_TERMS} {_GNU_REST}".format(*of)) for license, of in _GNU.items()),
+)
+#: The licenses whose full text lies in licensetexts.
+FULL = ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0")
+#: Lines that a header at the beginning of a file may consist of.
+COMMENT = r"^\s*(#|//|/?\*|--|;|%|<!--|$)"
 #: A line is a license line if its lower-cased text holds one of these.
 STEMS = ("licens", "licence", "copyright", "spdx", "redistribut", "public domain", "creative commons")
 THRESHOLD = 0.6
@@ -36,6 +61,21 @@ COMMON = 1000
 TOKEN = r"[a-z0-9]+(?:[-.][a-z0-9]+)*"
 
 
+def full_text(license: str) -> str:
+    return pkgutil.get_data("sessionloom.llm", f"licensetexts/{license}.txt").decode()
+
+
+def templates() -> list[tuple[str, int, str]]:
+    """(license, form, text): the notices, headers, SPDX lines and full texts that segments are compared with."""
+    spdx = []
+    for license in dict(TEMPLATES):
+        spdx += [(license, f"SPDX-License-Identifier: {license}{end}") for end in ("", *(("-only", "-or-later") if license in _GNU else ()))]
+    # the AGPL's own text is not here: its terms are those of the GPL under its name, save section 13
+    affero = re.sub(r"(?i)GNU\s+General\s+Public\s+License", "GNU Affero General Public License", full_text("GPL-3.0"))
+    found = [*TEMPLATES, *HEADERS, *spdx, *((license, full_text(license)) for license in FULL), ("AGPL-3.0", affero)]
+    return [(license, form, text) for form, (license, text) in enumerate(found)]
+
+
 def _marked(text: Column) -> Column:
     found = F.lit(False)
     for stem in STEMS:
@@ -46,13 +86,24 @@ def _marked(text: Column) -> Column:
 def segments(files: DataFrame) -> DataFrame:
     """(path, segment, first, text): each license line of a file, and all of them together as segment -1.
 
-    ``first`` tells that nothing but white space stands before the line. Lines are split at newlines and lower-cased.
+    Of a file with a license line also the whole file (-2), the comment that it begins with (-3) and its blocks between
+    blank lines (-4 and below) are segments, if they have more than one line and a license line. ``first`` tells that
+    nothing but white space stands before the line; a whole file is first. Lines are split at newlines and lower-cased.
     """
-    lines = files.select("path", F.lower("text").alias("t")).where(_marked(F.col("t"))).select("path", F.split(F.ltrim(F.regexp_replace("t", r"^\s+", "")), "\n").alias("lines"))
+    lines = written(files.select("path", F.lower("text").alias("t")).where(_marked(F.col("t"))).select("path", F.split(F.ltrim(F.regexp_replace("t", r"^\s+", "")), "\n").alias("lines")), "license-lines")
     kept = lines.select("path", F.posexplode("lines").alias("segment", "text")).where(_marked(F.col("text")))
     kept = kept.select("path", F.col("segment").cast("long").alias("segment"), (F.col("segment") == 0).alias("first"), "text")
     chosen = lines.select("path", F.filter("lines", _marked).alias("own")).where("size(own) > 1")
-    return kept.unionByName(chosen.select("path", F.lit(-1).cast("long").alias("segment"), F.lit(False).alias("first"), F.array_join("own", " ").alias("text")))
+    joined = chosen.select("path", F.lit(-1).cast("long").alias("segment"), F.lit(False).alias("first"), F.array_join("own", " ").alias("text"))
+    code = F.array_position(F.transform("lines", lambda x: x.rlike(COMMENT)), False)
+    head = F.when(code == 0, F.lit(None)).otherwise(F.array_join(F.slice("lines", 1, F.greatest(code - 1, F.lit(0)).cast("int")), "\n"))
+    wide = lines.select("path", F.array_join("lines", "\n").alias("text"), head.alias("head"))
+    blocks = wide.select("path", F.posexplode(F.split("text", r"\n[ \t\r]*\n")).alias("at", "text"))
+    blocks = blocks.select("path", (F.lit(-4) - F.col("at")).cast("long").alias("segment"), F.lit(False).alias("first"), "text")
+    whole = wide.select("path", F.lit(-2).cast("long").alias("segment"), F.lit(True).alias("first"), "text")
+    heads = wide.select("path", F.lit(-3).cast("long").alias("segment"), F.lit(False).alias("first"), F.col("head").alias("text")).where("head is not null")
+    several = whole.unionByName(heads).unionByName(blocks).where(F.contains(F.trim("text"), F.lit("\n")) & _marked(F.col("text")))
+    return kept.unionByName(joined).unionByName(several)
 
 
 def tokens(segments: DataFrame, *key: str) -> DataFrame:
@@ -64,23 +115,23 @@ def tokens(segments: DataFrame, *key: str) -> DataFrame:
 def similarities(segments: DataFrame) -> DataFrame:
     """(path, segment, first, license, similarity) of the segments whose cosine to a template reaches THRESHOLD."""
     spark = segments.sparkSession
-    templates = spark.createDataFrame(list(TEMPLATES), "license string, text string")
-    own = tokens(templates, "license")
+    texts = templates()
+    own = tokens(spark.createDataFrame(texts, "license string, form int, text string"), "license", "form")
     key = ["path", "segment", "first"]
     found = written(tokens(segments, *key), "license-tokens")
-    n = found.select(*key).distinct().count() + len(TEMPLATES)
+    n = found.select(*key).distinct().count() + len(texts)
     df = own.select("token").unionByName(found.select("token")).groupBy("token").agg(F.count("*").alias("df"))
     idf = written(df.select("token", "df", (F.log(F.lit(n + 1.0) / (1 + F.col("df"))) + 1).alias("idf")), "license-idf")
     total = idf.agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]
     common = idf.where(F.col("df") * COMMON >= total).select("token", "idf")
     rest = idf.where(F.col("df") * COMMON < total).select("token", "idf")
-    weighed = idf.join(F.broadcast(own), "token").select("license", "token", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighed.groupBy("license").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    weighed = written(weighed.join(norms, "license").select("license", F.col("token").alias("_token"), (F.col("w") / F.col("norm")).alias("u")), "license-weights")
+    weighed = idf.join(F.broadcast(own), "token").select("license", "form", "token", (F.col("tf") * F.col("idf")).alias("w"))
+    norms = weighed.groupBy("form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    weighed = written(weighed.join(norms, "form").select("license", "form", F.col("token").alias("_token"), (F.col("w") / F.col("norm")).alias("u")), "license-weights")
     known = found.join(F.broadcast(common), "token").unionByName(found.join(F.broadcast(common.select("token")), "token", "left_anti").join(rest, "token"))
     mine = known.select(*key, "token", (F.col("tf") * F.col("idf")).alias("w"))
     lengths = mine.groupBy(*key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
-    dots = mine.join(F.broadcast(weighed), F.col("token") == F.col("_token")).groupBy(*key, "license").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
+    dots = mine.join(F.broadcast(weighed), F.col("token") == F.col("_token")).groupBy(*key, "license", "form").agg(F.sum(F.col("w") * F.col("u")).alias("dot"))
     cosine = F.round(F.col("dot") / F.col("length"), 6)
     return dots.join(lengths, key).select(*key, "license", cosine.alias("similarity")).where(F.col("similarity") >= THRESHOLD)
 

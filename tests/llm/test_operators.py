@@ -98,6 +98,29 @@ def test_license_frequencies_of_all_tokens(spark, monkeypatch, common):
     assert [r["license"] for r in got] == ["MIT"] * 200 and min(r["similarity"] for r in got) > 0.7
 
 
+def test_license_texts_headers_and_spdx(spark):
+    want, files = [], []
+
+    def add(license, text):
+        want.append(license)
+        files.append((f"{len(files)}/f", text))
+
+    for license in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC0-1.0", "GPL-2.0", "GPL-3.0", "ISC", "LGPL-3.0", "MIT", "MPL-2.0"):
+        add(license, licenses.full_text(license).replace("Copyright (c)", "Copyright (c) 2024 Jane Roe"))
+    gpl = licenses.full_text("GPL-3.0")
+    network = re.sub(r"(?i)GNU(\s+)General(\s+)Public", r"GNU Affero\1General\2Public", gpl.split("13. Use with")[0] + "14. Revised" + gpl.split("14. Revised")[1])
+    add("AGPL-3.0", network)
+    for license, line in [("MIT", "SPDX-License-Identifier: MIT"), ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0"), ("GPL-2.0", "# SPDX-License-Identifier: GPL-2.0-only")]:
+        add(license, "first = 1\n" + line + "\ncode = 2")
+    header = "Licensed under the Apache License, Version 2.0 (the 'License');\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0\n"
+    add("Apache-2.0", "".join(f"# {x}\n" for x in header.split("\n")) + "import os\nprint(os.name)\n")
+    for version in (2, 3):
+        terms = f"This program is free software; you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation; either version {version} of the License, or\n(at your option) any later version."
+        add(f"GPL-{version}.0", "/*\n" + "\n".join(f" * {x}" for x in terms.split("\n")) + "\n */\nint main() {}\n")
+    got = {r["path"]: r for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert [got[path]["license"] for path, _ in files] == want
+
+
 # 3
 
 
