@@ -207,19 +207,21 @@ def _dense_nodes(large: DataFrame) -> DataFrame:
     return near.where(F.col("near") >= DENSE * F.col("members")).select("node").distinct()
 
 
-def _dense_links(docs: DataFrame, dense: DataFrame, reps: DataFrame, level: int) -> DataFrame:
+def _dense_links(docs: DataFrame, dense: DataFrame, level: int) -> DataFrame:
     """The links within these nodes between different components.
 
     The full sets travel with the entries and are compared in the join's condition, so pairs that are no links never
-    leave it. A large node goes to many groups, one for each pair of its blocks, so none outgrows a task. In the first level a pair is compared in one of the nodes that it shares.
+    leave it. A large node goes to many groups, one for each pair of its blocks, so none outgrows a task. In the first level a pair is compared in one of the dense nodes that it shares.
     """
     ids = narrow_side(written(dense.select(F.col("id").alias("doc_id")).distinct(), "neardup-ids"))
     sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"])
-    own = written(sets.join(reps.select("id", "nodes").dropDuplicates(["id"]), "id"), "neardup-sets")
+    # of an id's nodes only the dense ones count: a pair that meets in another first is still compared in one of these
+    nodes = dense.select("id", "node").groupBy("id").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
+    own = written(sets.join(nodes, "id"), "neardup-sets")
     parts = F.ceil(F.col("members") / NODE_BLOCK).cast("long")
     full = dense.select("node", "id", "n", "bits_a", "bits_b", "component", parts.alias("parts")).join(own, "id")
     full = full.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    first = F.pmod(F.col("id"), F.lit(TREES * BRANCHES)).cast("int")
+    first = F.pmod(F.col("id"), F.size("nodes").cast("long")).cast("int")
     full = full.withColumn("turns", F.concat(F.slice("nodes", first + 1, TREES * BRANCHES), F.slice("nodes", 1, first)))
     full = full.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "parts", "nodes")
     full = full.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node", "lo", "hi")
@@ -227,7 +229,7 @@ def _dense_links(docs: DataFrame, dense: DataFrame, reps: DataFrame, level: int)
     on = (F.col("a.node") == F.col("b.node")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
     on = on & (F.col("a.id") < F.col("b.id")) & ((F.col("a.block") != F.col("b.block")) | (F.col("a.lo") == F.col("a.hi")))
     on = on & (F.col("a.component") != F.col("b.component")) & _alike("a", "b")
-    if level == 1:  # the first common node, in an order that begins elsewhere for each id so that all nodes share the work
+    if level == 1:  # the first common dense node, in an order that begins elsewhere for each id so that all nodes share the work
         on = on & (F.element_at(F.array_intersect("a.turns", "b.turns"), 1) == F.col("a.node"))
     shared = F.size(F.array_intersect("a.set", "b.set"))
     on = on & (100 * shared >= THRESHOLD * (F.size("a.set") + F.size("b.set") - shared))
@@ -263,7 +265,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sparse, dense = large.join(dense_nodes, "node", "left_anti"), large.join(dense_nodes, "node", "left_semi")
         medium, wide = sparse.where(F.col("members") <= MEDIUM), sparse.where(F.col("members") > MEDIUM)
         pairs = graph.links(_within(small.unionByName(medium)).unionByName(_with_pivots(wide)))
-        graph.add(pairs, None if dense_nodes.isEmpty() else _dense_links(docs, dense, reps, level))
+        graph.add(pairs, None if dense_nodes.isEmpty() else _dense_links(docs, dense, level))
         if wide.isEmpty():
             break
         known = _labelled(wide, graph.labels)

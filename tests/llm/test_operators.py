@@ -255,6 +255,15 @@ def test_near_duplicates(spark, monkeypatch, small, dense):
     assert neardup.near_duplicates(nulls.where("false")).count() == 0
 
 
+def test_dense_links_of_pairs_that_meet_first_in_another_node(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, text + " y")], "doc_id long, text string")
+    # all share the nodes 100 to 111, of which only 105 is dense
+    dense = spark.createDataFrame([(105, i, 56 + (i > 1), 0, 0, i, 3) for i in (1, 2, 3)], "node long, id long, n long, bits_a long, bits_b long, component long, members long")
+    got = sorted(tuple(r) for r in neardup._dense_links(docs, dense, 1).collect())
+    assert got == [(1, 2), (1, 3), (2, 3)]
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
