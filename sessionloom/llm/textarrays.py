@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that are worked on at once; a longer text is cut at word ends.
-BLOCK = 1 << 21
+#: Bytes of text that are worked on at once; a longer text is cut at word ends. Each 64-bit temporary is eight times that.
+BLOCK = 1 << 18
 _RANDOM = np.random.default_rng(20240117)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -30,13 +30,20 @@ ALPHANUMERIC[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]
 
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 to base**(n - 1) modulo 2**64."""
-    if len(_POWERS.get(base, ())) < n:
-        x = np.full(max(n, BLOCK + 4096), base, dtype=np.uint64)
-        x[0] = 1
-        _POWERS[base] = np.cumprod(x, dtype=np.uint64)
+    kept = BLOCK + 4096
+    if n > kept:  # a word of more than a block
+        return _powers(base, n)
+    if base not in _POWERS:
+        _POWERS[base] = _powers(base, kept)
     return _POWERS[base][:n]
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    x = np.full(n, base, dtype=np.uint64)
+    x[0] = 1
+    return np.cumprod(x, dtype=np.uint64)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

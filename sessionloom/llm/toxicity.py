@@ -110,14 +110,14 @@ def choose_terms(sample: DataFrame) -> tuple[list[int], int, int]:
     """The at most TERMS terms that most mark label 1, by the z of the difference of their shares of texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, SPACE), dtype=np.int64)
+        seen = np.zeros((2, SPACE), dtype=np.int32)
         for batch in batches:
             label = np.asarray(batch.column("label"))
             for lo, _, of, terms in term_counts(batch.column("text")):
                 pair = np.unique(of * SPACE + terms)
                 np.add.at(seen, (label[lo + pair // SPACE], pair % SPACE), 1)
         at = np.flatnonzero(seen.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at]), pa.array(seen[1, at])], ["term", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[0, at].astype(np.int64)), pa.array(seen[1, at].astype(np.int64))], ["term", "n0", "n1"])
 
     sizes = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
