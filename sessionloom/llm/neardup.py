@@ -3,21 +3,24 @@
 Every set gets COORDINATES minhash values. A tree branches its nodes: a node picks BRANCHES coordinates by its own seed,
 and each of its documents goes to one child per picked coordinate, the one of its value there. Two sets of similarity J
 stay together in a child with probability 1 - (1 - J)**BRANCHES, and TREES independent trees bring the recall to target.
-Nodes of at most MEDIUM sets are compared exhaustively. In larger nodes all sets are compared with pivots, and the node
-branches on unless links already join all its sets. Where many sets of a node above SMALL resemble its pivot, branching
-would not part them; such a node is compared exhaustively at once, within a join that yields nothing but links. Past
-DEPTH levels what is left is compared exhaustively as well.
+
+A node needs no more than the links that join its components. Where at most SMALL of its sets lie outside its largest
+component, these are compared with all sets of the node, and the node is done. A larger node is compared with PIVOTS of
+its sets, of components drawn by hash, as long as that halves what lies outside; then it branches. A large group of near
+copies so falls together under its pivots, and unlike sets part by branching. What is still large DEPTH levels down is
+compared exhaustively, in blocks. However large a node is, its sets go to many tasks in parts of bounded size.
+
 Comparing means: sizes within the threshold, one-bit sketches within MAX_BITS of each other, then the full shingle sets.
-Pairs that earlier links join already are not compared, as they cannot change a component.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm.components import components
@@ -32,20 +35,25 @@ COORDINATES = 128
 PICKED = 64
 TREES = 6
 BRANCHES = 2
-SMALL = 40
-MEDIUM = 2000
-#: Sets of a dense node that are compared with one another in one group; larger nodes are cut into pairs of such blocks.
-NODE_BLOCK = 1000
-DEPTH = 5
-#: The share of a large node that must resemble a pivot for the node to be compared at once.
-DENSE = 0.4
-#: Differing bits of 128 that a pair at the threshold exceeds with a probability of about 5e-5: mean 16, deviation 3.7.
-MAX_BITS = 33
+#: Sets outside the largest component of a node that are compared with the whole node.
+SMALL = 64
+PIVOTS = 4
+DEPTH = 8
+#: Sets, and shingles of them, of a node that one group compares with pivots or with the sets outside.
+PART_SETS = 256
+PART_SHINGLES = 1 << 20
+#: Sets of a node from which its size travels by broadcast; so few nodes have so many.
+HOT = 1000
+#: Differing bits of 128 that a pair at the threshold exceeds with a probability under 1e-9 (mean 16, deviation 3.7);
+#: the trees themselves lose 6e-8.
+MAX_BITS = 44
 
 _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = np.random.default_rng(8).integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, nodes array<long>, mins binary"
-
+#: What an entry of a node knows of its set; ``mark`` tells apart the texts of rows that share a doc_id.
+ENTRY = "id long, mark long, n long, bits_a long, bits_b long"
+GROUP = ["node", "chunk", "part"]
 
 def _picks(nodes: np.ndarray) -> np.ndarray:
     """For each node BRANCHES different coordinates, drawn by the node's own hash."""
@@ -92,6 +100,10 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", "bits_a", "bits_b", "nodes", "mins"])
 
 
+def _mark(values: np.ndarray) -> np.ndarray:
+    return mixed(values ^ np.uint64(0xA5A5)).sum(dtype=np.uint64)
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_bytes(batch.column(1))
@@ -99,8 +111,10 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = offsets[lo : hi + 1]
             sets = shingle_sets(*word_hashes(data[part[0] : part[-1]], part - part[0]), SHINGLE)
             ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(ends, np.concatenate(sets).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), lists], ["id", "set"])
+            values = np.concatenate(sets)
+            marks = np.array([_mark(x) for x in sets], dtype=np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(ends, values.view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(marks), lists], ["id", "mark", "set"])
 
 
 def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,131 +123,179 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         mins = np.frombuffer(b"".join(batch.column("mins").to_pylist()), dtype=np.uint32).reshape(-1, PICKED)
         children = _children(np.asarray(batch.column("node")).view(np.uint64), mins)
-        rest = [batch.column(c) for c in ("id", "n", "bits_a", "bits_b", "component")]
+        names = ["depth", "id", "mark", "n", "bits_a", "bits_b"]
         for j in range(BRANCHES):
-            yield pa.RecordBatch.from_arrays([pa.array(children[:, j].copy().view(np.int64)), *rest], ["node", "id", "n", "bits_a", "bits_b", "component"])
-
-
-def _alike(a: str, b: str) -> Column:
-    """Whether the sizes and the sketches leave a chance of a link."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    differing = sum(F.bit_count(F.col(f"{a}.bits_{x}").bitwiseXOR(F.col(f"{b}.bits_{x}"))) for x in "ab")
-    return (100 * F.least(n, m) >= THRESHOLD * F.greatest(n, m)) & (differing <= MAX_BITS)
-
-
-def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets are similar enough."""
-    ids = narrow_side(written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "neardup-ids"))
-    sets = written(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, set array<long>"), "neardup-sets")
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_of_a")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_of_b")), "b")
-    shared = F.size(F.array_intersect("set_of_a", "set_of_b"))
-    union = F.size("set_of_a") + F.size("set_of_b") - shared
-    return both.where(100 * shared >= THRESHOLD * union).select("a", "b")
-
-
-class _Graph:
-    """The links so far as components, and the pairs that have been compared."""
-
-    def __init__(self, docs: DataFrame):
-        self.docs = docs
-        self.labels: DataFrame | None = None
-        self.compared: DataFrame | None = None
-
-    def links(self, pairs: DataFrame) -> DataFrame | None:
-        """The links among those of the pairs that are new."""
-        pairs = pairs.distinct()
-        if self.compared is not None:
-            pairs = pairs.join(self.compared, ["a", "b"], "left_anti")
-        pairs = written(pairs, "neardup-pairs")
-        if pairs.isEmpty():
-            return None
-        self.compared = pairs if self.compared is None else self.compared.unionByName(pairs)
-        return _links(self.docs, pairs)
-
-    def add(self, *found: DataFrame | None) -> None:
-        """Joins what these links connect."""
-        found = [f for f in found if f is not None]
-        if not found:
-            return
-        links = found[0]
-        for f in found[1:]:
-            links = links.unionByName(f)
-        links = written(links, "neardup-links")
-        if links.isEmpty():
-            return
-        if self.labels is not None:
-            links = links.unionByName(self.labels.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")))
-        self.labels = components(links)
-
-
-def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
-    entries = entries.select("node", "id", "n", "bits_a", "bits_b")
-    if labels is None:
-        return entries.withColumn("component", F.col("id"))
-    known = labels.select("id", F.col("component").alias("_known"))
-    return entries.join(known, "id", "left").select("node", "id", "n", "bits_a", "bits_b", F.coalesce("_known", "id").alias("component"))
+            yield pa.RecordBatch.from_arrays([pa.array(children[:, j].copy().view(np.int64)), *(batch.column(c) for c in names)], ["node", *names])
 
 
-def _mixed_nodes(entries: DataFrame) -> DataFrame:
-    """(node, members) of the nodes that hold more than one component."""
-    return entries.groupBy("node").agg(F.count("*").alias("members"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("node", "members", "lo", "hi")
-
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The runs of rows of one group; the rows come sorted by GROUP."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in GROUP], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            key = tuple(keys[a])
+            if held and key != last:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _gathered(tables: Iterator[pa.Table], rows: int = 5000) -> Iterator[pa.RecordBatch]:
+    """Small tables put together."""
+    held, n = [], 0
+    for table in tables:
+        if table.num_rows:
+            held.append(table)
+            n += table.num_rows
+        if n >= rows:
+            yield from pa.concat_tables(held).combine_chunks().to_batches()
+            held, n = [], 0
+    if held:
+        yield from pa.concat_tables(held).combine_chunks().to_batches()
+
+
+def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each group that have a partner in another component which sizes and sketches do not rule out.
+
+    Of the two one is short: a pivot, or a set outside the largest component.
+    """
 
-def _within(entries: DataFrame) -> DataFrame:
-    """All pairs of a node that are in different components and may be links; the rest never leaves the join."""
-    a, b = entries.alias("a"), entries.alias("b")
-    on = (F.col("a.node") == F.col("b.node")) & (F.col("a.id") < F.col("b.id")) & (F.col("a.component") != F.col("b.component")) & _alike("a", "b")
-    return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    def of(group: pa.Table) -> pa.Table:
+        col = lambda c: group.column(c).to_numpy()
+        n, component, short = col("n"), col("component"), np.flatnonzero(col("short"))
+        bits = (col(c).view(np.uint64) for c in ("bits_a", "bits_b"))
+        differing = sum(np.bitwise_count(x[short][:, None] ^ x[None]).astype(np.int64) for x in bits)
+        sizes = 100 * np.minimum(n[short][:, None], n[None]) >= THRESHOLD * np.maximum(n[short][:, None], n[None])
+        alike = (differing <= MAX_BITS) & sizes & (component[short][:, None] != component[None])
+        keep = alike.any(axis=0)
+        keep[short] |= alike.any(axis=1)
+        return group.select([*GROUP, "id", "mark", "component", "short"]).filter(pa.array(keep))
+
+    yield from _gathered(map(of, _groups(batches)))
+
+
+def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each group links between short sets and others that join its components: fewer than it has components."""
+
+    def of(group: pa.Table) -> pa.Table:
+        lists = group.column("set").chunk(0)
+        starts = np.asarray(lists.offsets)
+        values = np.asarray(lists.values)[starts[0] : starts[-1]]
+        starts, sizes = (starts - starts[0])[:-1], np.diff(starts)
+        ids, root = group.column("id").to_numpy(), group.column("component").to_numpy().copy()
+        known, place = np.unique(values, return_inverse=True)
+        own = np.zeros(len(known), dtype=np.uint8)
+        found: list[tuple[int, int]] = []
+        for i in np.flatnonzero(group.column("short").to_numpy()):
+            mine = place[starts[i] : starts[i] + sizes[i]]
+            own[mine] = 1
+            shared = np.add.reduceat(own[place], starts, dtype=np.int64)
+            own[mine] = 0
+            for j in np.flatnonzero((100 * shared >= THRESHOLD * (sizes[i] + sizes - shared)) & (root != root[i])):
+                if root[j] != root[i]:
+                    found.append((ids[i], ids[j]))
+                    root[root == root[j]] = root[i]
+        return pa.table({c: pa.array([f[k] for f in found], pa.int64()) for k, c in enumerate("ab")})
+
+    yield from _gathered(map(of, _groups(batches)))
 
 
-def _pivots(entries: DataFrame) -> DataFrame:
-    """(node, p): the node's least set of its least and of its greatest component."""
-    fields = F.struct("id", "n", "bits_a", "bits_b", "component")
-    picked = entries.groupBy("node").agg(F.min_by(fields, F.struct("component", "id")).alias("p"), F.min_by(fields, F.struct(-F.col("component"), "id")).alias("q"))
-    return picked.select("node", F.explode(F.array("p", "q")).alias("p")).select("node", "p.*")
+def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``entries`` with the component of each id: itself, or what earlier links say."""
+    if labels is None:
+        return entries.withColumn("component", F.col("id"))
+    known = labels.select(F.col("id").alias("_id"), F.col("component").alias("_known"))
+    return entries.join(known, F.col("id") == F.col("_id"), "left").select(*entries.columns, F.coalesce("_known", "id").alias("component"))
 
 
-def _with_pivots(entries: DataFrame) -> DataFrame:
-    """Each set of a node against the node's pivots."""
-    on = (F.col("p.node") == F.col("m.node")) & (F.col("p.component") != F.col("m.component")) & _alike("p", "m")
-    return entries.alias("m").join(_pivots(entries).alias("p"), on).select(F.least("m.id", "p.id").alias("a"), F.greatest("m.id", "p.id").alias("b"))
+def _mixed_nodes(entries: DataFrame, turn: int) -> DataFrame:
+    """The nodes with more than one component: sizes, the largest component, pivots of components drawn for this turn."""
+    per = entries.groupBy("node", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min(F.struct("id", "mark")).alias("set"), F.min("depth").alias("depth"), F.min("was").alias("was"))
+    drawn = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "component").alias("h"), "set")).getField("set").alias(f"pivot{k}") for k in range(PIVOTS)]
+    top = F.max(F.struct("c", "component", "s"))
+    nodes = per.groupBy("node").agg(F.count("*").alias("components"), F.sum("c").alias("members"), F.sum("s").alias("shingles"), top.alias("top"), F.min("depth").alias("depth"), F.min("was").alias("was"), *drawn)
+    rest = F.col("members") - F.col("top.c")
+    done = (rest <= SMALL) | (F.col("depth") >= DEPTH)
+    mode = F.when(done, "all").when(F.col("was").isNull() | (2 * rest <= F.col("was")), "pivots").otherwise("branch")
+    parts = F.greatest(F.ceil(F.col("members") / PART_SETS), F.ceil(F.col("shingles") / PART_SHINGLES), F.lit(1))
+    chunks = F.when(done, F.greatest(F.ceil(rest / PART_SETS), F.ceil((F.col("shingles") - F.col("top.s")) / PART_SHINGLES), F.lit(1))).otherwise(1)
+    return nodes.where("components > 1").select("node", "members", "depth", rest.alias("rest"), mode.alias("mode"), F.col("top.component").alias("largest"), F.array(*(f"pivot{k}" for k in range(PIVOTS))).alias("pivots"), parts.cast("int").alias("parts"), chunks.cast("int").alias("chunks"))
 
 
-def _dense_nodes(large: DataFrame) -> DataFrame:
-    """The nodes of which a large share resembles one of the pivots."""
-    on = (F.col("p.node") == F.col("m.node")) & _alike("p", "m")
-    near = large.alias("m").join(_pivots(large).alias("p"), on).groupBy("m.node", "p.id").agg(F.count("*").alias("near"), F.first("members").alias("members"))
-    return near.where(F.col("near") >= DENSE * F.col("members")).select("node").distinct()
+def _of_nodes(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``entries`` with what ``nodes`` says of theirs; others go. Nodes with many entries do not meet in one task."""
+    hot = narrow_side(nodes.where(F.col("members") > HOT))
+    rest = nodes.where(F.col("members") <= HOT)
+    cool = entries.join(hot.select("node"), "node", "left_anti").join(rest, "node")
+    return entries.join(hot, "node").unionByName(cool)
 
 
-def _dense_links(docs: DataFrame, dense: DataFrame, level: int) -> DataFrame:
-    """The links within these nodes between different components.
+def _placed(entries: DataFrame) -> DataFrame:
+    """Each entry once for each group that it takes part in.
 
-    The full sets travel with the entries and are compared in the join's condition, so pairs that are no links never
-    leave it. A large node goes to many groups, one for each pair of its blocks, so none outgrows a task. In the first level a pair is compared in one of the dense nodes that it shares.
+    A group is a part of a node with all its short sets, or with a chunk of them where these are many. Short are the
+    pivots, or the sets outside the largest component.
     """
-    ids = narrow_side(written(dense.select(F.col("id").alias("doc_id")).distinct(), "neardup-ids"))
-    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, set array<long>").dropDuplicates(["id"])
-    # of an id's nodes only the dense ones count: a pair that meets in another first is still compared in one of these
-    nodes = dense.select("id", "node").groupBy("id").agg(F.array_sort(F.collect_set("node")).alias("nodes"))
-    own = written(sets.join(nodes, "id"), "neardup-sets")
-    parts = F.ceil(F.col("members") / NODE_BLOCK).cast("long")
-    full = dense.select("node", "id", "n", "bits_a", "bits_b", "component", parts.alias("parts")).join(own, "id")
-    full = full.withColumn("block", F.pmod(F.xxhash64("id"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    first = F.pmod(F.col("id"), F.size("nodes").cast("long")).cast("int")
-    full = full.withColumn("turns", F.concat(F.slice("nodes", first + 1, TREES * BRANCHES), F.slice("nodes", 1, first)))
-    full = full.withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other")).drop("other", "parts", "nodes")
-    full = full.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node", "lo", "hi")
-    a, b = full.alias("a"), full.alias("b")
-    on = (F.col("a.node") == F.col("b.node")) & (F.col("a.lo") == F.col("b.lo")) & (F.col("a.hi") == F.col("b.hi"))
-    on = on & (F.col("a.id") < F.col("b.id")) & ((F.col("a.block") != F.col("b.block")) | (F.col("a.lo") == F.col("a.hi")))
-    on = on & (F.col("a.component") != F.col("b.component")) & _alike("a", "b")
-    if level == 1:  # the first common dense node, in an order that begins elsewhere for each id so that all nodes share the work
-        on = on & (F.element_at(F.array_intersect("a.turns", "b.turns"), 1) == F.col("a.node"))
-    shared = F.size(F.array_intersect("a.set", "b.set"))
-    on = on & (100 * shared >= THRESHOLD * (F.size("a.set") + F.size("b.set") - shared))
-    return a.join(b, on).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    short = F.when(F.col("mode") == "all", F.col("component") != F.col("largest")).otherwise(F.array_contains("pivots", F.struct("id", "mark")))
+    part = F.pmod(F.xxhash64("id", "mark"), F.col("parts")).cast("int")
+    chunk = F.pmod(F.xxhash64("mark", "id"), F.col("chunks")).cast("int")
+    place = lambda c, p, s: F.struct(c.alias("chunk"), p.alias("part"), s.alias("short"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    among = F.when(short, F.transform(upto("parts"), lambda p: place(chunk, p, F.lit(True)))).otherwise(F.array())
+    plain = F.transform(upto("chunks"), lambda c: place(c, part, F.lit(False)))
+    places = F.when((F.col("parts") == 1) & (F.col("chunks") == 1), F.array(place(F.lit(0), F.lit(0), short))).otherwise(F.concat(among, plain))
+    return entries.select("node", "id", "mark", "n", "bits_a", "bits_b", "component", F.explode(places).alias("at")).select("*", "at.*").drop("at")
+
+
+def _node_links(docs: DataFrame, entries: DataFrame) -> DataFrame:
+    """(a, b): links that join the components of these nodes, as far as their short sets reach."""
+    sorted_groups = lambda df: df.repartition(*GROUP).sortWithinPartitions(*GROUP)
+    kept = sorted_groups(_placed(entries)).mapInArrow(_promising, "node long, chunk int, part int, id long, mark long, component long, short boolean")
+    kept = written(kept, "neardup-kept")
+    ids = narrow_side(written(kept.select(F.col("id").alias("doc_id")).distinct(), "neardup-ids"))
+    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, mark long, set array<long>")
+    full = kept.join(sets.dropDuplicates(["id", "mark"]), ["id", "mark"]).select(*GROUP, "id", "component", "short", "set")
+    return written(sorted_groups(full).mapInArrow(_spanning, "a long, b long"), "neardup-links")
+
+
+def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame | None:
+    """The components after these links."""
+    if links.isEmpty():
+        return labels
+    if labels is not None:
+        links = links.unionByName(labels.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")))
+    return components(links)
+
+
+def _join_trees(docs: DataFrame, reps: DataFrame, labels: DataFrame | None, first: int, end: int) -> DataFrame | None:
+    """The components after the links that the trees from ``first`` to before ``end`` add."""
+    nodes = F.slice("nodes", first * BRANCHES + 1, (end - first) * BRANCHES)
+    entries = reps.select(F.explode(nodes).alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("was"), "id", "mark", "n", "bits_a", "bits_b")
+    for turn in itertools.count():
+        entries = _labelled(entries, labels)
+        nodes = written(_mixed_nodes(entries, turn), "neardup-nodes")
+        modes = {r["mode"] for r in nodes.select("mode").distinct().collect()}
+        if not modes:
+            return labels
+        entries = written(_of_nodes(entries.drop("depth"), nodes), "neardup-entries")
+        if modes != {"branch"}:
+            labels = _joined(_node_links(docs, entries.where("mode != 'branch'")), labels)
+        if modes == {"all"}:
+            return labels
+        again = entries.where("mode = 'pivots'").select("node", "depth", F.col("rest").alias("was"), "id", "mark", "n", "bits_a", "bits_b")
+        below = entries.where("mode = 'branch'").select("node", (F.col("depth") + 1).alias("depth"), "id", "mark", "n", "bits_a", "bits_b")
+        below = below.join(reps.select("id", "mark", "mins"), ["id", "mark"]).mapInArrow(_branch, f"node long, depth int, {ENTRY}")
+        entries = again.unionByName(below.withColumn("was", F.lit(None).cast("long")))
+        if "branch" in modes:
+            entries = written(entries, "neardup-below")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -241,40 +303,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no shingles and are linked with nothing. A row with a null doc_id is returned with a null
     component and kept false; it links nothing. Rows that share a doc_id are one document to the links. Equal sets are
-    one class from the start, represented by their least doc_id, so exact copies cost one row each.
+    one class from the start, represented by their least doc_id, so exact copies cost one row each. A very long text is
+    read in blocks; its set is held by the tasks that compare it. An empty table gives an empty result.
+
+    The first tree runs by itself: what it joins need not be compared in the others.
     """
-    sketches = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketches, SKETCH), "neardup-sketches")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sketches = written(docs.mapInArrow(_sketches, SKETCH), "neardup-sketches")
     key = ["set_a", "set_b", "n_shingles"]
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = written(filled.groupBy(*key).agg(F.min("doc_id").alias("rep")), "neardup-classes")
     reps = filled.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    reps = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "bits_a", "bits_b", "nodes", "mins")
-    entries = _labelled(reps.select(F.explode("nodes").alias("node"), "id", "n", "bits_a", "bits_b").distinct(), None)
-    shared = _mixed_nodes(entries).select("node", "members")
-    entries = written(entries.join(shared, "node"), "neardup-entries")
-    graph = _Graph(docs)
-    graph.add(graph.links(_with_pivots(entries)))
-    for level in range(1, DEPTH + 1):
-        known = _labelled(entries, graph.labels)
-        entries = written(known.join(_mixed_nodes(known).select("node", "members"), "node"), "neardup-entries")
-        small, large = entries.where(F.col("members") <= SMALL), entries.where(F.col("members") > SMALL)
-        if large.isEmpty() or level == DEPTH:
-            graph.add(graph.links(_within(entries)))
-            break
-        dense_nodes = narrow_side(written(_dense_nodes(large), "neardup-dense"))
-        sparse, dense = large.join(dense_nodes, "node", "left_anti"), large.join(dense_nodes, "node", "left_semi")
-        medium, wide = sparse.where(F.col("members") <= MEDIUM), sparse.where(F.col("members") > MEDIUM)
-        pairs = graph.links(_within(small.unionByName(medium)).unionByName(_with_pivots(wide)))
-        graph.add(pairs, None if dense_nodes.isEmpty() else _dense_links(docs, dense, level))
-        if wide.isEmpty():
-            break
-        known = _labelled(wide, graph.labels)
-        known = known.join(_mixed_nodes(known).select("node"), "node", "left_semi")
-        below = known.join(reps.select("id", "mins").distinct(), "id").mapInArrow(_branch, "node long, id long, n long, bits_a long, bits_b long, component long")
-        entries = written(below.distinct(), "neardup-below")
-        if entries.isEmpty():
-            break
-    labels = graph.labels
+    reps = reps.select(F.col("doc_id").alias("id"), F.col("set_a").alias("mark"), F.col("n_shingles").alias("n"), "bits_a", "bits_b", "nodes", "mins")
+    reps = written(reps.dropDuplicates(["id", "mark"]), "neardup-reps")
+    labels = None
+    for first, end in ((0, 1), (1, TREES)):
+        labels = _join_trees(docs, reps, labels, first, end)
     rows = sketches.join(classes, key, "left")
     component = F.coalesce("rep", "doc_id")
     if labels is not None:
