@@ -7,8 +7,10 @@ stay together in a child with probability 1 - (1 - J)**BRANCHES, and TREES indep
 A node needs no more than the links that join its components. Where at most SMALL of its sets lie outside its largest
 component, these are compared with all sets of the node, and the node is done. A larger node is compared with PIVOTS of
 its sets, of components drawn by hash, as long as that halves what lies outside; then it branches. A large group of near
-copies so falls together under its pivots, and unlike sets part by branching. What is still large DEPTH levels down is
-compared exhaustively, in blocks. However large a node is, its sets go to many tasks in parts of bounded size.
+copies so falls together under its pivots, and unlike sets part by branching. Sets that resemble most of their node do
+not part by branching; if a share of DENSE does, what lies outside is compared with the whole node at once, as is what is
+still large DEPTH levels down. However large a node is, its sets go to many tasks in parts of bounded size. Pairs that a
+node of the first tree has compared are not compared again in other trees.
 
 Comparing means: sizes within the threshold, one-bit sketches within MAX_BITS of each other, then the full shingle sets.
 """
@@ -36,9 +38,11 @@ PICKED = 64
 TREES = 6
 BRANCHES = 2
 #: Sets outside the largest component of a node that are compared with the whole node.
-SMALL = 64
+SMALL = 250
 PIVOTS = 4
 DEPTH = 8
+#: The share of a node that must resemble its pivots or be its largest component for the node to be compared at once.
+DENSE = 0.5
 #: Sets, and shingles of them, of a node that one group compares with pivots or with the sets outside.
 PART_SETS = 256
 PART_SHINGLES = 1 << 20
@@ -52,8 +56,9 @@ _FACTORS = np.random.default_rng(7).integers(0, 1 << 63, COORDINATES, dtype=np.u
 _SHIFTS = np.random.default_rng(8).integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 SKETCH = "doc_id long, n_shingles long, set_a long, set_b long, bits_a long, bits_b long, nodes array<long>, mins binary"
 #: What an entry of a node knows of its set; ``mark`` tells apart the texts of rows that share a doc_id.
-ENTRY = "id long, mark long, n long, bits_a long, bits_b long"
+ENTRY = "id long, mark long, n long, bits_a long, bits_b long, seen array<long>"
 GROUP = ["node", "chunk", "part"]
+FIELDS = ["id", "mark", "n", "bits_a", "bits_b", "seen"]
 
 def _picks(nodes: np.ndarray) -> np.ndarray:
     """For each node BRANCHES different coordinates, drawn by the node's own hash."""
@@ -123,7 +128,7 @@ def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         mins = np.frombuffer(b"".join(batch.column("mins").to_pylist()), dtype=np.uint32).reshape(-1, PICKED)
         children = _children(np.asarray(batch.column("node")).view(np.uint64), mins)
-        names = ["depth", "id", "mark", "n", "bits_a", "bits_b"]
+        names = ["depth", *FIELDS]
         for j in range(BRANCHES):
             yield pa.RecordBatch.from_arrays([pa.array(children[:, j].copy().view(np.int64)), *(batch.column(c) for c in names)], ["node", *names])
 
@@ -162,10 +167,22 @@ def _gathered(tables: Iterator[pa.Table], rows: int = 5000) -> Iterator[pa.Recor
         yield from pa.concat_tables(held).combine_chunks().to_batches()
 
 
+def _padded(lists: pa.ListArray) -> list[np.ndarray]:
+    """The first, second, ... of each list, 0 where there is none."""
+    sizes = np.asarray(lists.value_lengths().fill_null(0))
+    starts, values = np.asarray(lists.offsets)[:-1], np.asarray(lists.values)
+    out = []
+    for k in range(int(sizes.max(initial=0))):
+        column = np.zeros(len(sizes), dtype=np.int64)
+        column[sizes > k] = values[starts[sizes > k] + k]
+        out.append(column)
+    return out
+
+
 def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows of each group that have a partner in another component which sizes and sketches do not rule out.
 
-    Of the two one is short: a pivot, or a set outside the largest component.
+    Of the two one is short: a pivot, or a set outside the largest component. Pairs that were compared before are left out.
     """
 
     def of(group: pa.Table) -> pa.Table:
@@ -175,6 +192,9 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         differing = sum(np.bitwise_count(x[short][:, None] ^ x[None]).astype(np.int64) for x in bits)
         sizes = 100 * np.minimum(n[short][:, None], n[None]) >= THRESHOLD * np.maximum(n[short][:, None], n[None])
         alike = (differing <= MAX_BITS) & sizes & (component[short][:, None] != component[None])
+        seen = _padded(group.column("seen").chunk(0))
+        for x, y in itertools.product(seen, seen):
+            alike &= (x[short][:, None] != y[None]) | (x[short][:, None] == 0)
         keep = alike.any(axis=0)
         keep[short] |= alike.any(axis=1)
         return group.select([*GROUP, "id", "mark", "component", "short"]).filter(pa.array(keep))
@@ -216,18 +236,25 @@ def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     return entries.join(known, F.col("id") == F.col("_id"), "left").select(*entries.columns, F.coalesce("_known", "id").alias("component"))
 
 
-def _mixed_nodes(entries: DataFrame, turn: int) -> DataFrame:
-    """The nodes with more than one component: sizes, the largest component, pivots of components drawn for this turn."""
+def _mixed_nodes(entries: DataFrame, turn: int, near: DataFrame | None) -> DataFrame:
+    """The nodes with more than one component: sizes, the largest component, pivots of components drawn for this turn.
+
+    ``near`` holds (node, near), the number of sets that resembled the pivots of the turn before.
+    """
     per = entries.groupBy("node", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min(F.struct("id", "mark")).alias("set"), F.min("depth").alias("depth"), F.min("was").alias("was"))
     drawn = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "component").alias("h"), "set")).getField("set").alias(f"pivot{k}") for k in range(PIVOTS)]
     top = F.max(F.struct("c", "component", "s"))
     nodes = per.groupBy("node").agg(F.count("*").alias("components"), F.sum("c").alias("members"), F.sum("s").alias("shingles"), top.alias("top"), F.min("depth").alias("depth"), F.min("was").alias("was"), *drawn)
+    nodes = nodes.where("components > 1")
+    nodes = nodes.withColumn("near", F.lit(0)) if near is None else nodes.join(near, "node", "left")
     rest = F.col("members") - F.col("top.c")
-    done = (rest <= SMALL) | (F.col("depth") >= DEPTH)
-    mode = F.when(done, "all").when(F.col("was").isNull() | (2 * rest <= F.col("was")), "pivots").otherwise("branch")
+    halved = 2 * rest <= F.col("was")
+    dense = ~halved & (F.coalesce("near", F.lit(0)) + F.col("top.c") >= DENSE * F.col("members"))
+    done = (rest <= SMALL) | (F.col("depth") >= DEPTH) | (F.col("was").isNotNull() & dense)
+    mode = F.when(done, "all").when(F.col("was").isNull() | halved, "pivots").otherwise("branch")
     parts = F.greatest(F.ceil(F.col("members") / PART_SETS), F.ceil(F.col("shingles") / PART_SHINGLES), F.lit(1))
     chunks = F.when(done, F.greatest(F.ceil(rest / PART_SETS), F.ceil((F.col("shingles") - F.col("top.s")) / PART_SHINGLES), F.lit(1))).otherwise(1)
-    return nodes.where("components > 1").select("node", "members", "depth", rest.alias("rest"), mode.alias("mode"), F.col("top.component").alias("largest"), F.array(*(f"pivot{k}" for k in range(PIVOTS))).alias("pivots"), parts.cast("int").alias("parts"), chunks.cast("int").alias("chunks"))
+    return nodes.select("node", "members", "depth", rest.alias("rest"), mode.alias("mode"), F.col("top.component").alias("largest"), F.array(*(f"pivot{k}" for k in range(PIVOTS))).alias("pivots"), parts.cast("int").alias("parts"), chunks.cast("int").alias("chunks"))
 
 
 def _of_nodes(entries: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -252,18 +279,21 @@ def _placed(entries: DataFrame) -> DataFrame:
     among = F.when(short, F.transform(upto("parts"), lambda p: place(chunk, p, F.lit(True)))).otherwise(F.array())
     plain = F.transform(upto("chunks"), lambda c: place(c, part, F.lit(False)))
     places = F.when((F.col("parts") == 1) & (F.col("chunks") == 1), F.array(place(F.lit(0), F.lit(0), short))).otherwise(F.concat(among, plain))
-    return entries.select("node", "id", "mark", "n", "bits_a", "bits_b", "component", F.explode(places).alias("at")).select("*", "at.*").drop("at")
+    return entries.select("node", *FIELDS, "component", F.explode(places).alias("at")).select("*", "at.*").drop("at")
 
 
-def _node_links(docs: DataFrame, entries: DataFrame) -> DataFrame:
-    """(a, b): links that join the components of these nodes, as far as their short sets reach."""
+def _node_links(docs: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b), links that join the components of these nodes as far as their short sets reach; (node, near), how many
+    of a node's sets may be linked to a short set.
+    """
     sorted_groups = lambda df: df.repartition(*GROUP).sortWithinPartitions(*GROUP)
     kept = sorted_groups(_placed(entries)).mapInArrow(_promising, "node long, chunk int, part int, id long, mark long, component long, short boolean")
     kept = written(kept, "neardup-kept")
     ids = narrow_side(written(kept.select(F.col("id").alias("doc_id")).distinct(), "neardup-ids"))
     sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, mark long, set array<long>")
     full = kept.join(sets.dropDuplicates(["id", "mark"]), ["id", "mark"]).select(*GROUP, "id", "component", "short", "set")
-    return written(sorted_groups(full).mapInArrow(_spanning, "a long, b long"), "neardup-links")
+    links = written(sorted_groups(full).mapInArrow(_spanning, "a long, b long"), "neardup-links")
+    return links, kept.where("not short").groupBy("node").agg(F.count("*").alias("near"))
 
 
 def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame | None:
@@ -275,23 +305,29 @@ def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame | None:
     return components(links)
 
 
-def _join_trees(docs: DataFrame, reps: DataFrame, labels: DataFrame | None, first: int, end: int) -> DataFrame | None:
-    """The components after the links that the trees from ``first`` to before ``end`` add."""
+def _join_trees(docs: DataFrame, reps: DataFrame, labels: DataFrame | None, first: int, end: int) -> tuple[DataFrame | None, DataFrame | None]:
+    """The components after the links that the trees from ``first`` to before ``end`` add, and (id, mark, node), the
+    roots' nodes that have been compared exhaustively.
+    """
     nodes = F.slice("nodes", first * BRANCHES + 1, (end - first) * BRANCHES)
-    entries = reps.select(F.explode(nodes).alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("was"), "id", "mark", "n", "bits_a", "bits_b")
+    entries = reps.select(F.explode(nodes).alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("was"), *FIELDS)
+    near, seen = None, None
     for turn in itertools.count():
         entries = _labelled(entries, labels)
-        nodes = written(_mixed_nodes(entries, turn), "neardup-nodes")
+        nodes = written(_mixed_nodes(entries, turn, near), "neardup-nodes")
         modes = {r["mode"] for r in nodes.select("mode").distinct().collect()}
         if not modes:
-            return labels
+            return labels, seen
         entries = written(_of_nodes(entries.drop("depth"), nodes), "neardup-entries")
         if modes != {"branch"}:
-            labels = _joined(_node_links(docs, entries.where("mode != 'branch'")), labels)
+            links, near = _node_links(docs, entries.where("mode != 'branch'"))
+            labels = _joined(links, labels)
+        done = entries.where("mode = 'all' and depth = 0").select("id", "mark", "node")
+        seen = done if seen is None else seen.unionByName(done)
         if modes == {"all"}:
-            return labels
-        again = entries.where("mode = 'pivots'").select("node", "depth", F.col("rest").alias("was"), "id", "mark", "n", "bits_a", "bits_b")
-        below = entries.where("mode = 'branch'").select("node", (F.col("depth") + 1).alias("depth"), "id", "mark", "n", "bits_a", "bits_b")
+            return labels, seen
+        again = entries.where("mode = 'pivots'").select("node", "depth", F.col("rest").alias("was"), *FIELDS)
+        below = entries.where("mode = 'branch'").select("node", (F.col("depth") + 1).alias("depth"), *FIELDS)
         below = below.join(reps.select("id", "mark", "mins"), ["id", "mark"]).mapInArrow(_branch, f"node long, depth int, {ENTRY}")
         entries = again.unionByName(below.withColumn("was", F.lit(None).cast("long")))
         if "branch" in modes:
@@ -315,10 +351,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = written(filled.groupBy(*key).agg(F.min("doc_id").alias("rep")), "neardup-classes")
     reps = filled.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     reps = reps.select(F.col("doc_id").alias("id"), F.col("set_a").alias("mark"), F.col("n_shingles").alias("n"), "bits_a", "bits_b", "nodes", "mins")
-    reps = written(reps.dropDuplicates(["id", "mark"]), "neardup-reps")
-    labels = None
-    for first, end in ((0, 1), (1, TREES)):
-        labels = _join_trees(docs, reps, labels, first, end)
+    reps = written(reps.dropDuplicates(["id", "mark"]).withColumn("seen", F.array().cast("array<long>")), "neardup-reps")
+    labels, seen = _join_trees(docs, reps, None, 0, 1)
+    if seen is not None:
+        seen = seen.groupBy("id", "mark").agg(F.array_sort(F.collect_set("node")).alias("seen"))
+        reps = written(reps.drop("seen").join(seen, ["id", "mark"], "left"), "neardup-reps")
+        labels, _ = _join_trees(docs, reps, labels, 1, TREES)
     rows = sketches.join(classes, key, "left")
     component = F.coalesce("rep", "doc_id")
     if labels is not None:
