@@ -38,6 +38,31 @@ def compact(x: Column) -> Column:
     return F.trim(F.regexp_replace(x, r"\s+", " "))
 
 
+def trimmed(x: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(x, r"^\s+|\s+$", "")
+
+
+def byte_cut(x: Column, most: int, mark: str = "...[truncated]") -> Column:
+    """A text of over ``most`` bytes cut there, at the start of a character, with a mark behind."""
+    data = F.encode(x, "UTF-8")
+    end = F.lit(most)
+    for back in (1, 2, 3):  # while the byte behind the cut continues a character
+        after = F.hex(F.substring(data, most + 2 - back, 1))
+        end = F.when((end == most + 1 - back) & after.between("80", "BF"), most - back).otherwise(end)
+    short = F.decode(data.substr(F.lit(1), end), "UTF-8")
+    return F.when(F.octet_length(x) > most, F.concat(short, F.lit(mark))).otherwise(x)
+
+
+def path_tokens(x: Column) -> Column:
+    """The sorted distinct paths that a text names: spans in backticks with a slash, and bare words whose last part has a dot."""
+    is_path = lambda t: F.contains(t, F.lit("/")) & ~F.contains(t, F.lit("://")) & ~F.startswith(t, F.lit("~")) & ~F.contains(t, F.lit("*"))
+    quoted = F.filter(F.transform(F.regexp_extract_all(x, F.lit("`([^`]*)`"), F.lit(1)), trimmed), lambda t: ~F.contains(t, F.lit(" ")) & is_path(t))
+    bare = F.transform(F.split(x, r"\s+"), lambda t: F.regexp_replace(t, r"""^[,.;:()\[\]"']+|[,.;:()\[\]"']+$""", ""))
+    bare = F.filter(bare, lambda t: is_path(t) & ~F.startswith(t, F.lit("`")) & F.contains(F.substring_index(t, "/", -1), F.lit(".")))
+    return F.array_sort(F.array_distinct(F.concat(quoted, bare)))
+
+
 def title(x: Column, size: int = 80) -> Column:
     return F.substring(compact(F.element_at(F.split(x, "\n"), 1)), 1, size)
 

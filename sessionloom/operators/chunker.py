@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.functions.text import byte_cut
+
 TARGET, MOST, OVERLAP, PER_MESSAGE = 1500, 2500, 2, 20
 MESSAGE_BYTES = 4000
 
@@ -46,21 +48,10 @@ def windows(runs: DataFrame) -> DataFrame:
     return sizes.groupBy("agent", "session_id", "day", "run").applyInPandas(walk, "agent string, session_id string, day string, run long, window long, first_seq long, last_seq long, tokens long, messages long")
 
 
-def cut(message: Column, most: int = MESSAGE_BYTES) -> Column:
-    """A message of over ``most`` bytes cut there, at the start of a character, with a mark behind."""
-    data = F.encode(message, "UTF-8")
-    end = F.lit(most)
-    for back in (1, 2, 3):  # while the byte behind the cut continues a character
-        after = F.hex(F.substring(data, most + 2 - back, 1))
-        end = F.when((end == most + 1 - back) & after.between("80", "BF"), most - back).otherwise(end)
-    short = F.decode(data.substr(F.lit(1), end), "UTF-8")
-    return F.when(F.octet_length(message) > most, F.concat(short, F.lit("...[truncated]"))).otherwise(message)
-
-
 def rendered(windows: DataFrame, timeline: DataFrame) -> DataFrame:
     """The windows with their text: ``[HH:MM:SS] role: message`` lines, each message cut at MESSAGE_BYTES with a mark."""
     keys = ["agent", "session_id", "day"]
     inside = windows.join(timeline.select(*keys, "source_seq", "ts", "role", "message"), keys).where(F.col("source_seq").between(F.col("first_seq"), F.col("last_seq")))
-    line = F.concat(F.lit("["), F.date_format("ts", "HH:mm:ss"), F.lit("] "), "role", F.lit(": "), cut(F.col("message")))
+    line = F.concat(F.lit("["), F.date_format("ts", "HH:mm:ss"), F.lit("] "), "role", F.lit(": "), byte_cut(F.col("message"), MESSAGE_BYTES))
     rows = inside.groupBy(*keys, "run", "window").agg(F.sort_array(F.collect_list(F.struct("source_seq", line.alias("line")))).alias("l"))
     return rows.select(*keys, "run", "window", F.array_join(F.col("l.line"), "\n").alias("text"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.functions.text import hash_tokens
+from sessionloom.functions.text import hash_tokens, path_tokens, trimmed
 
 #: Claim rules in order: type, phrases of which one must stand in the line, high risk.
 CLAIMS = (
@@ -30,38 +30,117 @@ def claim_type(line: Column) -> Column:
     return found
 
 
-def claims(timeline: DataFrame) -> DataFrame:
-    """One claim per reply whose first non-empty line makes one."""
-    line = F.element_at(F.filter(F.split("message", "\n"), lambda x: F.trim(x) != ""), 1)
-    replies = timeline.where((F.col("frame_kind") == "agent_reply") & F.exists(F.split("message", "\n"), lambda x: F.trim(x) != ""))
-    typed = replies.withColumn("line", line).withColumn("claim_type", claim_type(F.col("line"))).where("claim_type is not null")
-    return typed.select(F.concat(F.lit("k"), "source_seq").alias("id"), "project", "session_id", "ts", "claim_type", F.col("claim_type").isin(*HIGH_RISK).alias("high_risk"), F.sha2("line", 256).alias("line_sha"), hash_tokens(F.col("line")).alias("hashes"))
+def _first_line(message: Column) -> Column:
+    return F.get(F.filter(F.transform(F.split(message, "\n"), trimmed), lambda x: x != ""), 0)
 
 
-def evidence(timeline: DataFrame) -> DataFrame:
-    """User and system rows that report a result or name a commit: project, session, status, hashes."""
-    rows = timeline.where("frame_kind <> 'agent_reply'").where("message like 'result:%' or message like 'commit %'")
-    status = F.when(F.col("source_seq") % 3 == 0, "fail").otherwise("pass")
-    return rows.select(F.concat(F.lit("e"), "source_seq").alias("evidence_id"), "project", "session_id", status.alias("status"), F.substring_index("message", ":", 1).alias("label"), hash_tokens(F.col("message")).alias("hashes"))
+def claims(timeline: DataFrame) -> DataFrame:
+    """One claim per reply whose first non-empty line makes one, with the commits and the files that it names."""
+    replies = timeline.where(F.col("frame_kind") == "agent_reply").withColumn("line", _first_line(F.col("message")))
+    typed = replies.withColumn("claim_type", claim_type(F.col("line"))).where("line is not null and claim_type is not null")
+    about = F.lower("line")
+    tests = F.contains(about, F.lit("test")) | F.contains(about, F.lit("green")) | F.contains(about, F.lit("zielon"))
+    return typed.select(
+        F.concat(F.lit("k"), "source_seq").alias("id"), "project", "session_id", "ts", "source_seq", "claim_type", F.col("claim_type").isin(*HIGH_RISK).alias("high_risk"),
+        "line", F.sha2("line", 256).alias("line_sha"), hash_tokens(F.col("line")).alias("hashes"), path_tokens(F.col("line")).alias("files"), tests.alias("about_tests"),
+    )
+
+
+def failing(excerpt: Column) -> Column:
+    """Whether a line reports a test result and the word failed, in any case."""
+    return F.exists(F.split(excerpt, "\n"), lambda x: F.contains(x, F.lit("test result:")) & F.contains(F.lower(x), F.lit("failed")))
+
+
+def evidence(timeline: DataFrame, claims: DataFrame) -> DataFrame:
+    """What users and the system report: test runs and commits, with the claim of the session that stands last before them."""
+    test = F.contains("message", F.lit("test result:"))
+    rows = timeline.where((F.col("frame_kind") != "agent_reply") & (test | F.startswith("message", F.lit("commit "))))
+    kind = F.when(test, "test_run").otherwise("commit")
+    line = F.when(test, F.get(F.filter(F.split("message", "\n"), lambda x: F.contains(x, F.lit("test result:"))), 0)).otherwise(_first_line(F.col("message")))
+    found = rows.select(F.concat(F.lit("e"), "source_seq").alias("evidence_id"), "project", "session_id", "source_seq", kind.alias("kind"), trimmed(line).alias("excerpt"))
+    both = found.select("session_id", "source_seq", "evidence_id", F.lit(None).cast("string").alias("id")).unionByName(claims.select("session_id", "source_seq", F.lit(None).cast("string").alias("evidence_id"), "id"))
+    last = F.last("id", ignorenulls=True).over(Window.partitionBy("session_id").orderBy("source_seq"))
+    nearest = both.withColumn("claim_id", last).where("evidence_id is not null").select("evidence_id", "claim_id")
+    commit = F.col("kind") == "commit"
+    none = F.array().cast("array<string>")
+    return found.join(nearest, "evidence_id").select(
+        "evidence_id", "project", "kind", "claim_id", "excerpt", (~commit & failing(F.col("excerpt"))).alias("fails"),
+        F.when(commit, hash_tokens(F.col("excerpt"))).otherwise(none).alias("hashes"), F.when(commit, path_tokens(F.col("excerpt"))).otherwise(none).alias("files"),
+    )
 
 
 def linked(claims: DataFrame, evidence: DataFrame) -> DataFrame:
-    """(id, evidence_id, direct, status): direct in the same session, else by a commit hash that both name in a project.
+    """(id, evidence_id, direct, fails): the claim before it in the session, or a commit or a file that both name in a project.
+
+    All are equi-joins; hashes and files are exploded.
+    """
+    direct = evidence.where("claim_id is not null").select(F.col("claim_id").alias("id"), "evidence_id", F.lit(True).alias("direct"), "fails")
+    sides = []
+    for of in ("hashes", "files"):
+        ours, theirs = claims.select("id", "project", F.explode(of).alias("named")), evidence.select("evidence_id", "project", "fails", F.explode(of).alias("named"))
+        sides.append(ours.join(theirs, ["project", "named"]).select("id", "evidence_id", F.lit(False).alias("direct"), "fails"))
+    return direct.unionByName(sides[0]).unionByName(sides[1]).groupBy("id", "evidence_id").agg(F.bool_or("direct").alias("direct"), F.bool_or("fails").alias("fails"))
 
-    Both are equi-joins; the second goes by the exploded hashes.
+
+def audited(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """(claim_id, project, status, text): the result of each claim that evidence matches, one at most.
+
+    A failing test run fails a claim; otherwise what matches passes it, but a high-risk claim only by direct evidence.
+    Test runs match all claims about tests in their project; these are counted by project, not joined pair by pair.
+    """
+    of_claim = linked(claims, evidence).groupBy("id").agg(F.bool_or("direct").alias("direct"), F.bool_or("fails").alias("fails"))
+    runs = evidence.where("kind = 'test_run'").groupBy("project").agg(F.bool_or("fails").alias("run_fails"), F.min(F.when(F.col("fails"), F.col("excerpt"))).alias("failure"))
+    known = claims.join(of_claim, "id", "left").join(runs, "project", "left")
+    run = F.col("about_tests") & F.col("run_fails").isNotNull()
+    fails = F.coalesce("fails", F.lit(False)) | (run & F.col("run_fails"))
+    matched = F.col("fails").isNotNull() | run
+    direct = F.coalesce("direct", F.lit(False))
+    status = F.when(fails, "fail").when(~F.col("high_risk") | direct, "pass")
+    note = F.when(fails, "Audited against test run output (failing)").when(direct, "Audited and verified via matching direct evidence record").otherwise("Audited and verified via matching circumstantial evidence record")
+    return known.where(matched).select(F.col("id").alias("claim_id"), "project", status.alias("status"), note.alias("text")).where("status is not null")
+
+
+def artifacts(claims: DataFrame, repo_files: DataFrame) -> DataFrame:
+    """(claim_id, project, status, text): for each file that a claim names whether ``repo_files`` (path) holds it."""
+    named = claims.select(F.col("id").alias("claim_id"), "project", F.explode("files").alias("path"))
+    there = repo_files.select("path", F.lit(True).alias("there")).distinct()
+    known = named.join(there, "path", "left").withColumn("there", F.coalesce("there", F.lit(False)))
+    text = F.concat("path", F.when(F.col("there"), ": exists").otherwise(": NOT FOUND"), F.lit(" ls-level filesystem check, re-runnable"))
+    return known.select("claim_id", "project", F.when(F.col("there"), "pass").otherwise("fail").alias("status"), text.alias("text"))
+
+
+def verified(claims: DataFrame, results: DataFrame) -> DataFrame:
+    """Claims with the numbers of their passing and failing results: verified, contradicted, partial, or unverified."""
+    facts = results.groupBy(F.col("claim_id").alias("id")).agg(F.count_if(F.col("status") == "pass").alias("passes"), F.count_if(F.col("status") == "fail").alias("failures"))
+    known = claims.join(facts, "id", "left").na.fill(0, ["passes", "failures"])
+    p, f = F.col("passes"), F.col("failures")
+    status = F.when((p == 0) & (f == 0), "unverified").when(f == 0, "verified").when(p == 0, "contradicted").otherwise("partial")
+    return known.select("id", "project", "session_id", "ts", "claim_type", "high_risk", "passes", "failures", status.alias("status"))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: F.octet_length(w) >= 3)
+
+
+def orphans(intents: DataFrame, claims: DataFrame, results: DataFrame) -> DataFrame:
+    """The ``intents`` (``project``, ``summary``) that no claim and no result of their project addresses.
+
+    One addresses an intent if a word of at least three bytes of either holds one of the other, or one text the other.
+    A word that holds another holds its first three characters, so words are joined by project and trigram; texts without
+    such words are joined by project.
     """
-    c, e = claims.select("id", "project", "session_id", "hashes"), evidence.select("evidence_id", F.col("project").alias("e_project"), F.col("session_id").alias("e_session"), "status", F.col("hashes").alias("e_hashes"))
-    direct = c.join(e, c["session_id"] == e["e_session"]).select("id", "evidence_id", F.lit(True).alias("direct"), "status")
-    by_hash = c.select("id", "project", "session_id", F.explode("hashes").alias("hash")).join(e.select("evidence_id", "e_project", "e_session", "status", F.explode("e_hashes").alias("hash")), "hash")
-    other = by_hash.where("project = e_project and session_id <> e_session").select("id", "evidence_id", F.lit(False).alias("direct"), "status").distinct()
-    return direct.unionByName(other)
-
-
-def verified(claims: DataFrame, links: DataFrame) -> DataFrame:
-    """Contradicted by any failing evidence; verified by passing evidence, which must be direct for high-risk claims."""
-    facts = links.groupBy("id").agg(F.bool_or(F.col("status") == "fail").alias("fails"), F.bool_or("direct").alias("direct"), F.count("*").alias("n"))
-    status = F.when(F.col("n").isNull(), "unverified").when(F.col("fails"), "contradicted").when(~F.col("high_risk") | F.col("direct"), "verified").otherwise("partial")
-    return claims.join(facts, "id", "left").select("id", "project", "session_id", "ts", "claim_type", "high_risk", F.coalesce("n", F.lit(0)).alias("evidence"), status.alias("status"))
+    texts = claims.select("project", F.col("line").alias("text")).unionByName(results.select("project", "text")).distinct()
+    ours = intents.select("project", "summary", F.explode(_words(F.col("summary"))).alias("w"))
+    mine, theirs = ours.select("project", "w").distinct(), texts.select("project", F.explode(_words(F.col("text"))).alias("v")).distinct()
+    grams = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - 2, F.lit(1))), lambda i: w.substr(i, F.lit(3))))
+    holds = mine.withColumn("g", F.explode(grams(F.col("w")))).join(theirs.withColumn("g", F.substring("v", 1, 3)), ["project", "g"]).where(F.contains("w", F.col("v")))
+    held = mine.withColumn("g", F.substring("w", 1, 3)).join(theirs.withColumn("g", F.explode(grams(F.col("v")))), ["project", "g"]).where(F.contains("v", F.col("w")))
+    hit = holds.select("project", "w").unionByName(held.select("project", "w")).distinct()
+    addressed = ours.join(hit, ["project", "w"]).select("project", "summary")
+    bare = intents.where(F.size(_words(F.col("summary"))) == 0).select("project", "summary").distinct().join(texts, "project")
+    low = lambda c: F.lower(c)
+    addressed = addressed.unionByName(bare.where(F.contains(low("text"), low("summary")) | F.contains(low("summary"), low("text"))).select("project", "summary")).distinct()
+    return intents.join(addressed, ["project", "summary"], "left_anti")
 
 
 def fractures(verified: DataFrame, orphans: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sessionloom.functions.text import checkbox, normalize_key, severity, strip_marks, words
+from sessionloom.functions.text import checkbox, normalize_key, severity, strip_marks, trimmed, words
 
 #: Rules in order: type, pattern (case does not matter), confidence.
 RULES = (
@@ -52,6 +52,14 @@ def candidates(timeline: DataFrame) -> DataFrame:
     return typed.select("project", "agent", "session_id", "ts", "source_seq", "day", "kind", F.col("e.type").alias("type"), F.substring(strip_marks(F.col("line")), 1, 160).alias("summary"), level.alias("confidence"), checkbox(F.col("line")).alias("state"))
 
 
+def user_lines(timeline: DataFrame) -> DataFrame:
+    """The typed lines of users that are no results or outcomes; of equal lines the first."""
+    typed = lines(timeline.where("role = 'user'")).withColumn("type", entry_type(F.col("line"))["type"]).withColumn("line", trimmed(F.col("line")))
+    typed = typed.where((F.col("line") != "") & F.col("type").isNotNull() & ~F.col("type").isin("result", "outcome"))
+    first = F.struct("source_seq", "line_no", "type", "session_id", "ts")
+    return typed.groupBy("line").agg(F.min(first).alias("f")).select("line", "f.source_seq", "f.type", "f.session_id", "f.ts")
+
+
 def merged(candidates: DataFrame) -> DataFrame:
     """One record per (kind, project, normalised summary): best confidence, longest summary, the latest provenance."""
     key = normalize_key(F.col("summary"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import text as T
 from sessionloom.operators import dedup, filters, overlay, projections, reports, retrieval, segments, validation
-from sessionloom.plans.queries import _CLAIMS, _LINES, found_intents, query, sha, vectors
+from sessionloom.plans.queries import _LINES, found_intents, query, sha, vectors
 from sessionloom.plans.views import CHUNKS, TIMELINE, chunks, table, timeline
 
 
@@ -237,13 +237,6 @@ def a04_type_counts(spark, sf_dir):
     return found_intents(spark, sf_dir).groupBy("type").agg(F.count("*").alias("n"), F.countDistinct("project").alias("projects"))
 
 
-@query(f"WITH {_CLAIMS} SELECT claim_type, status, count(*) AS n FROM vf GROUP BY ALL")
-def a11_claim_status(spark, sf_dir):
-    from sessionloom.plans.queries import verified_claims
-
-    return verified_claims(spark, sf_dir).groupBy("claim_type", "status").agg(F.count("*").alias("n"))
-
-
 @query(f"WITH {TIMELINE} SELECT project, count(*) AS n FROM tl WHERE ts >= TIMESTAMP '2024-01-01 06:00:00' GROUP BY project")
 def a05_recent(spark, sf_dir):
     return timeline(spark, sf_dir).where("ts >= timestamp '2024-01-01 06:00:00'").groupBy("project").agg(F.count("*").alias("n"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as T
-from sessionloom.operators import chunker, claims, dedup, filters, intents, reports, retrieval, segments
+from sessionloom.operators import chunker, dedup, filters, intents, reports, retrieval, segments
 from sessionloom.plans.views import CHUNKS, TIMELINE, USAGE, chunks, table, timeline, usage
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -409,50 +409,6 @@ def i14_unresolved_records(spark, sf_dir):
     return intents.display(records, 20).select("kind", "project", "summary", "session_id", "ts", F.col("confidence").cast("int").alias("confidence"))
 
 
-_CLAIMS = f"""{TIMELINE}, fl AS (SELECT *, list_filter(string_split(message, chr(10)), lambda x: trim(x, ' ') <> '')[1] AS line FROM tl WHERE frame_kind = 'agent_reply'),
-pd AS (SELECT *, ' ' || regexp_replace(lower(line), '[^0-9a-z]+', ' ', 'g') || ' ' AS p FROM fl WHERE line IS NOT NULL),
-cl AS (SELECT 'k' || source_seq AS id, project, session_id, ts, CASE WHEN contains(p, ' tests pass ') OR contains(p, ' all green ') THEN 'tests_pass' WHEN contains(p, ' deployed ') OR contains(p, ' released ') THEN 'deployed' WHEN contains(p, ' fix ') OR contains(p, ' fixed ') THEN 'fixed' WHEN contains(p, ' commit ') OR contains(p, ' merged ') THEN 'committed' WHEN contains(p, ' done ') OR contains(p, ' completed ') OR contains(p, ' result ') THEN 'done' END AS claim_type, contains(line, 'abc1234') AS named FROM pd),
-cm AS (SELECT *, claim_type <> 'done' AS high_risk FROM cl WHERE claim_type IS NOT NULL),
-ev AS (SELECT 'e' || source_seq AS evidence_id, project, session_id, CASE WHEN source_seq % 3 = 0 THEN 'fail' ELSE 'pass' END AS status, message LIKE '%abc1234%' AS named FROM tl WHERE frame_kind <> 'agent_reply' AND (message LIKE 'result:%' OR message LIKE 'commit %')),
-lk AS (SELECT id, evidence_id, true AS direct, status FROM cm JOIN ev ON cm.session_id = ev.session_id UNION ALL SELECT id, evidence_id, false, status FROM cm JOIN ev ON cm.project = ev.project AND cm.session_id <> ev.session_id WHERE cm.named AND ev.named),
-ft AS (SELECT id, bool_or(status = 'fail') AS fails, bool_or(direct) AS direct, count(*) AS n FROM lk GROUP BY id),
-vf AS (SELECT cm.id, project, session_id, ts, claim_type, high_risk, coalesce(n, 0) AS evidence, CASE WHEN n IS NULL THEN 'unverified' WHEN fails THEN 'contradicted' WHEN NOT high_risk OR direct THEN 'verified' ELSE 'partial' END AS status FROM cm LEFT JOIN ft ON cm.id = ft.id)"""
-
-
-@query(f"WITH {_CLAIMS} SELECT id, claim_type, high_risk FROM cm")
-def i20_claims(spark, sf_dir):
-    return claims.claims(timeline(spark, sf_dir)).select("id", "claim_type", "high_risk")
-
-
-@query(f"WITH {_CLAIMS} SELECT id, evidence_id, direct, status FROM lk")
-def j05_claim_evidence(spark, sf_dir):
-    rows = timeline(spark, sf_dir)
-    return claims.linked(claims.claims(rows), claims.evidence(rows))
-
-
-def verified_claims(spark, sf_dir):
-    rows = timeline(spark, sf_dir)
-    found = claims.claims(rows)
-    return claims.verified(found, claims.linked(found, claims.evidence(rows)))
-
-
-@query(f"WITH {_CLAIMS} SELECT id, claim_type, evidence, status FROM vf")
-def i21_i22_verified(spark, sf_dir):
-    return verified_claims(spark, sf_dir).select("id", "claim_type", "evidence", "status")
-
-
-@query(f"WITH {_CLAIMS} SELECT id, session_id, CASE WHEN status = 'contradicted' AND high_risk THEN 'critical' WHEN status = 'contradicted' THEN 'high' ELSE 'medium' END AS severity FROM vf WHERE status = 'contradicted' OR (status = 'unverified' AND high_risk)")
-def i23_fractures(spark, sf_dir):
-    none = found_intents(spark, sf_dir).where("false")
-    return claims.fractures(verified_claims(spark, sf_dir), none).select("id", "session_id", "severity")
-
-
-@query(f"WITH {_CLAIMS} SELECT id, ts FROM vf WHERE status = 'contradicted' OR (status = 'unverified' AND high_risk) ORDER BY CASE WHEN status = 'contradicted' AND high_risk THEN 0 WHEN status = 'contradicted' THEN 1 ELSE 2 END, ts DESC, id LIMIT 5")
-def i24_clarify(spark, sf_dir):
-    none = found_intents(spark, sf_dir).where("false")
-    return claims.clarify(claims.fractures(verified_claims(spark, sf_dir), none)).select("id", "ts")
-
-
 # Joins and sets
 
 

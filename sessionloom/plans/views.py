@@ -18,8 +18,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per message: ts, agent, session_id, role, message, frame_kind, project, cwd, day, source_seq."""
+def timeline(spark: SparkSession, sf_dir: str, markers: tuple[str, ...] = MARKERS) -> DataFrame:
+    """One row per message: ts, agent, session_id, role, message, frame_kind, project, cwd, day, source_seq.
+
+    Before each text stands one of the ``markers``.
+    """
     conv, turn = F.col("conv_id"), F.col("turn")
     pick = lambda values, at: F.element_at(F.array(*map(F.lit, values)), (at + 1).cast("int"))
     moved = (turn >= 4) & (conv % 6 == 0)
@@ -29,7 +32,7 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
         pick(AGENTS, conv % 5).alias("agent"),
         F.concat(F.lit("s"), conv).alias("session_id"),
         F.coalesce("role", F.lit("")).alias("role"),
-        F.concat(pick(MARKERS, (conv * 7 + turn) % 11), F.coalesce("text", F.lit(""))).alias("message"),
+        F.concat(pick(markers, (conv * 7 + turn) % len(markers)), F.coalesce("text", F.lit(""))).alias("message"),
         F.when(F.col("role") == "user", "user_msg").when(F.col("role") == "assistant", "agent_reply").otherwise("system_note").alias("frame_kind"),
         project.alias("project"),
         F.concat(F.lit("/git/"), project).alias("cwd"),
@@ -39,16 +42,37 @@ def timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-TIMELINE = f"""tl AS (SELECT make_timestamp(CAST(({EPOCH} + conv_id * 600 + turn * 45) * 1000000 AS BIGINT)) AS ts,
+def _timeline_sql(markers: tuple[str, ...]) -> str:
+    listed = ", ".join("'" + m.replace("'", "''").replace("\n", "' || chr(10) || '") + "'" for m in markers)
+    project = "'org' || (conv_id % 3) || '/repo' || (CASE WHEN turn >= 4 AND conv_id % 6 = 0 THEN (conv_id + 1) % 4 ELSE conv_id % 4 END)"
+    return f"""tl AS (SELECT make_timestamp(CAST(({EPOCH} + conv_id * 600 + turn * 45) * 1000000 AS BIGINT)) AS ts,
   (['alpha', 'bravo', 'charlie', 'delta', 'echo'])[conv_id % 5 + 1] AS agent, 's' || conv_id AS session_id, coalesce(role, '') AS role,
-  (['decision: ', '- [ ] ', '- [x] ', 'P0 fix: ', 'let''s ', 'result: done ', 'question: ', 'why: ', 'commit abc1234 ', '', ''])[(conv_id * 7 + turn) % 11 + 1] || coalesce(text, '') AS message,
+  ([{listed}])[(conv_id * 7 + turn) % {len(markers)} + 1] || coalesce(text, '') AS message,
   CASE role WHEN 'user' THEN 'user_msg' WHEN 'assistant' THEN 'agent_reply' ELSE 'system_note' END AS frame_kind,
-  'org' || (conv_id % 3) || '/repo' || (CASE WHEN turn >= 4 AND conv_id % 6 = 0 THEN (conv_id + 1) % 4 ELSE conv_id % 4 END) AS project,
-  '/git/org' || (conv_id % 3) || '/repo' || (CASE WHEN turn >= 4 AND conv_id % 6 = 0 THEN (conv_id + 1) % 4 ELSE conv_id % 4 END) AS cwd,
+  {project} AS project, '/git/' || {project} AS cwd,
   strftime(make_timestamp(CAST(({EPOCH} + conv_id * 600) * 1000000 AS BIGINT)), '%Y-%m-%d') AS day,
   conv_id * 1000 + turn AS source_seq, turn FROM conversations)"""
 
 
+TIMELINE = _timeline_sql(MARKERS)
+
+
+#: What the worklog puts before the texts, by turn: lines that signals, claims and evidence are found in.
+WORK = (
+    "decision: keep the parser small", "- [ ] write src/app.rs tests", "- [x] write src/app.rs tests", "P0 fix: repair the login", "let's ship the importer", "test result: ok. 12 passed", "test result: FAILED. 2 failed",
+    "Insight: caches are cold\nkeep them warm\n", "commit abc1234 src/app.rs", "Fixed src/app.rs, tests pass at abc1234\n", "All checks passed, completed docs/guide.md\n", "outcome: importer shipped\nwith docs", "ultrathink about the index\n  and its size",
+    "plan mode entered\n\n* [ ]  review the plan: step 1: look, step 2: tell", "```\n- [ ] no task\n```\n+ [X] real task\nsource: let's go", "merged abc1234 into main, status report",
+)
+
+
+def worklog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The timeline with the lines of WORK before the texts, and ``chunk``, the session."""
+    return timeline(spark, sf_dir, tuple(w + "\n" for w in WORK)).withColumn("chunk", F.col("session_id"))
+
+
+WORKLOG = _timeline_sql(tuple(w + "\n" for w in WORK))
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per stored chunk: chunk_id, project, agent, kind, frame_kind, day, session_id, text."""
     doc = F.col("doc_id")
