@@ -26,16 +26,15 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): for every id in the links (a, b) the least id that it can reach. Loops until nothing changes."""
+    """(id, component): for every id in the links (a, b) the least id that it can reach. Loops until all are stars."""
     links = links.where("a is not null and b is not null and a != b")
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-    mark = lambda df: tuple(df.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first())
-    seen = mark(edges)
-    while seen[0]:
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    while True:
         edges = written(_star(_star(edges, True), False), "links")
-        now = mark(edges)
-        if now == seen:
+        ends = edges.groupBy("u").agg(F.count("*").alias("n")).select(F.col("u").alias("id"), "n", F.lit(True).alias("end"))
+        both = ends.unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("n"), F.lit(False).alias("end")).distinct())
+        per = both.groupBy("id").agg(F.max("n").alias("n"), F.count_distinct("end").alias("sides"))
+        if per.where("n > 1 or sides > 1").isEmpty():  # each has one neighbour, and none of these has a smaller one
             break
-        seen = now
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

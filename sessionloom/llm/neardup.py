@@ -6,10 +6,10 @@ stay together in a child with probability 1 - (1 - J)**BRANCHES, and TREES indep
 
 A node needs no more than the links that join its components. Where at most SMALL of its sets lie outside its largest
 component, these are compared with all sets of the node, and the node is done. A larger node is compared with PIVOTS of
-its sets, of components drawn by hash, as long as that halves what lies outside; then it branches. A large group of near
-copies so falls together under its pivots, and unlike sets part by branching. Sets that resemble most of their node do
-not part by branching; if a share of DENSE does, what lies outside is compared with the whole node at once, as is what is
-still large DEPTH levels down. However large a node is, its sets go to many tasks in parts of bounded size. Pairs that a
+its sets, of components drawn by hash, and branches, so that unlike sets part. Sets that resemble most of their node do
+not part by branching: where a share of DENSE resembles the pivots, the node is compared with further pivots as long as
+these halve what lies outside, and then what lies outside is compared with the whole node. A large group of near copies so
+falls together under its pivots. What is still large DEPTH levels down is compared exhaustively as well. However large a node is, its sets go to many tasks in parts of bounded size. Pairs that a
 node of the first tree has compared are not compared again in other trees.
 
 Comparing means: sizes within the threshold, one-bit sketches within MAX_BITS of each other, then the full shingle sets.
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.llm.components import components
@@ -39,7 +39,7 @@ TREES = 6
 BRANCHES = 2
 #: Sets outside the largest component of a node that are compared with the whole node.
 SMALL = 250
-PIVOTS = 4
+PIVOTS = 8
 DEPTH = 8
 #: The share of a node that must resemble its pivots or be its largest component for the node to be compared at once.
 DENSE = 0.5
@@ -236,25 +236,26 @@ def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     return entries.join(known, F.col("id") == F.col("_id"), "left").select(*entries.columns, F.coalesce("_known", "id").alias("component"))
 
 
-def _mixed_nodes(entries: DataFrame, turn: int, near: DataFrame | None) -> DataFrame:
-    """The nodes with more than one component: sizes, the largest component, pivots of components drawn for this turn.
+def _draw(turn: int, k: int, chosen: str) -> Column:
+    """The least of this over a node's components draws one, and of the component the set with the least hash ``chosen``."""
+    return F.xxhash64(F.lit(turn), F.lit(k), "component", chosen)
 
-    ``near`` holds (node, near), the number of sets that resembled the pivots of the turn before.
-    """
-    per = entries.groupBy("node", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min(F.struct("id", "mark")).alias("set"), F.min("depth").alias("depth"), F.min("was").alias("was"))
-    drawn = [F.min(F.struct(F.xxhash64(F.lit(turn), F.lit(k), "component").alias("h"), "set")).getField("set").alias(f"pivot{k}") for k in range(PIVOTS)]
-    top = F.max(F.struct("c", "component", "s"))
-    nodes = per.groupBy("node").agg(F.count("*").alias("components"), F.sum("c").alias("members"), F.sum("s").alias("shingles"), top.alias("top"), F.min("depth").alias("depth"), F.min("was").alias("was"), *drawn)
+
+def _mixed_nodes(entries: DataFrame, turn: int) -> DataFrame:
+    """The nodes with more than one component: sizes, the largest component, pivots of components drawn for this turn."""
+    per = entries.groupBy("node", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min(F.xxhash64("id", "mark")).alias("set"), F.min("depth").alias("depth"), F.min("was").alias("was"))
+    drawn = [F.min(_draw(turn, k, "set")).alias(f"pivot{k}") for k in range(PIVOTS)]
+    nodes = per.groupBy("node").agg(
+        F.count("*").alias("components"), F.sum("c").alias("members"), F.sum("s").alias("shingles"), F.max("c").alias("most"), F.max_by("component", "c").alias("largest"), F.max_by("s", "c").alias("of_largest"),
+        F.min("depth").alias("depth"), F.min("was").alias("was"), *drawn,
+    )
     nodes = nodes.where("components > 1")
-    nodes = nodes.withColumn("near", F.lit(0)) if near is None else nodes.join(near, "node", "left")
-    rest = F.col("members") - F.col("top.c")
-    halved = 2 * rest <= F.col("was")
-    dense = ~halved & (F.coalesce("near", F.lit(0)) + F.col("top.c") >= DENSE * F.col("members"))
-    done = (rest <= SMALL) | (F.col("depth") >= DEPTH) | (F.col("was").isNotNull() & dense)
-    mode = F.when(done, "all").when(F.col("was").isNull() | halved, "pivots").otherwise("branch")
+    rest = F.col("members") - F.col("most")
+    done = (rest <= SMALL) | (F.col("depth") >= DEPTH) | F.coalesce(2 * rest > F.col("was"), F.lit(False))
+    mode = F.when(done, "all").otherwise("pivots")
     parts = F.greatest(F.ceil(F.col("members") / PART_SETS), F.ceil(F.col("shingles") / PART_SHINGLES), F.lit(1))
-    chunks = F.when(done, F.greatest(F.ceil(rest / PART_SETS), F.ceil((F.col("shingles") - F.col("top.s")) / PART_SHINGLES), F.lit(1))).otherwise(1)
-    return nodes.select("node", "members", "depth", rest.alias("rest"), mode.alias("mode"), F.col("top.component").alias("largest"), F.array(*(f"pivot{k}" for k in range(PIVOTS))).alias("pivots"), parts.cast("int").alias("parts"), chunks.cast("int").alias("chunks"))
+    chunks = F.when(done, F.greatest(F.ceil(rest / PART_SETS), F.ceil((F.col("shingles") - F.col("of_largest")) / PART_SHINGLES), F.lit(1))).otherwise(1)
+    return nodes.select("node", "members", "depth", rest.alias("rest"), mode.alias("mode"), "largest", F.array(*(f"pivot{k}" for k in range(PIVOTS))).alias("pivots"), parts.cast("int").alias("parts"), chunks.cast("int").alias("chunks"))
 
 
 def _of_nodes(entries: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -265,13 +266,15 @@ def _of_nodes(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     return entries.join(hot, "node").unionByName(cool)
 
 
-def _placed(entries: DataFrame) -> DataFrame:
+def _placed(entries: DataFrame, turn: int) -> DataFrame:
     """Each entry once for each group that it takes part in.
 
     A group is a part of a node with all its short sets, or with a chunk of them where these are many. Short are the
     pivots, or the sets outside the largest component.
     """
-    short = F.when(F.col("mode") == "all", F.col("component") != F.col("largest")).otherwise(F.array_contains("pivots", F.struct("id", "mark")))
+    entries = entries.withColumn("set", F.xxhash64("id", "mark"))
+    pivot = F.arrays_overlap("pivots", F.array(*(_draw(turn, k, "set") for k in range(PIVOTS))))
+    short = F.when(F.col("mode") == "all", F.col("component") != F.col("largest")).otherwise(pivot)
     part = F.pmod(F.xxhash64("id", "mark"), F.col("parts")).cast("int")
     chunk = F.pmod(F.xxhash64("mark", "id"), F.col("chunks")).cast("int")
     place = lambda c, p, s: F.struct(c.alias("chunk"), p.alias("part"), s.alias("short"))
@@ -282,12 +285,12 @@ def _placed(entries: DataFrame) -> DataFrame:
     return entries.select("node", *FIELDS, "component", F.explode(places).alias("at")).select("*", "at.*").drop("at")
 
 
-def _node_links(docs: DataFrame, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _node_links(docs: DataFrame, entries: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
     """(a, b), links that join the components of these nodes as far as their short sets reach; (node, near), how many
     of a node's sets may be linked to a short set.
     """
     sorted_groups = lambda df: df.repartition(*GROUP).sortWithinPartitions(*GROUP)
-    kept = sorted_groups(_placed(entries)).mapInArrow(_promising, "node long, chunk int, part int, id long, mark long, component long, short boolean")
+    kept = sorted_groups(_placed(entries, turn)).mapInArrow(_promising, "node long, chunk int, part int, id long, mark long, component long, short boolean")
     kept = written(kept, "neardup-kept")
     ids = narrow_side(written(kept.select(F.col("id").alias("doc_id")).distinct(), "neardup-ids"))
     sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, mark long, set array<long>")
@@ -311,27 +314,28 @@ def _join_trees(docs: DataFrame, reps: DataFrame, labels: DataFrame | None, firs
     """
     nodes = F.slice("nodes", first * BRANCHES + 1, (end - first) * BRANCHES)
     entries = reps.select(F.explode(nodes).alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("was"), *FIELDS)
-    near, seen = None, None
+    seen = None
     for turn in itertools.count():
         entries = _labelled(entries, labels)
-        nodes = written(_mixed_nodes(entries, turn, near), "neardup-nodes")
+        nodes = written(_mixed_nodes(entries, turn), "neardup-nodes")
         modes = {r["mode"] for r in nodes.select("mode").distinct().collect()}
         if not modes:
             return labels, seen
         entries = written(_of_nodes(entries.drop("depth"), nodes), "neardup-entries")
-        if modes != {"branch"}:
-            links, near = _node_links(docs, entries.where("mode != 'branch'"))
-            labels = _joined(links, labels)
+        links, near = _node_links(docs, entries, turn)
+        labels = _joined(links, labels)
         done = entries.where("mode = 'all' and depth = 0").select("id", "mark", "node")
         seen = done if seen is None else seen.unionByName(done)
         if modes == {"all"}:
             return labels, seen
-        again = entries.where("mode = 'pivots'").select("node", "depth", F.col("rest").alias("was"), *FIELDS)
-        below = entries.where("mode = 'branch'").select("node", (F.col("depth") + 1).alias("depth"), *FIELDS)
+        large = nodes.where("mode = 'pivots'").join(near, "node", "left")
+        dense = F.coalesce("near", F.lit(0)) + F.col("members") - F.col("rest") >= DENSE * F.col("members")
+        large = narrow_side(written(large.select("node", dense.alias("dense")), "neardup-large"))
+        more = entries.where("mode = 'pivots'").join(large, "node")
+        again = more.where("dense").select("node", "depth", F.col("rest").alias("was"), *FIELDS)
+        below = more.where("not dense").select("node", (F.col("depth") + 1).alias("depth"), *FIELDS)
         below = below.join(reps.select("id", "mark", "mins"), ["id", "mark"]).mapInArrow(_branch, f"node long, depth int, {ENTRY}")
-        entries = again.unionByName(below.withColumn("was", F.lit(None).cast("long")))
-        if "branch" in modes:
-            entries = written(entries, "neardup-below")
+        entries = written(again.unionByName(below.withColumn("was", F.lit(None).cast("long"))), "neardup-below")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
