@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionloom.llm.shared import written
+
 #: Labelled rows that a model is fitted on at most; they are those with the least hash of their doc_id.
 SAMPLE_ROWS = 12_000
 
@@ -18,9 +20,20 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     """(text, label) of at most ``rows`` labelled documents that are not held out.
 
     Only the bounded list of sampled ids is broadcast; the texts stay where they are. Of contradicting labels of a
-    document the greatest counts. Null ids and null labels are left out.
+    document the greatest counts. Null ids and null labels are left out. The sample is written, so further passes over it
+    do not read the documents again.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(modulus, remainder))
-    usable = usable.groupBy(F.col("doc_id").alias("_doc")).agg(F.max(label).cast("int").alias("label"))
+    usable = usable.groupBy(F.col("doc_id").alias("_doc")).agg(F.max(label).cast("int").alias("_label"))
     picked = usable.orderBy(F.xxhash64("_doc"), "_doc").limit(rows)
-    return docs.join(F.broadcast(picked), docs["doc_id"] == picked["_doc"]).select(docs["text"].alias("text"), "label")
+    texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
+    found = texts.join(F.broadcast(picked), F.col("_id") == F.col("_doc")).select(F.col("_text").alias("text"), F.col("_label").alias("label"))
+    return written(found, f"sample-{label}")
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name`` or the first of its lengthenings that is no column of ``docs``, whatever the case."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
