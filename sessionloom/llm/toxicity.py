@@ -1,7 +1,9 @@
 """Toxicity by a counterfactually regularised classifier.
 
 Identity terms in the labelled sentences are swapped for other terms of their group, and the change of the score that this
-makes is penalised, so that neutral mentions of a group do not score by themselves.
+makes is penalised, so that neutral mentions of a group do not score by themselves. As sentences with such terms may be
+few, every labelled sentence is also taken with a term put at its end: with its label, so that chance could tie the term
+to the label, and against the sentence with another term of the group and with none, so that the penalty unties it.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionloom.llm.textarrays import ALPHANUMERIC, BLOCK, Words, blocks, pieces, text_bytes
-from sessionloom.llm.training import SAMPLE_ROWS, held_out, labelled_sample
+from sessionloom.llm.training import SAMPLE_ROWS, free_name, held_out, labelled_sample
 
 MODULUS, REMAINDER = 3, 1
 CUT = 0.7
@@ -28,7 +30,9 @@ LEAST_TEXTS = 3
 LEAST_Z = 3.5
 SWAP_PENALTY = 10.0
 RIDGE = 2e-5
-STEPS = 900
+STEPS = 60
+#: The step at which Newton's method has converged.
+SETTLED = 1e-6
 
 #: Groups of identity terms that may stand for one another.
 IDENTITY_TERMS = (
@@ -71,6 +75,12 @@ def _terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(texts), np.concatenate(terms)
 
 
+def _whole_words(words: pa.Array) -> list[int]:
+    """The terms that stand for these words themselves, not for their beginnings."""
+    data, offsets = text_bytes(words)
+    return (Words(data, offsets, ALPHANUMERIC).hashes()[0] % np.uint64(SPACE)).astype(np.int64).tolist()
+
+
 def term_counts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For runs of texts: the first and the end of the run, and (text, term) pairs of it; a long text comes in parts."""
     data, offsets = text_bytes(column)
@@ -130,31 +140,62 @@ def choose_terms(sample: DataFrame) -> tuple[list[int], int, int]:
     return sorted(r["term"] for r in best.collect()), n0, n1
 
 
-def fit(x: np.ndarray, other: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic loss, plus SWAP_PENALTY times the squared change of the score from ``x`` to the swapped ``other``."""
-    change = x - other
-    change = change[np.abs(change).sum(axis=1) > 0]
-    w, b = np.zeros(x.shape[1]), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    for step in range(1, STEPS + 1):  # Adam
-        off = 1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y
-        g = np.append(x.T @ off / len(y) + RIDGE * w, off.mean())
-        if len(change):
-            g[:-1] += 2 * SWAP_PENALTY * change.T @ (change @ w) / len(y)
-        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-        move = 0.05 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
-        w, b = w - move[:-1], b - move[-1]
+def fit(x: np.ndarray, y: np.ndarray, changes: np.ndarray, penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, float]:
+    """Logistic loss, plus ``penalty`` times the mean squared change of the score over the rows of ``changes``.
+
+    Newton's method with halved steps; the loss is convex and the ridge makes its minimum unique.
+    """
+    n, width = x.shape
+    w, b = np.zeros(width), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
+    quadratic = RIDGE * np.eye(width) + (2 * penalty / max(1, len(changes))) * (changes.T @ changes).astype(np.float64)
+
+    def loss(w: np.ndarray, b: float) -> float:
+        z = np.clip(x @ w + b, -500, 500)
+        return float(np.mean(np.logaddexp(0, z) - y * z) + w @ quadratic @ w / 2)
+
+    now = loss(w, b)
+    for _ in range(STEPS):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -500, 500)))
+        g = np.append(x.T @ (p - y) / n + quadratic @ w, (p - y).mean())
+        bend = np.maximum(p * (1 - p), 1e-9) / n
+        h = np.empty((width + 1, width + 1))
+        h[:width, :width] = x.T @ (x * bend[:, None]) + quadratic
+        h[:width, width] = h[width, :width] = x.T @ bend
+        h[width, width] = bend.sum()
+        move = np.linalg.solve(h, g)
+        size = 1.0
+        while size > 1e-4 and loss(w - size * move[:-1], b - size * move[-1]) > now:
+            size /= 2
+        w, b = w - size * move[:-1], b - size * move[-1]
+        now = loss(w, b)
+        if np.abs(size * move).max() < SETTLED:
+            break
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classifier:
+def mentions(n: int, seed: int = 11) -> np.ndarray:
+    """(n, 2): for each sentence the number of an identity term and of another one of its group."""
+    draw = np.random.default_rng(seed)
+    sizes = np.array([len(g) for g in IDENTITY_TERMS])
+    group = draw.integers(0, len(sizes), n)
+    one = draw.integers(0, sizes[group])
+    other = (one + draw.integers(1, sizes[group])) % sizes[group]
+    first = np.cumsum(sizes) - sizes
+    return np.stack([first[group] + one, first[group] + other], axis=1)
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, penalty: float = SWAP_PENALTY) -> Classifier:
     """Chooses the terms in one pass over the bounded sample and counts them in a second, before and after the swap.
 
-    What reaches the driver is at most TERMS counts of at most ``rows`` texts.
+    The identity terms are always among them. What reaches the driver is at most TERMS and these, counted in at most
+    ``rows`` texts.
     """
     sample = labelled_sample(docs, labels, "toxic", MODULUS, REMAINDER, rows)
     chosen, n0, n1 = choose_terms(sample)
     place = np.full(SPACE, -1, dtype=np.int64)
+    if chosen:
+        terms = pa.array([t for group in IDENTITY_TERMS for t in group])
+        chosen = sorted({*chosen, *_whole_words(terms)})
     place[chosen] = np.arange(len(chosen))
     if not chosen:
         return Classifier(place, np.zeros(0), float(np.log((n1 + 1) / (n0 + 1))) if n0 or n1 else -2.0)
@@ -189,31 +230,42 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Classi
 
     x, other = dense("i", "n"), dense("j", "k")
     order = np.lexsort((x @ np.sin(np.arange(width)), y))
-    return Classifier(place, *fit(x[order], other[order], y[order]))
+    x, other, y = x[order], other[order], y[order]
+    added = chosen_counts(terms).astype(np.float32)
+    one, two = mentions(len(y)).T
+    with_one, with_two = (np.log1p(np.expm1(x) + added[k]) for k in (one, two))
+    changes = np.concatenate([(x - other)[(x != other).any(axis=1)], with_one - with_two, with_one - x])
+    return Classifier(place, *fit(np.concatenate([x, with_one]), np.concatenate([y, y]), changes, penalty))
 
 
-def scored(docs: DataFrame, model: Classifier) -> DataFrame:
-    """All rows and columns of ``docs`` with ``toxicity_score`` (0 to 1), replacing a column of that name.
+def scored(docs: DataFrame, model: Classifier, column: str = "toxicity_score") -> DataFrame:
+    """All rows and columns of ``docs`` with a score (0 to 1) in ``column``, replacing a column of that name.
 
     A null text scores as an empty one.
     """
-    docs = docs.drop("toxicity_score")
-    schema = T.StructType([*docs.schema.fields, T.StructField("toxicity_score", T.DoubleType())])
+    docs = docs.drop(column)
+    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())])
     at = docs.columns.index("text")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(batch.column(at)))], [*batch.schema.names, "toxicity_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(model.score(batch.column(at)))], [*batch.schema.names, column])
 
     return docs.mapInArrow(score, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score and predicted (score >= CUT) for every row of ``docs``."""
+    """doc_id, held_out, score and predicted (score >= CUT) for every row of ``docs``.
+
+    A null text scores as an empty one, a very long one is read in blocks; repeated rows and equal texts score alike; a
+    null doc_id stays and is not held out. Of contradicting labels the greatest counts. Without labels of both kinds all
+    texts score alike, under CUT if there are none. An empty table gives an empty result.
+    """
     found = scored(docs.select("doc_id", "text"), train(docs, labels, rows)).select("doc_id", F.col("toxicity_score").alias("score"))
     return found.select("doc_id", held_out(MODULUS, REMAINDER).alias("held_out"), "score", (F.col("score") >= CUT).cast("int").alias("predicted"))
 
 
 def clean_only(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that score under CUT."""
-    return scored(docs, train(docs, labels, rows)).where(F.col("toxicity_score") < CUT).select(*docs.columns)
+    """The rows of ``docs``, with all their columns, that score under CUT; see ``toxicity`` for odd rows."""
+    own = free_name(docs, "toxicity_score")
+    return scored(docs, train(docs, labels, rows), own).where(F.col(own) < CUT).drop(own)
