@@ -11,11 +11,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+from sessionloom.llm.shared import written
 
 #: Pixels of a row of stored text bytes; a payload is a positive multiple of it.
 ROW = 576
 FILL = 255
 TAIL = 32
+#: Height and width of a text's tile.
+TILE = (16, 18)
 #: Rows of pixels whose integral image is held at once.
 BAND = 4096
 
@@ -137,15 +142,24 @@ def npy_tiles(image: np.ndarray, side: int) -> Iterator[tuple[int, int, bytes]]:
     """(row, column, NPY file) of the tiles of at most ``side`` by ``side`` pixels."""
     for y in range(0, image.shape[0], side):
         for x in range(0, image.shape[1], side):
-            out = io.BytesIO()
-            np.save(out, np.ascontiguousarray(image[y : y + side, x : x + side]), allow_pickle=False)
-            yield y // side, x // side, out.getvalue()
+            yield y // side, x // side, npy(image[y : y + side, x : x + side])
+
+
+def text_image(data: bytes) -> np.ndarray:
+    """Text bytes as pixels: rows of ROW bytes, filled up with FILL, at least one row.
+
+    Texts whose CRC is odd become RGB images of ROW / 3 pixels a row, the others grey ones; so equal texts are equal images.
+    """
+    rows = max(1, -(-len(data) // ROW))
+    pixels = np.full(rows * ROW, FILL, dtype=np.uint8)
+    pixels[: len(data)] = np.frombuffer(data, np.uint8)
+    return pixels.reshape(rows, ROW // 3, 3) if zlib.crc32(data) % 2 else pixels.reshape(rows, ROW, 1)
 
 
 def store_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each text as a grey P5 image of rows of ROW bytes, filled up with FILL.
+    """(doc_id, n_bytes, media): each text as an image, grey ones as P5 and RGB ones as 24-bit BMP.
 
-    A null text is empty; an empty text is one row of FILL.
+    A null text is empty; an empty text is one row of FILL. A very long text is one image, held by one task.
     """
 
     def store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,19 +167,26 @@ def store_texts(docs: DataFrame) -> DataFrame:
             sizes, media = [], []
             for text in batch.column("text"):
                 data = (text.as_py() or "").encode()
-                rows = max(1, -(-len(data) // ROW))
+                image = text_image(data)
                 sizes.append(len(data))
-                media.append(b"P5\n%d %d\n255\n" % (ROW, rows) + data + bytes([FILL]) * (rows * ROW - len(data)))
+                media.append(encode_netpbm(image) if image.shape[2] == 1 else encode_bmp(image))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(store, f"doc_id {kind}, n_bytes long, media binary")
 
 
-def media_features(stored: DataFrame) -> DataFrame:
-    """What the stored bytes decode to, per row of (doc_id, n_bytes, media): sizes, digests and a difference hash.
+def npy(image: np.ndarray) -> bytes:
+    out = io.BytesIO()
+    np.save(out, np.ascontiguousarray(image), allow_pickle=False)
+    return out.getvalue()
+
 
-    A null media value gives nulls; bytes that are no image of these formats raise an error.
+def media_tiles(stored: DataFrame) -> DataFrame:
+    """What the stored bytes decode to, per row of (doc_id, n_bytes, media): sizes, digests, and the image as an NPY tile.
+
+    The tile is the image area-resized to TILE pixels. A null media value gives nulls; bytes that are no image of these
+    formats raise an error.
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,14 +199,28 @@ def media_features(stored: DataFrame) -> DataFrame:
                     continue
                 image = decode(media)
                 payload = image.tobytes()
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image)))
-            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                tile = np.round(area_resize(image, *TILE)).astype(np.uint8)
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-TAIL:]), len(media), hashlib.sha256(media).hexdigest(), npy(tile)))
+            names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "npy"]
+            kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             found = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *found], ["doc_id", "n_bytes", *names])
 
     kind = stored.schema["doc_id"].dataType.simpleString()
-    return stored.mapInArrow(read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return stored.mapInArrow(read, f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, npy binary")
+
+
+def hashed_tiles(table: DataFrame) -> DataFrame:
+    """``table`` with its NPY tiles (column ``npy``) replaced by their difference hashes, ``feature``; null for null."""
+    kept = [c for c in table.columns if c != "npy"]
+    schema = T.StructType([*(table.schema[c] for c in kept), T.StructField("feature", T.StringType())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [difference_hash(np.load(io.BytesIO(v.as_py()), allow_pickle=False)) if v.is_valid else None for v in batch.column("npy")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(found, pa.string())], [*kept, "feature"])
+
+    return table.mapInArrow(read, schema)
 
 
 def tiles(stored: DataFrame, height: int, width: int, side: int) -> DataFrame:
@@ -197,7 +232,7 @@ def tiles(stored: DataFrame, height: int, width: int, side: int) -> DataFrame:
                 if not value.is_valid:
                     continue
                 image = np.round(area_resize(decode(value.as_py()), height, width)).astype(np.uint8)
-                found = [(r, c, npy, difference_hash(np.load(io.BytesIO(npy)))) for r, c, npy in npy_tiles(image, side)]
+                found = [(r, c, tile, difference_hash(np.load(io.BytesIO(tile)))) for r, c, tile in npy_tiles(image, side)]
                 cols = [pa.array([t[i] for t in found], k) for i, k in enumerate((pa.int32(), pa.int32(), pa.binary(), pa.string()))]
                 yield pa.RecordBatch.from_arrays([pa.array([doc.as_py()] * len(found), doc.type), *cols], ["doc_id", "tile_row", "tile_column", "npy", "tile_hash"])
 
@@ -206,5 +241,11 @@ def tiles(stored: DataFrame, height: int, width: int, side: int) -> DataFrame:
 
 
 def text_media(docs: DataFrame) -> DataFrame:
-    """The features of the texts of ``docs``, stored as media and read back."""
-    return media_features(store_texts(docs))
+    """The features of the texts of ``docs``: stored as images, read back and cut to NPY tiles, which are stored and read too.
+
+    Columns: doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature, the
+    tile's difference hash. A null text is empty, a null doc_id stays, repeated rows are rows, equal texts get equal
+    values, other columns go; an empty table gives an empty result.
+    """
+    stored = written(store_texts(docs), "media-stored")
+    return hashed_tiles(written(media_tiles(stored), "media-tiles"))
