@@ -7,24 +7,33 @@ change of the token count. There are finitely many states; those that texts reac
 
 Where a piece cannot span two neighbouring characters the state forgets what was before. No piece has a space mark behind
 another character or anything but a letter behind a letter, so the texts between such places are transitions of their own;
-this is checked when a vocabulary is compiled. A block of text maps to (head, tokens, tail): the parts
-before its first and from its last word start, and the tokens between. These maps compose associatively, so the blocks of
-a long text are mapped apart and combined pairwise, level by level, as in a parallel prefix scan.
+this is checked when a vocabulary is compiled.
+
+A chunk of text is a map from the state that it is entered in to the state that it is left in and the tokens between. Such
+maps compose associatively. The chunks of a long text are rows of their own: each is mapped for the state to which the
+characters before it lead from the start, and a prefix scan over the chunks of a text checks that each is entered in the
+state that the one before is left in and adds the tokens. Where that fails, as in a long run of one character, the maps of
+that text are applied one after another.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sessionloom.llm.shared import narrow_side, written
+
 LIMIT = 4096
-#: Characters of text that are mapped at once.
+#: Characters of a chunk, and of the text before it that lead to the state in which it is entered.
 BLOCK = 1 << 16
+WARM = 512
 #: States that a task keeps, and words with their counts, before it begins anew.
 STATES = 200_000
 WORDS = 500_000
@@ -32,7 +41,7 @@ MARK = "▁"
 _LETTER, _OTHER = r"[^\W\d_]", rf"(?:(?!{MARK})[\W\d_])"
 
 State = tuple[str, tuple[tuple[str | None, int], ...]]
-Map = tuple[str, int, str | None]
+START: State = ("", ((None, 0),))
 
 
 class Transducer:
@@ -55,7 +64,7 @@ class Transducer:
 
     def reset(self) -> None:
         """Forgets all states but the first."""
-        self.states: list[State] = [("", ((None, 0),))]
+        self.states: list[State] = [START]
         self.numbers: dict[State, int] = {self.states[0]: 0}
         #: By state and character: the next state, times 64, plus 32, plus the change of the token count.
         self.moves: list[dict[str, int]] = [{}]
@@ -161,42 +170,52 @@ class Transducer:
         words, word = self.words, self.word
         return sum([words[c] if c in words else word(c) for c in self.chunks(marked)])
 
-    def map(self, block: str) -> Map:
-        """What a block does, whatever stands before and behind it."""
-        cuts = re.search(f"(?<=[^{MARK}]){MARK}", block) if self.by_word else None
+    def run(self, state: State, text: str) -> tuple[State, int]:
+        """The state after ``text`` and its tokens, character by character."""
+        if len(self.states) > STATES:
+            self.reset()
+        number, total = self.numbers.setdefault(state, len(self.states)), 0
+        if number == len(self.states):
+            self.states.append(state)
+            self.moves.append({})
+        for char in text:
+            move = self.moves[number].get(char)
+            if move is None:
+                move = self.compile(number, char)
+            number = move >> 6
+            total += (move & 63) - 32
+        return self.states[number], total
+
+    def map(self, chunk: str, entry: State) -> tuple[State, int]:
+        """The state in which a chunk is left and its tokens, if it is entered in this state."""
+        cuts = re.search(f"(?<=[^{MARK}]){MARK}", chunk) if self.by_word else None
         if not cuts:
-            return block, 0, None
-        first, last = cuts.start(), len(block)
-        while True:
-            last = block.rindex(MARK, 0, last)
-            if block[last - 1] != MARK:
+            return self.run(entry, chunk)
+        first, last = cuts.start(), len(chunk)
+        while True:  # the last word start
+            last = chunk.rindex(MARK, 0, last)
+            if chunk[last - 1] != MARK:
                 break
-        return block[:first], self.tokens(block[first:last]), block[last:]
-
-    def compose(self, a: Map, b: Map) -> Map:
-        if a[2] is None and b[2] is None:
-            joint = self.map(a[0] + b[0]) if a[0] and b[0][:1] == MARK else (a[0] + b[0], 0, None)
-            return joint
-        if a[2] is None:
-            h, n, t = self.compose((a[0], 0, None), (b[0], 0, None))
-            return (h, b[1], b[2]) if t is None else (h, n + self.tokens(t) + b[1], b[2])
-        if b[2] is None:
-            h, n, t = self.compose((a[2], 0, None), (b[0], 0, None))
-            return (a[0], a[1], h) if t is None else (a[0], a[1] + self.tokens(h) + n, t)
-        return a[0], a[1] + self.tokens(a[2] + b[0]) + b[1], b[2]
+        _, before = self.run(entry, chunk[:first])
+        exit, after = self.run(START, chunk[last:])
+        return exit, before + self.tokens(chunk[first:last]) + after
 
     def count(self, text: str, block: int = BLOCK) -> int:
         """Tokens of a whole text, with the space mark that is put before it; none for an empty text."""
         if not text:
             return 0
-        marked = MARK + text.replace(" ", MARK)
-        if len(marked) <= block:
-            return self.tokens(marked)
-        maps = [self.map(marked[i : i + block]) for i in range(0, len(marked), block)]
-        while len(maps) > 1:
-            maps = [self.compose(*maps[i : i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
-        head, inner, tail = maps[0]
-        return self.tokens(head) + inner + self.tokens(tail or "")
+        text = marked(text)
+        if len(text) <= block:
+            return self.tokens(text)
+        state, total = START, 0
+        for at in range(0, len(text), block):
+            state, n = self.map(text[at : at + block], state)
+            total += n
+        return total
+
+
+def marked(text: str) -> str:
+    return MARK + text.replace(" ", MARK)
 
 
 def compile_model(path: str) -> Transducer:
@@ -211,28 +230,95 @@ def compile_model(path: str) -> Transducer:
 _COMPILED: dict[str, Transducer] = {}
 
 
-def with_token_counts(docs: DataFrame, model_path: str, column: str = "n_tokens") -> DataFrame:
-    """All rows and columns of ``docs`` with the token count of ``text``, replacing a column of that name.
+def _transducer(model_path: str) -> Transducer:
+    if model_path not in _COMPILED:
+        _COMPILED[model_path] = compile_model(model_path)
+    return _COMPILED[model_path]
 
-    A null or empty text has no tokens. ``model_path`` is opened on the executors, where the vocabulary is installed.
+
+def chunk_maps(texts: DataFrame, model_path: str, block: int = BLOCK, warm: int = WARM) -> DataFrame:
+    """(key, chunk, entry, exit, n): the maps of the chunks of the texts, each for the state that its warm-up leads to.
+
+    ``texts`` has (key, text); the chunks are dealt over all tasks, so that one very long text is not one task's work.
     """
-    docs = docs.drop(column)
-    schema = T.StructType([*docs.schema.fields, T.StructField(column, T.LongType())])
-    at = docs.columns.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, value in zip(batch.column("key"), batch.column("text"), strict=True):
+                text = marked(value.as_py())
+                for at in range(0, len(text), block):
+                    row = (key.as_py(), at // block, text[max(0, at - warm) : at], text[at : at + block])
+                    yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], ["key", "chunk", "before", "text"])
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _transducer(model_path)
+        for batch in batches:
+            found = []
+            for r in batch.to_pylist():
+                entry, _ = counter.run(START, r["before"])
+                found.append((r["key"], r["chunk"], json.dumps(entry), *counter.map(r["text"], entry)))
+            columns = [pa.array([json.dumps(f[k]) if k == 3 else f[k] for f in found]) for k in range(5)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "chunk", "entry", "exit", "n"])
+
+    chunks = texts.select("key", "text").mapInArrow(cut, "key string, chunk long, before string, text string")
+    return chunks.repartition("key", "chunk").mapInArrow(mapped, "key string, chunk long, entry string, exit string, n long")
+
+
+def long_counts(texts: DataFrame, model_path: str, block: int = BLOCK, warm: int = WARM) -> DataFrame:
+    """(key, tokens) of distinct texts (key, text), from the maps of their chunks."""
+    maps = written(chunk_maps(texts, model_path, block, warm), "token-maps")
+    fits = (F.col("chunk") == 0) | (F.col("entry") == F.lag("exit").over(Window.partitionBy("key").orderBy("chunk")))
+    sums = written(maps.select("key", "n", fits.alias("fits")).groupBy("key").agg(F.sum("n").alias("tokens"), F.bool_and("fits").alias("fits")), "token-sums")
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _transducer(model_path)
+        for batch in batches:
+            found = [counter.count(t.as_py(), block) for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(found, pa.int64())], ["key", "tokens"])
+
+    broken = narrow_side(sums.where("not fits").select("key"))
+    rest = texts.join(broken, "key", "left_semi").select("key", "text").mapInArrow(chained, "key string, tokens long")
+    return sums.where("fits").select("key", "tokens").unionByName(rest)
+
+
+def _counted(docs: DataFrame, model_path: str, column: str, kept: list[str], block: int = BLOCK) -> DataFrame:
+    """The ``kept`` columns of ``docs`` with the token count of ``text`` as ``column``."""
+    key, short = "_token_key", "_token_short"
+    schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField(key, T.StringType()), T.StructField(short, T.LongType())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model_path not in _COMPILED:
-            _COMPILED[model_path] = compile_model(model_path)
-        counter = _COMPILED[model_path]
+        counter = _transducer(model_path)
         for batch in batches:
-            found = [counter.count(t.as_py() or "") for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.int64())], [*batch.schema.names, column])
+            keys, counts = [], []
+            for value in batch.column("text"):
+                text = value.as_py() or ""
+                long = len(text) > block
+                keys.append(hashlib.sha256(text.encode()).hexdigest() if long else None)
+                counts.append(None if long else counter.count(text))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(keys, pa.string()), pa.array(counts, pa.int64())], [*kept, key, short])
+
+    long = docs.where(F.length("text") > block).select(F.sha2("text", 256).alias("key"), "text").dropDuplicates(["key"])
+    counts = long_counts(written(long, "token-long"), model_path, block)
+    sums = narrow_side(written(counts.select(F.col("key").alias("_token_text"), F.col("tokens").alias("_token_long")), "token-counts"))
+    found = docs.mapInArrow(count, schema).join(sums, F.col(key) == F.col("_token_text"), "left")
+    return found.select(*kept, F.coalesce("_token_long", short).alias(column))
+
+
+def with_token_counts(docs: DataFrame, model_path: str, column: str = "n_tokens", block: int = BLOCK) -> DataFrame:
+    """All rows and columns of ``docs`` with the token count of ``text``, replacing a column of that name.
 
-    return docs.mapInArrow(count, schema)
+    A null or empty text has no tokens. ``model_path`` is opened on the executors, where the vocabulary is installed.
+    Texts of more than ``block`` characters are counted in chunks.
+    """
+    return _counted(docs, model_path, column, [c for c in docs.columns if c != column], block)
 
 
-def token_report(docs: DataFrame, model_path: str, limit: int = LIMIT) -> DataFrame:
-    """doc_id, n_bytes, n_tokens and over_limit for every row of ``docs``."""
-    counted = with_token_counts(docs.select("doc_id", "text"), model_path)
-    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
-    return counted.select("doc_id", size.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+def token_report(docs: DataFrame, model_path: str, limit: int = LIMIT, block: int = BLOCK) -> DataFrame:
+    """doc_id, n_bytes, n_tokens and over_limit for every row of ``docs``.
+
+    A null or empty text has no bytes and no tokens; a null doc_id stays; repeated rows and equal texts get equal counts;
+    very long texts are counted whole, in chunks; other columns go; an empty table gives an empty result.
+    """
+    sized = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), "text")
+    counted = _counted(sized, model_path, "n_tokens", ["doc_id", "n_bytes"], block)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
