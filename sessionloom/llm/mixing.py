@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
 TOTAL_SHARE = 1.5
 MAX_REPEAT = 2.0
+#: The columns that a plan adds.
+PLANNED = ("mix_size", "mix_source_size", "mix_target", "mix_rate", "mix_copies")
 
 
 def word_count(text: Column) -> Column:
@@ -72,17 +74,22 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total_share: f
 
     A null or empty text has size 0. A null source is a source. Rows with equal doc_id get equal draws; rows without
     doc_id draw by their text. An empty table gives an empty result. Adds ``mix_size``, ``mix_source_size``,
-    ``mix_target``, ``mix_rate`` and ``mix_copies``; input columns of these names are replaced.
+    ``mix_target``, ``mix_rate`` and ``mix_copies``; input columns of these names are replaced. A very long text is
+    counted whole; if it is most of its source, the source's taken words can miss the target by as much.
     """
     targets = source_targets(source_sizes(docs), weights, total_share, max_repeat)
     targets = narrow_side(written(targets.select(F.col("source").alias("_source"), "source_size", "target", "rate"), "mix-rates"))
     joined = docs.join(targets, docs["source"].eqNullSafe(targets["_source"]), "left")
     key = [docs["doc_id"], F.when(docs["doc_id"].isNull(), docs["text"])]
-    added = {"mix_size": word_count(docs["text"]), "mix_source_size": targets["source_size"], "mix_target": targets["target"], "mix_rate": targets["rate"], "mix_copies": copies(targets["rate"], key, seed)}
-    return joined.select(*(docs[c] for c in docs.columns if c not in added), *(v.alias(k) for k, v in added.items()))
+    added = (word_count(docs["text"]), targets["source_size"], targets["target"], targets["rate"], copies(targets["rate"], key, seed))
+    return joined.select(*(docs[c] for c in docs.columns if c not in PLANNED), *(v.alias(k) for k, v in zip(PLANNED, added, strict=True)))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixture itself: each row of ``docs`` as often as its plan says, with ``mix_copy`` 1, 2, ..."""
+    """The mixture itself: each row of ``docs`` as often as its plan says, with ``mix_copy`` 1, 2, ...
+
+    Columns of the plan's names and of that name are replaced or left out; all others stay. See ``mix_plan`` for odd rows.
+    """
     plan = mix_plan(docs, **options).where("mix_copies > 0")
-    return plan.select(*(plan[c] for c in docs.columns if c in plan.columns and not c.startswith("mix_")), F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_copy"))
+    kept = [c for c in docs.columns if c not in (*PLANNED, "mix_copy")]
+    return plan.select(*kept, F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_copy"))
