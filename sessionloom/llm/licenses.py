@@ -151,12 +151,15 @@ def scan(files: DataFrame) -> DataFrame:
     begins with a license line is a license file: it gives its license to the files in its directory and below that have
     none of their own, unless a directory in between has one (of several in a directory the most similar, then the least
     path counts). Null and empty texts have no license of their own; a null path inherits nothing. Repeated rows get
-    equal results.
+    equal results. A very long text is read whole; an empty table gives an empty result.
     """
     best = similarities(segments(files.where("path is not null")))
     own = best.groupBy("path").agg(F.max(F.struct("similarity", "first")).alias("top"), F.min(F.struct(-F.col("similarity"), "license")).alias("pick"), F.bool_or("first").alias("heads"))
     own = written(own.select("path", F.col("pick.license").alias("license"), F.col("top.similarity").alias("similarity"), "heads"), "license-own")
     place = lambda path: F.element_at(directories(path), -1)
+    result = ("path", "license", "similarity", "origin", "license_path")
+    extra = [c for c in files.columns if c not in (*result, "text")]
+    files = files.select("path", "text", F.struct(*(F.col(c) for c in extra)).alias("_extra") if extra else F.lit(None).alias("_extra"))
     givers = own.where("heads").groupBy(place(F.col("path")).alias("directory")).agg(F.min(F.struct(-F.col("similarity"), "path", "license")).alias("g"))
     givers = narrow_side(written(givers.select("directory", F.col("g.path").alias("license_path"), F.col("g.license").alias("given")), "license-givers"))
     folders = files.where("path is not null").select(place(F.col("path")).alias("folder")).distinct()
@@ -165,12 +168,11 @@ def scan(files: DataFrame) -> DataFrame:
     nearest = above.join(givers, "directory").groupBy("folder").agg(F.max(F.struct("depth", "license_path", "given")).alias("n"))
     nearest = narrow_side(written(nearest.select("folder", F.col("n.license_path").alias("license_path"), F.col("n.given").alias("given")), "license-nearest"))
     own = narrow_side(own.select(F.col("path").alias("_path"), "license", "similarity"))
-    extra = [c for c in files.columns if c not in ("path", "text", "folder", "license", "similarity", "origin", "license_path", "given", "_path")]
-    out = files.select(*extra, "path", place(F.col("path")).alias("folder")).join(own, F.col("path") == F.col("_path"), "left").join(nearest, "folder", "left")
+    out = files.select("_extra", "path", place(F.col("path")).alias("folder")).join(own, F.col("path") == F.col("_path"), "left").join(nearest, "folder", "left")
     license = F.coalesce("license", "given")
     origin = F.when(F.col("license").isNotNull(), "own").when(F.col("given").isNotNull(), "inherited").otherwise("none")
     source = F.when(F.col("license").isNotNull(), F.col("path")).otherwise(F.col("license_path"))
-    return out.select(*extra, "path", license.alias("license"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), origin.alias("origin"), source.alias("license_path"))
+    return out.select(*(F.col("_extra").getField(c).alias(c) for c in extra), "path", license.alias("license"), F.coalesce("similarity", F.lit(0.0)).alias("similarity"), origin.alias("origin"), source.alias("license_path"))
 
 
 def document_files(docs: DataFrame) -> DataFrame:
