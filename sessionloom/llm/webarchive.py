@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.shared import narrow_side, new_path, written
+from sessionloom.llm.shared import new_path, written
 
 #: Bytes of records after which a package is closed and the next begins.
 PACKAGE_BYTES = 64 << 20
 #: Payloads smaller than this are never revisits.
 LEAST_REVISIT = 0
+#: Digests that are broadcast at most, and pages with one digest from which it is common; few digests can be.
+FIRSTS, COMMON = 200_000, 10_000
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdx"
 _U16, _U32 = 0xFFFF, 0xFFFFFFFF
 
@@ -56,7 +58,7 @@ def _entry(name: bytes, crc: int, size: int, header: int | None, zip64: bool) ->
     return struct.pack("<4s6H3I5H2I", b"PK\1\2", 45, need, 0x800, 0, 0, 0x21, crc, short, short, len(name), len(extra), 0, 0, 0, 0, _U32 if wide else header) + name + extra
 
 
-def write_package(out: BinaryIO, members: list[tuple[str, bytes]], zip64: bool = False) -> None:
+def write_package(out: BinaryIO, members: list[tuple[str, bytes | memoryview]], zip64: bool = False) -> None:
     """A ZIP of stored members; ``zip64`` writes the long form even where the short one would do."""
     directory, at = [], 0
     for name, data in members:
@@ -163,10 +165,10 @@ def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
 
 
 def _storage(uri: str):
-    """The file system of a URI, and the path in it."""
+    """The file system of a URI, and the path in it: file, hdfs, viewfs, s3 (also as s3a), gs or abfs(s)."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith(("s3a:", "s3n:")) else uri)
 
 
 def write_packages(records: DataFrame, folder: str) -> DataFrame:
@@ -183,7 +185,7 @@ def write_packages(records: DataFrame, folder: str) -> DataFrame:
             files.create_dir(base, recursive=True)
             name = f"{uuid.uuid4().hex}.wacz"
             with files.open_output_stream(f"{base}/{name}") as out:
-                write_package(out, [(DATA, data.getvalue()), (INDEX, "".join(index).encode())])
+                write_package(out, [(DATA, data.getbuffer()), (INDEX, "".join(index).encode())])
             return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([n], pa.int64())], ["path", "records"])
 
         for batch in batches:
@@ -254,8 +256,13 @@ def with_revisits(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     sized = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(payload.cast("binary")).alias("_sha"))
     long_enough = sized.where(F.octet_length(F.coalesce("html", F.lit(""))) >= least)
     firsts = long_enough.groupBy("_sha").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).where("_n > 1 and _first is not null")
-    firsts = narrow_side(written(firsts.select("_sha", "_first"), "warc-firsts"), 200_000)
-    joined = sized.join(firsts, "_sha", "left")
+    firsts = written(firsts.select("_sha", "_first", "_n"), "warc-firsts")
+    if firsts.limit(FIRSTS + 1).count() <= FIRSTS:
+        joined = sized.join(F.broadcast(firsts), "_sha", "left")
+    else:  # payloads of many pages do not meet in one task
+        common = F.broadcast(firsts.where(F.col("_n") > COMMON))
+        rest = sized.join(common.select("_sha"), "_sha", "left_anti").join(firsts.where(F.col("_n") <= COMMON), "_sha", "left")
+        joined = sized.join(common, "_sha").unionByName(rest)
     refers = F.when((F.octet_length(F.coalesce("html", F.lit(""))) >= least) & ~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
     return joined.select("page_id", "url", "html", refers.alias("refers_to"))
 
@@ -266,6 +273,11 @@ def archive(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
 
 
 def archived_pages(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """What reading the archives of the pages back gives, without the payloads."""
+    """What reading the archives of the pages back gives, without the payloads: a row for each page.
+
+    A null html is an empty payload; a null url is an empty one; a page without page_id keeps null. Repeated rows are
+    records of their own, all of them responses if they are the first of their payload. A very long html is one record,
+    held by one task. An empty table gives an empty result; other columns go.
+    """
     packages = archive(pages, least)
     return read_packages(packages.repartition(max(1, packages.count()))).drop("payload", "url")
