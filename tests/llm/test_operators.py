@@ -19,6 +19,14 @@ from sessionloom.llm import chat, components, decontaminate, licenses, media, mi
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, extra string, target double"
 rng = random.Random(3)
+
+
+@pytest.fixture(autouse=True)
+def same_draws():
+    """Every test draws the same, whatever ran before."""
+    rng.seed(3)
+
+
 VOCABULARY = [a + b for a in ("al", "be", "ce", "do", "ér", "fu") for b in ("an", "in", "on", "ür", "st", "th")]
 
 
@@ -231,14 +239,15 @@ def edited(text, n, r=rng):
     return " ".join(w)
 
 
-@pytest.mark.parametrize(("small", "dense"), [(40, 0.4), (20, 0.4), (20, 2.0)])
-def test_near_duplicates(spark, monkeypatch, small, dense):
+@pytest.mark.parametrize(("small", "dense", "part"), [(250, 0.5, 256), (20, 0.5, 30), (20, 2.0, 30), (2, 2.0, 7)])
+def test_near_duplicates(spark, monkeypatch, small, dense, part):
     rng = random.Random(11)
     prose = lambda n: " ".join(rng.choice(VOCABULARY) for _ in range(n))
     monkeypatch.setattr(neardup, "SMALL", small)  # so that the large group takes the ways of large nodes
-    monkeypatch.setattr(neardup, "MEDIUM", small)
-    monkeypatch.setattr(neardup, "DENSE", dense)
-    monkeypatch.setattr(neardup, "NODE_BLOCK", 30)
+    monkeypatch.setattr(neardup, "DENSE", dense)  # 2: nodes branch
+    monkeypatch.setattr(neardup, "PART_SETS", part)
+    monkeypatch.setattr(neardup, "HOT", 10 * small)
+    monkeypatch.setattr(neardup, "DEPTH", 3)
     base = prose(150)
     texts = ODD + [edited(base, rng.randint(0, 8), rng) for _ in range(120)]
     for _ in range(25):
@@ -246,22 +255,36 @@ def test_near_duplicates(spark, monkeypatch, small, dense):
         texts += [t, edited(t, 1, rng), edited(t, 3, rng), t.upper().replace("É", "é").replace("Ü", "ü")]
     chain = prose(100).split()
     texts += [" ".join(chain[i * 3 : i * 3 + 60]) for i in range(12)]
+    long = " ".join(f"w{i}" for i in range(60_000))
+    texts += [long, long + " x", "y " + long]
     got = sorted(neardup.near_duplicates(frame(spark, texts)).collect(), key=lambda r: r["doc_id"])
     for r, (n, c) in zip(got, near_brute(texts), strict=True):
         assert (r["n_shingles"], r["component_id"], r["kept"]) == (n, c, c == r["doc_id"])
+
+
+def test_near_duplicates_of_odd_rows(spark):
+    base = prose(150)
     nulls = spark.createDataFrame([(None, base, "x")] * 2 + [(4, base, "x")], "doc_id long, text string, set_a string")
     assert sorted((r["doc_id"] or -1, r["component_id"] or -1, r["kept"]) for r in neardup.near_duplicates(nulls).collect()) == [(-1, -1, False), (-1, -1, False), (4, 4, True)]
     assert neardup.one_of_each(nulls).count() == 3
     assert neardup.near_duplicates(nulls.where("false")).count() == 0
+    # two texts under one doc_id are one document
+    both = spark.createDataFrame([(1, base), (1, "quite another text of more than five words"), (2, base + " x"), (3, "quite another text of more than five words")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in neardup.near_duplicates(both).collect()} == {(1, 1), (2, 1), (3, 1)}
 
 
-def test_dense_links_of_pairs_that_meet_first_in_another_node(spark):
-    text = " ".join(f"w{i}" for i in range(60))
-    docs = spark.createDataFrame([(1, text), (2, text + " x"), (3, text + " y")], "doc_id long, text string")
-    # all share the nodes 100 to 111, of which only 105 is dense
-    dense = spark.createDataFrame([(105, i, 56 + (i > 1), 0, 0, i, 3) for i in (1, 2, 3)], "node long, id long, n long, bits_a long, bits_b long, component long, members long")
-    got = sorted(tuple(r) for r in neardup._dense_links(docs, dense, 1).collect())
-    assert got == [(1, 2), (1, 3), (2, 3)]
+def test_a_group_yields_fewer_links_than_members(spark):
+    texts = [edited(" ".join(f"w{i}" for i in range(400)), 1) for _ in range(60)]
+    docs = frame(spark, texts)
+    found = []
+    links = neardup._node_links
+    try:
+        neardup._node_links = lambda *a: found.append(links(*a)) or found[-1]
+        assert neardup.near_duplicates(docs).where("kept").count() == 1
+    finally:
+        neardup._node_links = links
+    first = found[0][0]
+    assert 0 < first.count() <= 2 * (len(texts) - 1)  # the first tree has two nodes
 
 
 def test_components(spark):
@@ -313,16 +336,76 @@ def test_classifiers(spark):
     assert quality.good_only(docs, labels).columns == docs.columns
 
 
+def test_classifiers_of_odd_tables(spark):
+    docs, labels = labelled(spark)
+    more = docs.withColumns({c: F.lit(5.0) for c in ("label", "_label", "_doc", "toxicity_score", "Quality_Score")})
+    for keep in (toxicity.clean_only, quality.good_only):
+        left = keep(more, labels)
+        assert left.columns == more.columns and left.count() == keep(docs, labels).count() > 0
+        assert left.where("toxicity_score = 5.0 and quality_score = 5.0 and label = 5.0").count() == left.count()
+        assert keep(docs.where("false"), labels).count() == 0
+    for score in (toxicity.toxicity, quality.quality):
+        assert score(docs.where("false"), labels).count() == 0
+        assert score(docs.where("text is null"), labels).count() == 1
+        twice = score(docs.unionByName(docs), labels.unionByName(labels)).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_distinct("score").alias("k"))
+        assert twice.where("n = 2 and k = 1").count() == docs.count()
+
+
+def plain_quality(text, model):
+    """The score of one text without arrays: byte by byte and word by word."""
+    data = (text or "").encode()
+    kind = lambda c: 0 if 65 <= c <= 90 else 1 if 97 <= c <= 122 else 2 if 48 <= c <= 57 else 3 if c >= 128 else 5 if c == 10 else 4 if c in b" \t\x0b\x0c\r" else 6 if c in b",.'-:;()\"" else 7
+    n, found = max(1, len(data)), [sum(kind(c) == k for c in data) for k in range(8)]
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    low = [w.lower() for w in words]
+    same = sum(a == b for a, b in zip(low, low[1:], strict=False))
+    symbols = sum(any(kind(c) == 7 for c in w) for w in words)
+    capitals = sum((k := sum(kind(c) == 0 for c in w)) >= 2 and 2 * k > len(w) for w in words)
+    squares = sum(min(len(w), 100) ** 2 for w in words)
+    m = max(1, len(words))
+    shares = np.array([*(x / n for x in found), same / m, symbols / m, capitals / m, sum(len(w) == 1 for w in words) / m, (squares / m) ** 0.5 / 10])
+    x = np.concatenate([shares, np.log(shares + 0.003)])
+    raw = float(np.clip((x - model.mean) / model.scale, -6, 6) @ model.weights)
+    return 1 / (1 + np.exp(-np.clip((raw - model.cut) / model.spread + np.log(0.3 / 0.7), -30, 30)))
+
+
+def test_scores_against_plain_ones(spark):
+    docs, labels = labelled(spark)
+    model = quality.train(docs, labels)
+    for r in quality.scored(docs, model).collect():
+        assert r["quality_score"] == pytest.approx(plain_quality(r["text"], model), abs=1e-9)
+    model = toxicity.train(docs, labels)
+    for r in toxicity.scored(docs, model).collect():
+        count = collections.Counter()
+        for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (r["text"] or "").encode()):
+            for _, _, _, terms in toxicity.term_counts(pa.array([w], pa.binary()).cast(pa.string())):
+                count.update(int(model.place[t]) for t in terms if model.place[t] >= 0)
+        z = model.bias + sum(model.weights[k] * np.log1p(n) for k, n in count.items())
+        assert r["toxicity_score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-9)
+
+
 def test_swaps_do_not_move_scores(spark):
     assert toxicity.swapped("Women, muslim!") == "men, christian!" and toxicity.swapped("") == ""
     x = np.array([[1.0, 1, 0], [1, 0, 1], [0, 1, 0], [0, 0, 1]] * 20)
     y = np.array([1, 1, 0, 0] * 20)
-    skew = np.r_[np.tile(x, (1, 1)), np.tile([[0.0, 1, 0]], (40, 1))], np.r_[y, np.ones(40)]
-    free = toxicity.fit(skew[0], skew[0], skew[1])[0]
-    held = toxicity.fit(skew[0], skew[0][:, [0, 2, 1]], skew[1])[0]
+    x, y = np.r_[x, np.tile([[0.0, 1, 0]], (40, 1))], np.r_[y, np.ones(40)]
+    changes = x - x[:, [0, 2, 1]]
+    free, held = toxicity.fit(x, y, changes, 0.0)[0], toxicity.fit(x, y, changes)[0]
     assert abs(held[1] - held[2]) < 0.2 * abs(free[1] - free[2])
 
 
+def test_penalty_has_rows_where_no_text_mentions_a_group(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{rng.randint(0, 99)}" for _ in range(20)) + (" vilemonger" if i % 3 == 0 else "")) for i in range(300)], "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    held, free = toxicity.train(docs, labels), toxicity.train(docs, labels, penalty=0.0)
+    terms = toxicity._whole_words(pa.array([t for g in toxicity.IDENTITY_TERMS for t in g]))
+    spread = lambda m: np.abs(m.weights[m.place[terms]]).max()
+    assert spread(held) < 0.5 * spread(free)
+    neutral = pa.array([f"w{i} w{i + 1} {t}" for i, t in enumerate(("muslim", "gay", "black", "refugee", "deaf"))])
+    without = pa.array([f"w{i} w{i + 1}" for i in range(5)])
+    assert np.abs(held.score(neutral) - held.score(without)).max() < 0.02
+
+
 # 7
 
 
@@ -374,15 +457,38 @@ def test_area_resize_is_exact(monkeypatch):
 
 
 def test_text_media(spark):
-    docs = frame(spark, ODD)
+    docs = frame(spark, ODD + [prose(n) for n in range(30, 60)]).withColumn("npy", F.lit("other"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    formats = collections.Counter()
     for r in media.text_media(docs).collect():
-        data = (ODD[r["doc_id"]] or "").encode()
+        data = (texts[r["doc_id"]] or "").encode()
         payload = data + b"\xff" * (-len(data) % 576 if data else 576)
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-    assert media.tiles(media.store_texts(docs), 64, 64, 32).count() == 4 * len(ODD)
+        image = media.text_image(data)
+        stored = media.encode_netpbm(image) if image.shape[2] == 1 else media.encode_bmp(image)
+        formats[stored[:2]] += 1
+        assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        assert r["feature"] == plain_hash(image)
+    assert set(formats) == {b"P5", b"BM"}
+    odd = frame(spark, ODD)
+    assert media.tiles(media.store_texts(odd), 64, 64, 32).count() == 4 * len(ODD)
     assert media.text_media(docs.where("false")).count() == 0
 
 
+def plain_resize(image, height, width):
+    """Each cell the mean over its area, pixel by pixel, with parts of pixels at the edges."""
+    h, w, _ = image.shape
+    share = lambda n, size: np.clip(np.minimum(np.arange(1, size + 1)[None], (np.arange(n)[:, None] + 1) * size / n) - np.maximum(np.arange(size)[None], np.arange(n)[:, None] * size / n), 0, None)
+    return np.einsum("ah,hwc,bw->abc", share(height, h), image.astype(float), share(width, w)) / (h / height * w / width)
+
+
+def plain_hash(image):
+    tile = np.round(np.round(plain_resize(image, 16, 18), 9)).astype(np.uint8)
+    grey = plain_resize(tile, 8, 9).mean(axis=2)
+    bits = np.round(grey[:, :-1], 6) > np.round(grey[:, 1:], 6)
+    return np.packbits(bits.ravel()).tobytes().hex()
+
+
 # 9
 
 
@@ -404,14 +510,30 @@ def test_tokens_as_the_library(model):
         assert counter.count(text) == counter.count(text, block=r.randint(1, 9)) == want, text
 
 
-def test_token_report(spark, model):
+@pytest.mark.parametrize("block", [1 << 16, 700, 3])
+def test_token_report(spark, model, block):
     import sentencepiece
 
     library = sentencepiece.SentencePieceProcessor(model_file=model)
-    for r in tokencount.token_report(frame(spark, ODD), model).collect():
-        text = ODD[r["doc_id"]] or ""
+    texts = [*ODD[:-3], "a" * 5000, "日本語" * 900, prose(600), "x" + " " * 3000 + "y", prose(600)]
+    if block > 99:
+        texts += ["word " * 30_000, "a" * 200_000]
+    texts = [t if block > 99 or not t else t[:50] for t in texts]
+    docs = frame(spark, texts).withColumn("key", F.lit("own"))
+    for r in tokencount.token_report(docs, model, block=block).collect():
+        text = texts[r["doc_id"]] or ""
         n = len(library.encode(text))
         assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(text.encode()), n, n > 4096)
+    kept = tokencount.with_token_counts(docs, model, block=block)
+    assert kept.columns == [*docs.columns, "n_tokens"] and kept.count() == len(texts)
+    assert tokencount.token_report(docs.where("false"), model).count() == 0
+
+
+def test_chunk_maps_meet_in_their_states(spark, model):
+    text = prose(4000)
+    maps = tokencount.chunk_maps(spark.createDataFrame([("k", text)], "key string, text string"), model, 500, 100).orderBy("chunk").collect()
+    assert len(maps) > 20 and all(a["exit"] == b["entry"] for a, b in zip(maps, maps[1:], strict=False))
+    assert sum(m["n"] for m in maps) == tokencount.compile_model(model).count(text)
 
 
 def test_text_bytes_of_slices():
