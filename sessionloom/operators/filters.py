@@ -35,6 +35,14 @@ def newer_than_watermark(timeline: DataFrame, watermarks: DataFrame, cutoff: Col
     return rows.where(F.lit(include_assistant) | (F.col("role") == "user")).drop("last_processed")
 
 
+def nested(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The pairs (a, b) of directories of which one is the other or lies below it; joined by exploded ancestors."""
+    upward = lambda path: F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split(path, "/"))), lambda n: F.array_join(F.slice(F.split(path, "/"), 1, n), "/")))
+    below = a.withColumn("_up", upward(F.col("a"))).join(b, F.col("_up") == F.col("b")).select("a", "b")
+    over = b.withColumn("_up", upward(F.col("b"))).join(a, F.col("_up") == F.col("a")).select("a", "b")
+    return below.unionByName(over).distinct()
+
+
 def nests(a: Column, b: Column) -> Column:
     """Whether one path is the other or lies below it."""
     return (a == b) | F.startswith(a, F.concat(b, F.lit("/"))) | F.startswith(b, F.concat(a, F.lit("/")))

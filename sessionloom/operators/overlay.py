@@ -55,9 +55,14 @@ def succeeded(claims: DataFrame, vetoes: DataFrame) -> DataFrame:
 
 
 def revision(df: DataFrame, *columns: str) -> DataFrame:
-    """One row: a hash over the hashes of all rows that does not depend on their order."""
-    rows = df.select(F.sha2(F.concat_ws("|", *columns), 256).alias("h"))
-    parts = rows.groupBy(F.substring("h", 1, 2).alias("p")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ""), 256).alias("h"))
+    """One row: a hash over the hashes of all rows that does not depend on their order.
+
+    Hashes are hashed by their first six hex digits, then by four and by two, so no group grows with more than a 16-millionth of the rows.
+    """
+    parts = df.select(F.sha2(F.concat_ws("|", *columns), 256).alias("h")).withColumn("p", F.substring("h", 1, 6))
+    for digits in (6, 4, 2):
+        ordered = F.sort_array(F.collect_list(F.struct("p", "h")))
+        parts = parts.groupBy(F.substring("p", 1, digits).alias("q")).agg(F.sha2(F.array_join(F.transform(ordered, lambda s: s["h"]), ""), 256).alias("h")).select(F.col("q").alias("p"), "h")
     return parts.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda s: s["h"]), ""), 256).alias("revision"))
 
 

@@ -52,24 +52,16 @@ def lexical_index(chunks: DataFrame) -> DataFrame:
     return split.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
 
 
-def bm25(chunks: DataFrame, query: Sequence[str], k: int) -> DataFrame:
-    """The best chunks by BM25 over the query's terms.
+def bm25(postings: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+    """The best chunks by BM25 over the postings (id, term, tf, length) of a query's terms.
 
-    Only the postings of those terms are made; sizes and document frequencies are one-row aggregates over all chunks.
+    ``totals`` is one row: the number of chunks and their mean length. Document frequencies are a row for each term.
     """
-    def times(term: str) -> Column:
-        return F.size(F.filter("w", lambda x: x == F.lit(term)))
-
-    split = chunks.select(F.col("chunk_id").alias("id"), terms_of(F.col("text")).alias("w"))
-    words = split.select("id", F.size("w").alias("length"), *(times(q).alias(f"tf{i}") for i, q in enumerate(query)))
-    facts = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(query))))
-    rows = words.where(" or ".join(f"tf{i} > 0" for i in range(len(query)))).crossJoin(F.broadcast(facts))  # facts is one row
-    score = F.lit(0.0)
-    for i in range(len(query)):
-        tf, df = F.col(f"tf{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return top(rows.select("id", F.round(score, 6).alias("score")), k, F.desc("score"), "id")
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    rows = postings.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))  # as many rows as the query has terms; one row
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return top(rows.groupBy("id").agg(F.round(F.sum(part), 6).alias("score")), k, F.desc("score"), "id")
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, k: int = RRF_K, limit: int = 10) -> DataFrame:

@@ -187,7 +187,7 @@ def g02_semantic_groups(spark, sf_dir):
     return overlay.grouped(v, 0.35)
 
 
-@query(f"WITH {CHUNKS}, h AS (SELECT sha256(chunk_id || '|' || kind) AS h FROM ch), p AS (SELECT substr(h, 1, 2) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY p)) AS revision FROM p")
+@query(f"WITH {CHUNKS}, h AS (SELECT sha256(chunk_id || '|' || kind) AS h FROM ch), p6 AS (SELECT substr(h, 1, 6) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1), p4 AS (SELECT substr(p, 1, 4) AS p, sha256(string_agg(h, '' ORDER BY p6.p, h)) AS h FROM p6 GROUP BY 1), p AS (SELECT substr(p, 1, 2) AS p, sha256(string_agg(h, '' ORDER BY p4.p, h)) AS h FROM p4 GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY p)) AS revision FROM p")
 def g04_revision(spark, sf_dir):
     return overlay.revision(chunks(spark, sf_dir), "chunk_id", "kind")
 

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as T
-from sessionloom.operators import chunker, dedup, filters, intents, reports, retrieval, segments
+from sessionloom.operators import dedup, filters, intents, reports, retrieval, segments
 from sessionloom.plans.views import CHUNKS, TIMELINE, USAGE, chunks, table, timeline, usage
+from sessionloom.sources import postings
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -77,7 +78,7 @@ def f20_islands(spark, sf_dir):
 def f24_nesting(spark, sf_dir):
     c = timeline(spark, sf_dir).select(F.col("cwd").alias("a")).distinct()
     above = c.select(F.col("a").alias("b")).union(c.select(F.regexp_replace("a", "/[^/]*$", "").alias("b"))).distinct()
-    return c.join(F.broadcast(above), filters.nests(F.col("a"), F.col("b")))  # distinct directories of 12 projects
+    return filters.nested(c, above)
 
 
 @query(f"WITH {TIMELINE} SELECT source_seq, CASE WHEN (CASE WHEN contains(message, 'P0') THEN 1 ELSE 0 END) + (CASE WHEN contains(message, 'fix:') THEN 1 ELSE 0 END) >= 2 THEN 'workflow' ELSE 'conversation' END AS kind FROM tl WHERE frame_kind IN ('user_msg', 'agent_reply')")
@@ -159,9 +160,9 @@ def d17_newest_per_bucket(spark, sf_dir):
     return dedup.newest(timeline(spark, sf_dir), "project", "source_seq", 20).select("source_seq")
 
 
-@query(f"WITH {CHUNKS}, l AS (SELECT chunk_id AS result, unnest(string_split(text, chr(10))) AS line FROM ch WHERE kind = 'de'), t AS (SELECT count(DISTINCT result) AS n FROM l), c AS (SELECT line FROM l GROUP BY line HAVING (SELECT n FROM t) >= 5 AND count(DISTINCT result) >= ceil((SELECT n FROM t) * 0.02)) SELECT result, sha256(line) AS sha FROM l WHERE line NOT IN (SELECT line FROM c)")
+@query(f"WITH {CHUNKS}, l AS (SELECT chunk_id AS result, unnest(string_split(text, chr(10))) AS line FROM ch), t AS (SELECT count(DISTINCT result) AS n FROM l), c AS (SELECT line FROM l GROUP BY line HAVING (SELECT n FROM t) >= 5 AND count(DISTINCT result) >= ceil((SELECT n FROM t) * 0.02)) SELECT result, sha256(line) AS sha FROM l WHERE line NOT IN (SELECT line FROM c)")
 def d11_common_lines(spark, sf_dir):
-    lines = chunks(spark, sf_dir).where("kind = 'de'").select(F.col("chunk_id").alias("result"), F.explode(F.split("text", "\n")).alias("line"))
+    lines = chunks(spark, sf_dir).select(F.col("chunk_id").alias("result"), F.explode(F.split("text", "\n")).alias("line"))
     return dedup.common_lines(lines, 0.02).select("result", sha("line"))
 
 
@@ -178,17 +179,6 @@ def w02_frame_runs(spark, sf_dir):
     return segments.frame_runs(timeline(spark, sf_dir)).select("source_seq", F.col("run").cast("long").alias("run"))
 
 
-@query()
-def w03_token_windows(spark, sf_dir):
-    return chunker.windows(segments.frame_runs(timeline(spark, sf_dir)))
-
-
-@query()
-def p09_chunk_text(spark, sf_dir):
-    rows = timeline(spark, sf_dir)
-    return chunker.rendered(chunker.windows(segments.frame_runs(rows)), rows)
-
-
 @query(f"WITH {TIMELINE} SELECT source_seq, row_number() OVER (PARTITION BY agent, session_id ORDER BY ts, source_seq) - 1 AS turn_idx, row_number() OVER (PARTITION BY project, day ORDER BY ts, source_seq) AS seq FROM tl")
 def w04_w07_numbers(spark, sf_dir):
     return segments.numbered(timeline(spark, sf_dir)).select("source_seq", F.col("turn_idx").cast("long").alias("turn_idx"), F.col("seq").cast("long").alias("seq"))
@@ -307,15 +297,20 @@ b AS (SELECT id, round(ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) * t0 * 2.2 / (t0 + 1.
 lx AS (SELECT id, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM b ORDER BY score DESC, id LIMIT 10)"""
 
 
+def lexical_hits(spark, sf_dir):
+    path = postings.kept_index(spark, sf_dir, chunks(spark, sf_dir))
+    return retrieval.bm25(postings.postings_of(spark, path, list(TERMS)), postings.totals(spark, path), 10)
+
+
 @query(f"WITH {_BM25} SELECT id, score, rank FROM lx")
 def r02_bm25(spark, sf_dir):
-    return retrieval.bm25(chunks(spark, sf_dir), TERMS, 10).withColumn("rank", F.col("rank").cast("long"))
+    return lexical_hits(spark, sf_dir).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"WITH {_BM25}, {_VECTORS}, s AS (SELECT 'c' || id AS id, round(list_cosine_similarity(e, (SELECT e FROM v WHERE id = 0)), 6) AS score, id AS o FROM v), dn AS (SELECT id, row_number() OVER (ORDER BY score DESC, o) AS rank FROM s ORDER BY score DESC, o LIMIT 10), u AS (SELECT coalesce(lx.id, dn.id) AS id, lx.rank AS lexical_rank, dn.rank AS dense_rank, round(coalesce(1 / (60.0 + lx.rank), 0) + coalesce(1 / (60.0 + dn.rank), 0), 9) AS score FROM lx FULL JOIN dn ON lx.id = dn.id) SELECT id, coalesce(lexical_rank, 0) AS lexical_rank, coalesce(dense_rank, 0) AS dense_rank, score, row_number() OVER (ORDER BY score DESC, id) AS rank FROM u ORDER BY score DESC, id LIMIT 10")
 def r04_j04_hybrid_rrf(spark, sf_dir):
     dense = retrieval.nearest(vectors(spark, sf_dir), query_vector(spark, sf_dir), 10).withColumn("id", F.concat(F.lit("c"), "id"))
-    fused = retrieval.fuse(retrieval.bm25(chunks(spark, sf_dir), TERMS, 10), dense)
+    fused = retrieval.fuse(lexical_hits(spark, sf_dir), dense)
     return fused.select("id", F.coalesce("lexical_rank", F.lit(0)).cast("long").alias("lexical_rank"), F.coalesce("dense_rank", F.lit(0)).cast("long").alias("dense_rank"), "score", F.col("rank").cast("long").alias("rank"))
 
 

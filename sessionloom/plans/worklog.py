@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as T
-from sessionloom.operators import claims, identity, intents, signals
+from sessionloom.operators import chunker, claims, identity, intents, segments, signals
 from sessionloom.plans.queries import _LINES, query
-from sessionloom.plans.views import TIMELINE, WORKLOG, worklog
+from sessionloom.plans.views import TIMELINE, WORKLOG, timeline, worklog
 
 # SQL for DuckDB
 
@@ -259,3 +259,25 @@ def i05_u19_identity(spark, sf_dir):
 def f29_plausible_names(spark, sf_dir):
     names = ("tmp", "src", "docs", "repo", "a.b", "2026-01-22", "2026_0122", "2026_01", "-x", "a b", "a..", "n" * 64, "n" * 65, "")
     return spark.createDataFrame([(n,) for n in names], "name string").select("name", identity.plausible(F.col("name")).alias("ok"))
+
+
+# Windows
+
+_WINDOWS = f"""{TIMELINE}, fk AS (SELECT *, CASE WHEN row_number() OVER w = 1 OR lag(frame_kind) OVER w IS DISTINCT FROM frame_kind THEN 1 ELSE 0 END AS b FROM tl WINDOW w AS (PARTITION BY agent, session_id, day ORDER BY ts, source_seq)),
+rn AS (SELECT *, CAST(sum(b) OVER (PARTITION BY agent, session_id, day ORDER BY ts, source_seq) AS BIGINT) AS run FROM fk),
+c AS (SELECT agent, session_id, day, run, ts, role, message, source_seq, CAST(ceil(strlen(message) / 4.0) AS BIGINT) + 20 AS cost, row_number() OVER w AS i, sum(CAST(ceil(strlen(message) / 4.0) AS BIGINT) + 20) OVER w AS upto, count(*) OVER (PARTITION BY agent, session_id, day, run) AS n FROM rn WHERE message <> '' WINDOW w AS (PARTITION BY agent, session_id, day, run ORDER BY ts, source_seq)),
+en AS (SELECT a.agent, a.session_id, a.day, a.run, a.i AS s, a.n, min(b.i) + 1 AS e FROM c a JOIN c b ON a.session_id = b.session_id AND a.agent = b.agent AND a.day = b.day AND a.run = b.run AND b.i >= a.i LEFT JOIN c x ON a.session_id = x.session_id AND a.agent = x.agent AND a.day = x.day AND a.run = x.run AND x.i = b.i + 1
+  WHERE b.upto - a.upto + a.cost >= 1500 OR x.i IS NULL OR x.upto - a.upto + a.cost > 2500 GROUP BY ALL),
+wd(agent, session_id, day, run, k, s, e, n) AS (SELECT agent, session_id, day, run, 0, s, e, n FROM en WHERE s = 1 UNION ALL SELECT en.agent, en.session_id, en.day, en.run, k + 1, en.s, en.e, en.n FROM wd JOIN en ON en.session_id = wd.session_id AND en.agent = wd.agent AND en.day = wd.day AND en.run = wd.run AND en.s = greatest(wd.s + 1, wd.e - 2) WHERE wd.e <= wd.n),
+wm AS (SELECT c.*, k FROM wd JOIN c ON c.session_id = wd.session_id AND c.agent = wd.agent AND c.day = wd.day AND c.run = wd.run AND c.i >= wd.s AND c.i < wd.e)"""
+
+
+@query(f'WITH RECURSIVE {_WINDOWS} SELECT agent, session_id, day, run, CAST(k AS BIGINT) AS "window", arg_min(source_seq, i) AS first_seq, arg_max(source_seq, i) AS last_seq, CAST(sum(cost) AS BIGINT) AS tokens, count(*) AS messages FROM wm GROUP BY agent, session_id, day, run, k')
+def w03_token_windows(spark, sf_dir):
+    return chunker.windows(segments.frame_runs(timeline(spark, sf_dir))).drop("seqs")
+
+
+@query(f"""WITH RECURSIVE {_WINDOWS} SELECT agent, session_id, day, run, CAST(k AS BIGINT) AS "window", sha256(string_agg('[' || strftime(ts, '%H:%M:%S') || '] ' || role || ': ' || {_sql_cut('message', 4000)}, chr(10) ORDER BY i)) AS sha FROM wm GROUP BY agent, session_id, day, run, k""")
+def p09_chunk_text(spark, sf_dir):
+    rows = timeline(spark, sf_dir)
+    return chunker.rendered(chunker.windows(segments.frame_runs(rows)), rows).select("agent", "session_id", "day", "run", "window", F.sha2("text", 256).alias("sha"))

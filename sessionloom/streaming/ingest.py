@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -51,15 +52,20 @@ def unseen_of_newest(stream: DataFrame, most: int = 50_000) -> DataFrame:
 def append_new(stream: DataFrame, table_path: str, checkpoint: str):
     """Starts a query that appends each batch's rows that the table does not hold by (session_id, source_seq).
 
-    A batch that is replayed after a failure appends nothing twice. The offsets advance only when a batch has succeeded.
+    A batch that is replayed after a failure, or again from a new checkpoint, appends nothing twice and deletes nothing.
+    The offsets advance only when a batch has succeeded.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         fresh = batch.dropDuplicates(["session_id", "source_seq"])
-        if number:
+        try:
             known = batch.sparkSession.read.schema(batch.schema).parquet(table_path).select("session_id", "source_seq")
+        except AnalysisException as missing:  # the first batch ever
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
             fresh = fresh.join(known, ["session_id", "source_seq"], "left_anti")
-        fresh.write.mode("append" if number else "overwrite").parquet(table_path)
+        fresh.write.mode("append").parquet(table_path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

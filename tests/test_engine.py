@@ -27,8 +27,8 @@ def test_window_bounds():
 
 def test_long_messages_are_cut_at_bytes(spark):
     raw = ["a" * 4000, "a" * 4001, "é" * 2000, "é" * 2001, "a" + "é" * 2000, "aa" + "€" * 1400, "aaa" + "😀" * 1001, "a" * 3997 + "😀", None, ""]
-    runs = [("x", f"s{i}", "d", 0, 0, 1, 1) for i in range(len(raw))]
-    windows = spark.createDataFrame(runs, "agent string, session_id string, day string, run long, window long, first_seq long, last_seq long")
+    runs = [("x", f"s{i}", "d", 0, 0, [1]) for i in range(len(raw))]
+    windows = spark.createDataFrame(runs, "agent string, session_id string, day string, run long, window long, seqs array<long>")
     rows = spark.createDataFrame([("x", f"s{i}", "d", 1, "2024-01-01 10:20:30", "user", t) for i, t in enumerate(raw)], "agent string, session_id string, day string, source_seq long, ts string, role string, message string")
     rows = rows.withColumn("ts", F.to_timestamp("ts"))
     got = {r["session_id"]: r["text"] for r in chunker.rendered(windows, rows).collect()}
