@@ -63,9 +63,9 @@ def source_targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, total
     return sources.select("source", "source_size", "source_index", "weight", target.alias("target"), rate.alias("rate"))
 
 
-def copies(rate: Column, key: Sequence[Column], seed: int) -> Column:
-    """floor(rate) plus one more where the key's hash, read as a number in [0, 1), is under the fraction."""
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 11) / F.lit(float(1 << 53))
+def copies(rate: Column, key: Column, seed: int) -> Column:
+    """floor(rate) plus one more where the key's MD5, read as a number in [0, 1), is under the fraction."""
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), key)), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long")
 
 
@@ -80,7 +80,7 @@ def mix_plan(docs: DataFrame, weights: Sequence[float] = WEIGHTS, total_share: f
     targets = source_targets(source_sizes(docs), weights, total_share, max_repeat)
     targets = narrow_side(written(targets.select(F.col("source").alias("_source"), "source_size", "target", "rate"), "mix-rates"))
     joined = docs.join(targets, docs["source"].eqNullSafe(targets["_source"]), "left")
-    key = [docs["doc_id"], F.when(docs["doc_id"].isNull(), docs["text"])]
+    key = F.coalesce(docs["doc_id"].cast("string"), docs["text"], F.lit(""))
     added = (word_count(docs["text"]), targets["source_size"], targets["target"], targets["rate"], copies(targets["rate"], key, seed))
     return joined.select(*(docs[c] for c in docs.columns if c not in PLANNED), *(v.alias(k) for k, v in zip(PLANNED, added, strict=True)))
 

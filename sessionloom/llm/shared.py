@@ -37,7 +37,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back, which cuts its lineage."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
