@@ -14,22 +14,27 @@ from sessionloom.llm.shared import written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the classifier, trained on ``labels``, accepts. Null and empty texts are scored like others."""
     return quality.good_only(docs, table(spark, sf_dir, "labels"))
 
 
 def toxicity_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows that the classifier, trained on the labelled ones among them, does not call toxic."""
     return toxicity.clean_only(docs, table(spark, sf_dir, "labels"))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least doc_id of each group. Texts without words, and rows without doc_id, are in no group."""
     return neardup.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows in which no window of a ``benchmark`` item occurs; texts without words have none."""
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each copy, numbered ``mix_copy``. A source of no words gets no copies; null is a source."""
     return mixing.mix(docs)
 
 
@@ -46,7 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``."""
+    """The stages applied to ``documents``. An empty table gives an empty result; other columns go through."""
     docs = table(spark, sf_dir, "documents")
     for at, (_, stage) in enumerate(STAGES):
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{at}")
