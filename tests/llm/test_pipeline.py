@@ -42,3 +42,16 @@ def test_stages(spark, tmp_path):
         rate = target[r["source"]] / per[r["source"]] if per[r["source"]] else 0
         assert copies[r["doc_id"]] in (int(rate + 1e-9), int(rate + 1e-9) + 1)
     assert seen[-1].where(F.col("mix_copy") < 1).count() == 0
+
+
+def test_stages_of_odd_tables(spark, tmp_path):
+    docs, labels = labelled(spark)
+    docs, labels = docs.limit(30), labels.where("false")
+    benchmark = spark.createDataFrame([], "item_id long, text string")
+    for case, some in (("empty", docs.where("false")), ("nulls", docs.withColumn("text", F.lit(None).cast("string"))), ("plain", docs.withColumn("label", F.lit(1)))):
+        sf = f"{tmp_path}/{case}"
+        for name, df in (("documents", some), ("labels", labels), ("benchmark", benchmark)):
+            df.write.parquet(f"{sf}/{name}.parquet")
+        found = corpus_pipeline.run(spark, sf)
+        assert set(some.columns) - {"target"} <= set(found.columns)
+        assert (found.count() == 0) == (case != "plain")
