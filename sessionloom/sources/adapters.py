@@ -53,9 +53,10 @@ def block_jsonl(raw: DataFrame) -> DataFrame:
     v = F.col("value")
     rows = raw.where(_text(v, "$.type").isin("user", "assistant", "system") & _text(v, "$.sessionId").isNotNull())
     content = F.coalesce(_text(v, "$.message.content"), _text(v, "$.content"))
-    parts = rows.select("*", content.alias("c")).select("*", F.posexplode(F.when(F.startswith(F.ltrim("c"), F.lit("[{")), _items(F.col("c"))).otherwise(F.array("c"))).alias("part", "b"))
-    block, kind = F.col("b"), F.when(F.startswith(F.ltrim("c"), F.lit("[{")), _text(F.col("b"), "$.type")).otherwise("text")
-    text = F.when(kind == "thinking", _text(block, "$.thinking")).when(kind == "tool_use", _text(block, "$.input")).when(kind == "tool_result", _text(block, "$.content")).when(F.startswith(F.ltrim("c"), F.lit("[{")), _text(block, "$.text")).otherwise(block)
+    blocked = F.col("c").rlike(r"^\s*\[\s*\{")
+    parts = rows.select("*", content.alias("c")).select("*", F.posexplode(F.when(blocked, _items(F.col("c"))).otherwise(F.array("c"))).alias("part", "b"))
+    block, kind = F.col("b"), F.when(blocked, _text(F.col("b"), "$.type")).otherwise("text")
+    text = F.when(kind == "thinking", _text(block, "$.thinking")).when(kind == "tool_use", _text(block, "$.input")).when(kind == "tool_result", _text(block, "$.content")).when(blocked, _text(block, "$.text")).otherwise(block)
     named = F.when(kind == "text", "message").when(kind == "thinking", "thought").when(kind == "tool_use", "tool_call").otherwise("tool_result")
     role = F.when(kind == "tool_result", "tool").otherwise(_text(v, "$.type"))
     return _turns(parts, source_path=F.col("source_path"), session_id=_text(v, "$.sessionId"), ordinal=F.col("ordinal"), part=F.col("part").cast("long"), role=role, kind=named, ts=_text(v, "$.timestamp"), text=text, tool_name=F.when(kind == "tool_use", _text(block, "$.name")), cwd=_text(v, "$.cwd"), branch=_text(v, "$.gitBranch"))
@@ -135,7 +136,7 @@ def timeline(turns: DataFrame, agent: str) -> DataFrame:
         F.coalesce(ts, F.timestamp_seconds(F.lit(0))).alias("ts"),
         F.when(ts.isNull(), "unknown").otherwise("turn").alias("timestamp_source"),
         F.lit(agent).alias("agent"), "session_id", "role", F.coalesce("text", F.lit("")).alias("message"), frame.alias("frame_kind"), "cwd", "branch",
-        (F.col("ordinal") * 1000 + F.col("part")).alias("source_seq"),
+        (F.shiftleft("ordinal", 20) + F.col("part")).alias("source_seq"),
     )
 
 
