@@ -8,16 +8,29 @@ from pyspark.sql import functions as F
 #: Polish letters and what they fold to.
 FOLD_FROM, FOLD_TO = "ĄąĆćĘęŁłŃńÓóŚśŹźŻż", "aacceellnnoosszzzz"
 INVISIBLE = r"[\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}]"
-#: Credential shapes, in the order in which they are replaced; what is kept of a match stands as $1.
+#: Credential shapes as their vendors document them, in the order in which they are replaced; what is kept
+#: of a match stands as $1.
 SECRETS = (
-    (r"(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----", "[REDACTED_KEY]"),
+    (r"(?s)-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----.*?-----END [A-Z0-9 ]*PRIVATE KEY-----", "[REDACTED_KEY]"),
     (r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b", "[REDACTED_AWS]"),
+    (r"\bAIza[0-9A-Za-z_-]{35}", "[REDACTED_TOKEN]"),
     (r"\bgh[pousr]_[A-Za-z0-9]{20,}\b", "[REDACTED_TOKEN]"),
+    (r"\bgithub_pat_[A-Za-z0-9_]{20,}", "[REDACTED_TOKEN]"),
+    (r"\bglpat-[A-Za-z0-9_-]{20,}", "[REDACTED_TOKEN]"),
+    (r"\bsk-(?:ant-api[0-9]{2}-|proj-)?[A-Za-z0-9_-]{20,}", "[REDACTED_TOKEN]"),
+    (r"\b[rs]k_(?:live|test)_[A-Za-z0-9]{24,}", "[REDACTED_TOKEN]"),
+    (r"\bwhsec_[A-Za-z0-9]{20,}", "[REDACTED_TOKEN]"),
+    (r"\bxox[abprs]-[A-Za-z0-9-]{10,}", "[REDACTED_TOKEN]"),
+    (r"\bxapp-[0-9]-[A-Za-z0-9-]{10,}", "[REDACTED_TOKEN]"),
     (r"\beyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", "[REDACTED_JWT]"),
     (r"(?i)\b(bearer)\s+[A-Za-z0-9._~+/-]{12,}=*", "$1 [REDACTED]"),
+    (r"(?i)\b((?:x-api-key|x-auth-token|api-key)\s*:\s*)\S+", "$1[REDACTED]"),
+    (r"(?m)^(\s*(?:export\s+)?[A-Z][A-Z0-9_]*(?:KEY|TOKEN|SECRET|PASSWORD)\s*=\s*)\S+", "$1[REDACTED]"),
     (r"(?i)\b((?:api[_-]?key|secret|token|password|passwd)\s*[:=]\s*)[^\s'\"]{6,}", "$1[REDACTED]"),
     (r"([a-z][a-z0-9+.-]*://)[^/\s:@]+:[^/\s@]+@", "$1[REDACTED]@"),
 )
+#: Every match of a credential shape holds one of these; texts without any are left as they are.
+HINTS = r"(?i)key|akia|asia|aiza|gh[pousr]_|github_pat_|glpat-|[rs]k[-_]|whsec_|xox|xapp-|eyj|bearer|x-auth|token|secret|passw|://"
 
 
 def normalize_query(x: Column) -> Column:
@@ -73,9 +86,10 @@ def sanitize(x: Column) -> Column:
 
 
 def redact(x: Column) -> Column:
+    clean = x
     for pattern, instead in SECRETS:
-        x = F.regexp_replace(x, pattern, instead)
-    return x
+        clean = F.regexp_replace(clean, pattern, instead)
+    return F.when(x.rlike(HINTS), clean).otherwise(x)
 
 
 def checkbox(x: Column) -> Column:

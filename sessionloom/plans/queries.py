@@ -107,7 +107,13 @@ def u09_u10_markers(spark, sf_dir):
     return rows.select("source_seq", T.checkbox(F.col("message")).alias("state"), T.severity(F.col("message")).alias("severity"))
 
 
-@query("SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)-----BEGIN [A-Z ]*PRIVATE KEY-----.*?-----END [A-Z ]*PRIVATE KEY-----', '[REDACTED_KEY]', 'g'), '\\b(?:AKIA|ASIA)[0-9A-Z]{16}\\b', '[REDACTED_AWS]', 'g'), '\\bgh[pousr]_[A-Za-z0-9]{20,}\\b', '[REDACTED_TOKEN]', 'g'), '\\beyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+', '[REDACTED_JWT]', 'g'), '(?i)\\b(bearer)\\s+[A-Za-z0-9._~+/-]{12,}=*', '\\1 [REDACTED]', 'g'), '(?i)\\b((?:api[_-]?key|secret|token|password|passwd)\\s*[:=]\\s*)[^\\s''\"]{6,}', '\\1[REDACTED]', 'g'), '([a-z][a-z0-9+.-]*://)[^/\\s:@]+:[^/\\s@]+@', '\\1[REDACTED]@', 'g')) AS sha FROM documents")
+def _redacted_sql(x: str) -> str:
+    for pattern, instead in T.SECRETS:
+        x = "regexp_replace({}, '{}', '{}', 'g')".format(x, pattern.replace("'", "''"), instead.replace("$1", "\\1"))
+    return x
+
+
+@query(f"SELECT doc_id, sha256({_redacted_sql('text')}) AS sha FROM documents")
 def u08_redaction(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.redact(F.col("text")), 256).alias("sha"))
 
