@@ -5,36 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.shared import written
+from sessionloom.llm.shared import narrow_side, written
 
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One step on links (u, v) with u > v. The large step may repeat links; the small step that follows drops them.
+def _least(links: DataFrame) -> DataFrame:
+    """Each u with its least neighbour, or itself. A grouped minimum, so a node with very many links is pre-aggregated."""
+    return narrow_side(written(links.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "link-ends"))
+
+
+def _rows(links: DataFrame, *rows: tuple[str, str]) -> DataFrame:
+    """(u, v) of each of these pairs of columns of each row, without loops."""
+    return links.select(F.explode(F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in rows))).alias("l")).select("l.*").where("u != v")
+
+
+def _small(edges: DataFrame) -> DataFrame:
+    """A node and its smaller neighbours go to the least of these."""
+    return written(_rows(edges.join(_least(edges), "u"), ("v", "m"), ("u", "m")).distinct(), "links")
 
-    Large: every larger neighbour of a node goes to the least node of its neighbourhood. Small: a node and its smaller
-    neighbours go there. The least neighbour is a grouped minimum, so a node with very many links is pre-aggregated.
-    """
-    both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    near = both.join(least, "u")
-    if large:
-        out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = near.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    out = out.where("u != v")
-    return out if large else out.distinct()
+
+def merged(edges: DataFrame | None, links: DataFrame) -> DataFrame:
+    """``edges`` (u, v), u > v, and further links (a, b) after one step: they connect what they did before."""
+    fresh = links.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    return _small(fresh if edges is None else edges.unionByName(fresh))
+
+
+def near_labels(edges: DataFrame) -> DataFrame:
+    """(id, component): a smaller id that the edges connect an id with. Ids of one component may still have several."""
+    return written(edges.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("component")), "labels")
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, component): for every id in the links (a, b) the least id that it can reach. Loops until all are stars."""
+    """(id, component): for every id in the links (a, b) the least id that it can reach. Loops until all are stars.
+
+    A large step sends the larger neighbours of each node to the least node of its neighbourhood; a small step sends a
+    node and its smaller neighbours there.
+    """
     links = links.where("a is not null and b is not null and a != b")
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     while True:
-        edges = written(_star(_star(edges, True), False), "links")
-        ends = edges.groupBy("u").agg(F.count("*").alias("n")).select(F.col("u").alias("id"), "n", F.lit(True).alias("end"))
-        both = ends.unionByName(edges.select(F.col("v").alias("id"), F.lit(0).alias("n"), F.lit(False).alias("end")).distinct())
-        per = both.groupBy("id").agg(F.max("n").alias("n"), F.count_distinct("end").alias("sides"))
-        if per.where("n > 1 or sides > 1").isEmpty():  # each has one neighbour, and none of these has a smaller one
-            break
+        both = _rows(edges, ("u", "v"), ("v", "u"))
+        large = written(_rows(both.join(_least(both), "u").where("v > u"), ("v", "m")), "links")
+        edges = _small(large)
+        ends = F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("end"), F.lit(0).alias("centre")), F.struct(F.col("v").alias("id"), F.lit(0).alias("end"), F.lit(1).alias("centre")))
+        per = edges.select(F.explode(ends).alias("e")).groupBy("e.id").agg(F.sum("e.end").alias("n"), F.max("e.centre").alias("centre"))
+        if not per.agg(F.count_if((F.col("n") > 1) | ((F.col("n") > 0) & (F.col("centre") > 0)))).first()[0]:
+            break  # each has one neighbour, and none of these has a smaller one
     stars = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stars.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

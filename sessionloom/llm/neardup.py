@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.components import components
+from sessionloom.llm.components import components, merged, near_labels
 from sessionloom.llm.shared import narrow_side, written
 from sessionloom.llm.textarrays import blocks, mixed, shingle_sets, text_bytes, word_hashes
 
@@ -38,7 +38,7 @@ PICKED = 64
 TREES = 6
 BRANCHES = 2
 #: Sets outside the largest component of a node that are compared with the whole node.
-SMALL = 250
+SMALL = 500
 PIVOTS = 8
 DEPTH = 8
 #: The share of a node that must resemble its pivots or be its largest component for the node to be compared at once.
@@ -203,17 +203,17 @@ def _promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each group links between short sets and others that join its components: fewer than it has components."""
+    """For each group links that join its components where a short set is linked to another: each that is joined to the least one."""
 
     def of(group: pa.Table) -> pa.Table:
         lists = group.column("set").chunk(0)
         starts = np.asarray(lists.offsets)
         values = np.asarray(lists.values)[starts[0] : starts[-1]]
         starts, sizes = (starts - starts[0])[:-1], np.diff(starts)
-        ids, root = group.column("id").to_numpy(), group.column("component").to_numpy().copy()
+        root = group.column("component").to_numpy().copy()
         known, place = np.unique(values, return_inverse=True)
         own = np.zeros(len(known), dtype=np.uint8)
-        found: list[tuple[int, int]] = []
+        before = root.copy()
         for i in np.flatnonzero(group.column("short").to_numpy()):
             mine = place[starts[i] : starts[i] + sizes[i]]
             own[mine] = 1
@@ -221,9 +221,11 @@ def _spanning(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own[mine] = 0
             for j in np.flatnonzero((100 * shared >= THRESHOLD * (sizes[i] + sizes - shared)) & (root != root[i])):
                 if root[j] != root[i]:
-                    found.append((ids[i], ids[j]))
-                    root[root == root[j]] = root[i]
-        return pa.table({c: pa.array([f[k] for f in found], pa.int64()) for k, c in enumerate("ab")})
+                    low, high = sorted((root[i], root[j]))
+                    root[root == high] = low
+        moved = np.unique(before[before != root], return_index=True)[1] if (before != root).any() else np.zeros(0, np.int64)
+        at = np.flatnonzero(before != root)[moved]
+        return pa.table({"a": before[at], "b": root[at]})
 
     yield from _gathered(map(of, _groups(batches)))
 
@@ -232,7 +234,7 @@ def _labelled(entries: DataFrame, labels: DataFrame | None) -> DataFrame:
     """``entries`` with the component of each id: itself, or what earlier links say."""
     if labels is None:
         return entries.withColumn("component", F.col("id"))
-    known = labels.select(F.col("id").alias("_id"), F.col("component").alias("_known"))
+    known = narrow_side(labels.select(F.col("id").alias("_id"), F.col("component").alias("_known")))
     return entries.join(known, F.col("id") == F.col("_id"), "left").select(*entries.columns, F.coalesce("_known", "id").alias("component"))
 
 
@@ -261,7 +263,7 @@ def _mixed_nodes(entries: DataFrame, turn: int) -> DataFrame:
 def _of_nodes(entries: DataFrame, nodes: DataFrame) -> DataFrame:
     """``entries`` with what ``nodes`` says of theirs; others go. Nodes with many entries do not meet in one task."""
     hot = narrow_side(nodes.where(F.col("members") > HOT))
-    rest = nodes.where(F.col("members") <= HOT)
+    rest = narrow_side(nodes.where(F.col("members") <= HOT))
     cool = entries.join(hot.select("node"), "node", "left_anti").join(rest, "node")
     return entries.join(hot, "node").unionByName(cool)
 
@@ -285,56 +287,50 @@ def _placed(entries: DataFrame, turn: int) -> DataFrame:
     return entries.select("node", *FIELDS, "component", F.explode(places).alias("at")).select("*", "at.*").drop("at")
 
 
-def _node_links(docs: DataFrame, entries: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+def _node_links(docs: DataFrame, entries: DataFrame, turn: int, repeats: bool) -> tuple[DataFrame, DataFrame]:
     """(a, b), links that join the components of these nodes as far as their short sets reach; (node, near), how many
-    of a node's sets may be linked to a short set.
+    of a node's sets may be linked to a short set. ``repeats`` tells that rows of ``docs`` are repeated.
     """
     sorted_groups = lambda df: df.repartition(*GROUP).sortWithinPartitions(*GROUP)
     kept = sorted_groups(_placed(entries, turn)).mapInArrow(_promising, "node long, chunk int, part int, id long, mark long, component long, short boolean")
     kept = written(kept, "neardup-kept")
-    ids = narrow_side(written(kept.select(F.col("id").alias("doc_id")).distinct(), "neardup-ids"))
-    sets = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_sets, "id long, mark long, set array<long>")
-    full = kept.join(sets.dropDuplicates(["id", "mark"]), ["id", "mark"]).select(*GROUP, "id", "component", "short", "set")
+    kept = narrow_side(kept)
+    sets = docs.select("doc_id", "text").join(kept.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").mapInArrow(_sets, "id long, mark long, set array<long>")
+    sets = sets.dropDuplicates(["id", "mark"]) if repeats else sets
+    full = sets.join(kept, ["id", "mark"]).select(*GROUP, "id", "component", "short", "set")
     links = written(sorted_groups(full).mapInArrow(_spanning, "a long, b long"), "neardup-links")
     return links, kept.where("not short").groupBy("node").agg(F.count("*").alias("near"))
 
 
-def _joined(links: DataFrame, labels: DataFrame | None) -> DataFrame | None:
-    """The components after these links."""
-    if links.isEmpty():
-        return labels
-    if labels is not None:
-        links = links.unionByName(labels.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")))
-    return components(links)
-
-
-def _join_trees(docs: DataFrame, reps: DataFrame, labels: DataFrame | None, first: int, end: int) -> tuple[DataFrame | None, DataFrame | None]:
-    """The components after the links that the trees from ``first`` to before ``end`` add, and (id, mark, node), the
-    roots' nodes that have been compared exhaustively.
+def _join_trees(docs: DataFrame, reps: DataFrame, edges: DataFrame | None, first: int, end: int, repeats: bool) -> tuple[DataFrame | None, DataFrame | None]:
+    """``edges`` and the links that the trees from ``first`` to before ``end`` add, and (id, mark, node), the roots'
+    nodes that have been compared exhaustively. On the way ids count as joined as far as one step over the edges tells.
     """
     nodes = F.slice("nodes", first * BRANCHES + 1, (end - first) * BRANCHES)
     entries = reps.select(F.explode(nodes).alias("node"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("was"), *FIELDS)
-    seen = None
+    seen, labels = None, None if edges is None else near_labels(edges)
     for turn in itertools.count():
         entries = _labelled(entries, labels)
         nodes = written(_mixed_nodes(entries, turn), "neardup-nodes")
-        modes = {r["mode"] for r in nodes.select("mode").distinct().collect()}
-        if not modes:
-            return labels, seen
+        finished, large = nodes.agg(F.count_if(F.col("mode") == "all"), F.count_if(F.col("mode") == "pivots")).first()
+        if not finished + large:
+            return edges, seen
         entries = written(_of_nodes(entries.drop("depth"), nodes), "neardup-entries")
-        links, near = _node_links(docs, entries, turn)
-        labels = _joined(links, labels)
+        links, near = _node_links(docs, entries, turn, repeats)
+        if links.count():
+            edges = merged(edges, links)
+            labels = near_labels(edges)
         done = entries.where("mode = 'all' and depth = 0").select("id", "mark", "node")
         seen = done if seen is None else seen.unionByName(done)
-        if modes == {"all"}:
-            return labels, seen
-        large = nodes.where("mode = 'pivots'").join(near, "node", "left")
+        if not large:
+            return edges, seen
+        large = nodes.where("mode = 'pivots'").join(narrow_side(written(near, "neardup-near")), "node", "left")
         dense = F.coalesce("near", F.lit(0)) + F.col("members") - F.col("rest") >= DENSE * F.col("members")
         large = narrow_side(written(large.select("node", dense.alias("dense")), "neardup-large"))
         more = entries.where("mode = 'pivots'").join(large, "node")
         again = more.where("dense").select("node", "depth", F.col("rest").alias("was"), *FIELDS)
         below = more.where("not dense").select("node", (F.col("depth") + 1).alias("depth"), *FIELDS)
-        below = below.join(reps.select("id", "mark", "mins"), ["id", "mark"]).mapInArrow(_branch, f"node long, depth int, {ENTRY}")
+        below = reps.select("id", "mark", "mins").join(narrow_side(below), ["id", "mark"]).mapInArrow(_branch, f"node long, depth int, {ENTRY}")
         entries = written(again.unionByName(below.withColumn("was", F.lit(None).cast("long"))), "neardup-below")
 
 
@@ -353,17 +349,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     key = ["set_a", "set_b", "n_shingles"]
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = written(filled.groupBy(*key).agg(F.min("doc_id").alias("rep")), "neardup-classes")
-    reps = filled.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    reps = filled.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     reps = reps.select(F.col("doc_id").alias("id"), F.col("set_a").alias("mark"), F.col("n_shingles").alias("n"), "bits_a", "bits_b", "nodes", "mins")
-    reps = written(reps.dropDuplicates(["id", "mark"]).withColumn("seen", F.array().cast("array<long>")), "neardup-reps")
-    labels, seen = _join_trees(docs, reps, None, 0, 1)
+    reps = written(reps.withColumn("seen", F.array().cast("array<long>")), "neardup-reps")
+    once = reps.select("id", "mark").distinct().count()
+    if repeats := once < reps.count():
+        reps = written(reps.dropDuplicates(["id", "mark"]), "neardup-reps")
+    edges, seen = _join_trees(docs, reps, None, 0, 1, repeats)
     if seen is not None:
         seen = seen.groupBy("id", "mark").agg(F.array_sort(F.collect_set("node")).alias("seen"))
         reps = written(reps.drop("seen").join(seen, ["id", "mark"], "left"), "neardup-reps")
-        labels, _ = _join_trees(docs, reps, labels, 1, TREES)
+        edges, _ = _join_trees(docs, reps, edges, 1, TREES, repeats)
     rows = sketches.join(classes, key, "left")
     component = F.coalesce("rep", "doc_id")
-    if labels is not None:
+    if edges is not None:
+        labels = components(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
         rows = rows.join(labels.withColumnRenamed("id", "rep"), "rep", "left")
         component = F.coalesce("component", "rep", "doc_id")
     out = rows.select("doc_id", "n_shingles", component.alias("component_id"))

@@ -284,7 +284,7 @@ def test_a_group_yields_fewer_links_than_members(spark):
     finally:
         neardup._node_links = links
     first = found[0][0]
-    assert 0 < first.count() <= 2 * (len(texts) - 1)  # the first tree has two nodes
+    assert 0 < first.count() <= 2 * (len(texts) - 1)  # the first tree has two nodes, and they need no more parts
 
 
 def test_components(spark):
