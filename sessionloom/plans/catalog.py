@@ -1,6 +1,6 @@
 """All named queries of the engine."""
 
-from sessionloom.plans import logs, more, searching, worklog  # noqa: F401  they register their queries
+from sessionloom.plans import corpus, logs, more, searching, worklog  # noqa: F401  they register their queries
 from sessionloom.plans.queries import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
