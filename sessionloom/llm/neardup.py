@@ -44,7 +44,7 @@ DEPTH = 8
 #: The share of a node that must resemble its pivots or be its largest component for the node to be compared at once.
 DENSE = 0.5
 #: Sets, and shingles of them, of a node that one group compares with pivots or with the sets outside.
-PART_SETS = 256
+PART_SETS = 1024
 PART_SHINGLES = 1 << 20
 #: Sets of a node from which its size travels by broadcast; so few nodes have so many.
 HOT = 1000
