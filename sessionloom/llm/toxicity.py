@@ -147,21 +147,25 @@ def fit(x: np.ndarray, y: np.ndarray, changes: np.ndarray, penalty: float = SWAP
     """
     n, width = x.shape
     w, b = np.zeros(width), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    quadratic = RIDGE * np.eye(width) + (2 * penalty / max(1, len(changes))) * (changes.T @ changes).astype(np.float64)
+    quadratic = RIDGE * np.eye(width)
+    for part in _parts(changes):
+        quadratic += 2 * penalty / len(changes) * (part.T @ part)
 
     def loss(w: np.ndarray, b: float) -> float:
-        z = np.clip(x @ w + b, -500, 500)
+        z = np.clip(np.concatenate([part @ w for part in _parts(x)]) + b, -500, 500)
         return float(np.mean(np.logaddexp(0, z) - y * z) + w @ quadratic @ w / 2)
 
     now = loss(w, b)
     for _ in range(STEPS):
-        p = 1 / (1 + np.exp(-np.clip(x @ w + b, -500, 500)))
-        g = np.append(x.T @ (p - y) / n + quadratic @ w, (p - y).mean())
-        bend = np.maximum(p * (1 - p), 1e-9) / n
-        h = np.empty((width + 1, width + 1))
-        h[:width, :width] = x.T @ (x * bend[:, None]) + quadratic
-        h[:width, width] = h[width, :width] = x.T @ bend
-        h[width, width] = bend.sum()
+        g, h = np.append(quadratic @ w, 0.0), np.zeros((width + 1, width + 1))
+        h[:width, :width] = quadratic
+        at = 0
+        for part in _parts(x):
+            own = np.append(part, np.ones((len(part), 1)), axis=1)
+            p = 1 / (1 + np.exp(-np.clip(part @ w + b, -500, 500)))
+            g += own.T @ (p - y[at : at + len(part)]) / n
+            h += own.T @ (own * (np.maximum(p * (1 - p), 1e-9) / n)[:, None])
+            at += len(part)
         move = np.linalg.solve(h, g)
         size = 1.0
         while size > 1e-4 and loss(w - size * move[:-1], b - size * move[-1]) > now:
@@ -173,6 +177,12 @@ def fit(x: np.ndarray, y: np.ndarray, changes: np.ndarray, penalty: float = SWAP
     return w, b
 
 
+def _parts(rows: np.ndarray, size: int = 2048) -> Iterator[np.ndarray]:
+    """The rows in parts, so that 64-bit temporaries stay small."""
+    for at in range(0, len(rows), size):
+        yield rows[at : at + size].astype(np.float64)
+
+
 def mentions(n: int, seed: int = 11) -> np.ndarray:
     """(n, 2): for each sentence the number of an identity term and of another one of its group."""
     draw = np.random.default_rng(seed)
