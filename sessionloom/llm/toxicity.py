@@ -8,7 +8,7 @@ to the label, and against the sentence with another term of the group and with n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -140,16 +140,18 @@ def choose_terms(sample: DataFrame) -> tuple[list[int], int, int]:
     return sorted(r["term"] for r in best.collect()), n0, n1
 
 
-def fit(x: np.ndarray, y: np.ndarray, changes: np.ndarray, penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, float]:
+def fit(x: np.ndarray | list[np.ndarray], y: np.ndarray, changes: np.ndarray | Iterable[np.ndarray], penalty: float = SWAP_PENALTY) -> tuple[np.ndarray, float]:
     """Logistic loss, plus ``penalty`` times the mean squared change of the score over the rows of ``changes``.
 
     Newton's method with halved steps; the loss is convex and the ridge makes its minimum unique.
     """
-    n, width = x.shape
+    n, width = len(y), next(_parts(x)).shape[1]
     w, b = np.zeros(width), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
-    quadratic = RIDGE * np.eye(width)
+    gram, count = np.zeros((width, width)), 0
     for part in _parts(changes):
-        quadratic += 2 * penalty / len(changes) * (part.T @ part)
+        gram += part.T @ part
+        count += len(part)
+    quadratic = RIDGE * np.eye(width) + 2 * penalty / max(1, count) * gram
 
     def loss(w: np.ndarray, b: float) -> float:
         z = np.clip(np.concatenate([part @ w for part in _parts(x)]) + b, -500, 500)
@@ -177,10 +179,11 @@ def fit(x: np.ndarray, y: np.ndarray, changes: np.ndarray, penalty: float = SWAP
     return w, b
 
 
-def _parts(rows: np.ndarray, size: int = 2048) -> Iterator[np.ndarray]:
-    """The rows in parts, so that 64-bit temporaries stay small."""
-    for at in range(0, len(rows), size):
-        yield rows[at : at + size].astype(np.float64)
+def _parts(rows: np.ndarray | Iterable[np.ndarray], size: int = 2048) -> Iterator[np.ndarray]:
+    """The rows of one or several arrays in parts, so that 64-bit temporaries stay small."""
+    for array in [rows] if isinstance(rows, np.ndarray) else rows:
+        for at in range(0, len(array), size):
+            yield array[at : at + size].astype(np.float64)
 
 
 def mentions(n: int, seed: int = 11) -> np.ndarray:
@@ -243,9 +246,19 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, penalty:
     x, other, y = x[order], other[order], y[order]
     added = chosen_counts(terms).astype(np.float32)
     one, two = mentions(len(y)).T
-    with_one, with_two = (np.log1p(np.expm1(x) + added[k]) for k in (one, two))
-    changes = np.concatenate([(x - other)[(x != other).any(axis=1)], with_one - with_two, with_one - x])
-    return Classifier(place, *fit(np.concatenate([x, with_one]), np.concatenate([y, y]), changes, penalty))
+    mention = lambda at, k: np.log1p(np.expm1(x[at]) + added[k[at]])
+    spans = [slice(at, at + 2048) for at in range(0, len(y), 2048)]
+    with_one = np.empty_like(x)
+    for at in spans:
+        with_one[at] = mention(at, one)
+
+    def changes() -> Iterator[np.ndarray]:
+        for at in spans:
+            yield x[at] - other[at]
+            yield with_one[at] - mention(at, two)
+            yield with_one[at] - x[at]
+
+    return Classifier(place, *fit([x, with_one], np.concatenate([y, y]), changes(), penalty))
 
 
 def scored(docs: DataFrame, model: Classifier, column: str = "toxicity_score") -> DataFrame:
