@@ -17,18 +17,21 @@ def held_out(modulus: int, remainder: int) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, label) of at most ``rows`` labelled documents that are not held out.
+    """(text, label) of at most ``rows`` labelled documents that are not held out, one row a doc_id.
 
-    Only the bounded list of sampled ids is broadcast; the texts stay where they are. Of contradicting labels of a
-    document the greatest counts. Null ids and null labels are left out. The sample is written, so further passes over it
-    do not read the documents again.
+    The ids are drawn among those that ``docs`` holds, so labels of other documents use up nothing. Of contradicting
+    labels of a document the greatest counts; of several texts of a doc_id the one with the least SHA-256. Null ids and
+    null labels are left out. Only the bounded list of sampled ids is broadcast; the sample is written, so further passes
+    over it do not read the documents again.
     """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(modulus, remainder))
     usable = usable.groupBy(F.col("doc_id").alias("_doc")).agg(F.max(label).cast("int").alias("_label"))
-    picked = usable.orderBy(F.xxhash64("_doc"), "_doc").limit(rows)
+    there = docs.select(F.col("doc_id").alias("_id")).join(usable, F.col("_id") == F.col("_doc")).groupBy("_doc").agg(F.max("_label").alias("_label"))
+    picked = there.orderBy(F.xxhash64("_doc"), "_doc").limit(rows)
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
-    found = texts.join(F.broadcast(picked), F.col("_id") == F.col("_doc")).select(F.col("_text").alias("text"), F.col("_label").alias("label"))
-    return written(found, f"sample-{label}")
+    found = texts.join(F.broadcast(picked), F.col("_id") == F.col("_doc")).groupBy("_doc")
+    one = found.agg(F.min(F.struct(F.sha2(F.coalesce("_text", F.lit("")), 256).alias("digest"), "_text")).alias("one"), F.first("_label").alias("label"))
+    return written(one.select(F.col("one._text").alias("text"), "label"), f"sample-{label}")
 
 
 def free_name(docs: DataFrame, name: str) -> str:
