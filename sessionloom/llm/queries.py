@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.llm import chat, decontaminate, licenses, media, mixing, neardup, quality, tokencount, toxicity, webarchive
+from sessionloom.llm import chat, decontaminate, licenses, media, mixing, neardup, quality, tokencount, tokenfile, toxicity, turntrie, vectorcodes, webarchive
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfile.token_files(table(spark, sf_dir, "documents"), str(public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turntrie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 OP1_SQL = r"""
 WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
 f AS (SELECT *, list_reduce(list_prepend(text, ['<s>', '</s>', '[INST]', '[/INST]', '<|reply|>', '<<SYS>>', '<</SYS>>', '<|role|>', '<|text|>', '<|end|>']), lambda a, x: replace(a, x, x[1] || chr(92) || x[2:])) AS e FROM c)
@@ -141,6 +155,36 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
 FROM d
 """
 
+_ASSIGN = "a%d AS (SELECT r, part, any_value(x) AS x, arg_min(e, (d, e)) AS e, min(d) AS d FROM (SELECT r, part, x, e, list_inner_product(x, x) + list_inner_product(c, c) - 2 * list_inner_product(x, c) AS d FROM p JOIN b%d USING (part)) GROUP BY r, part)"
+_MEANS = (
+    "m%d AS (SELECT part, e, list(m ORDER BY i) AS c FROM (SELECT part, e, i, floor(sum(v) / count(*)) AS m FROM (SELECT part, e, unnest(x) AS v, unnest(range(len(x))) AS i FROM a%d) GROUP BY part, e, i) GROUP BY part, e),\n"
+    "b%d AS (SELECT part, e, coalesce(m.c, b.c) AS c FROM b%d b LEFT JOIN m%d m USING (part, e))"
+)
+OP12_SQL = r"""
+WITH k AS (SELECT row_number() OVER (ORDER BY vec_id) AS r, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+p AS (SELECT r, part, v[part * len(v) // 4 + 1 : (part + 1) * len(v) // 4] AS x FROM (SELECT r, v, unnest(range(4)) AS part FROM k)),
+b0 AS (SELECT part, r - 1 AS e, x AS c FROM p WHERE r <= 256),
+%s,
+f AS (SELECT r, string_agg(printf('%%02x', e), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY r),
+s AS (SELECT sha256(string_agg(CAST(CAST(v AS BIGINT) AS VARCHAR), ',' ORDER BY part, e, i)) AS codebooks_sha256 FROM (SELECT part, e, unnest(c) AS v, unnest(range(len(c))) AS i FROM b4))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN f USING (r), s
+""" % ",\n".join(_ASSIGN % (k, k) + (",\n" + _MEANS % (k, k, k + 1, k, k) if k < 4 else "") for k in range(5))
+
+OP13_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list({'k': md5(role) || md5(text), 'n': strlen(text)} ORDER BY turn NULLS FIRST, role, text) AS l FROM t GROUP BY conv_id),
+h AS (SELECT conv_id, l, CAST(xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: list_transform(range(0, 8), lambda j: (ord(s) >> j) & 1)))), lambda a, x: CASE WHEN xor(a, x) & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END), 4294967295) % 9 AS INTEGER) AS h FROM c),
+b AS (SELECT x.conv_id, CASE WHEN x.conv_id % 5 = 0 THEN x.l ELSE coalesce(y.l[1 : x.h], []) || x.l[x.h + 1 :] END AS l FROM h x LEFT JOIN c y ON y.conv_id = x.conv_id - x.conv_id % 5),
+q AS (SELECT conv_id, l, d, list_transform(l[1 : d], lambda x: x.k) AS k FROM (SELECT conv_id, l, unnest(range(0, len(l) + 1)) AS d FROM b)),
+p AS (SELECT conv_id, d, md5(array_to_string(k, '')) AS key, CASE WHEN d > 0 THEN md5(array_to_string(k[1 : d - 1], '')) END AS above, CASE WHEN d > 0 THEN l[d].n ELSE 0 END AS bytes, d = len(l) AS last FROM q),
+n AS (SELECT d, key, any_value(above) AS above, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (last) AS ends FROM p GROUP BY d, key),
+k AS (SELECT d - 1 AS d, above AS key, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1, 2),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (d, key)),
+s AS (SELECT p.d, p.key, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * v.bytes) AS saved FROM v JOIN p ON p.conv_id = v.conv_id AND p.d <= v.d GROUP BY 1, 2)
+SELECT v.conv_id, CAST(v.d AS BIGINT) AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN s USING (d, key) LEFT JOIN n u ON u.d = v.d - 1 AND u.key = v.above
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_format": op1_chat_format,
     "op2_license_scan": op2_license_scan,
@@ -152,6 +196,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_token_files": op11_token_files,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_license_scan": OP2_SQL, "op3_mixing": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_minhash_neardup": OP5_SQL, "op7_warc": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_chat_format": OP1_SQL, "op2_license_scan": OP2_SQL, "op3_mixing": OP3_SQL, "op4_decontamination": OP4_SQL, "op5_minhash_neardup": OP5_SQL, "op7_warc": OP7_SQL, "op12_vector_codes": OP12_SQL, "op13_prefix_trie": OP13_SQL}

@@ -33,6 +33,13 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/sessionloom/{name}-{uuid.uuid4().hex}"
 
 
+def storage(uri: str):
+    """The file system of a URI, and the path in it: file, hdfs, viewfs, s3 (also as s3a), gs or abfs(s)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith(("s3a:", "s3n:")) else uri)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back, which cuts its lineage."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.shared import new_path, written
+from sessionloom.llm.shared import new_path, storage, written
 
 #: Bytes of records after which a package is closed and the next begins.
 PACKAGE_BYTES = 64 << 20
@@ -164,13 +164,6 @@ def parse_record(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, fields(http), payload
 
 
-def _storage(uri: str):
-    """The file system of a URI, and the path in it: file, hdfs, viewfs, s3 (also as s3a), gs or abfs(s)."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith(("s3a:", "s3n:")) else uri)
-
-
 def write_packages(records: DataFrame, folder: str) -> DataFrame:
     """Writes (page_id, url, html, refers_to) as packages into ``folder``; (path, records) of the packages of each task.
 
@@ -181,7 +174,7 @@ def write_packages(records: DataFrame, folder: str) -> DataFrame:
         data, index, n = io.BytesIO(), [], 0
 
         def close() -> pa.RecordBatch:
-            files, base = _storage(folder)
+            files, base = storage(folder)
             files.create_dir(base, recursive=True)
             name = f"{uuid.uuid4().hex}.wacz"
             with files.open_output_stream(f"{base}/{name}") as out:
@@ -216,7 +209,7 @@ def read_packages(packages: DataFrame) -> DataFrame:
         number = lambda urn: int(urn[10:-1]) if urn and urn[10:-1] else None
         for batch in batches:
             for path in batch.column("path"):
-                files, base = _storage(path.as_py())
+                files, base = storage(path.as_py())
                 with files.open_input_file(base) as source:
                     package = Package(lambda start, length: source.read_at(length, start), source.size())  # noqa: B023
                     first = package.start(DATA)
