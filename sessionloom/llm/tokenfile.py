@@ -26,7 +26,10 @@ from sessionloom.llm.shared import new_path, storage, written
 #: Ids of a sequence, and sequences of a record batch.
 LENGTH, ROWS = 2048, 256
 #: Words whose ids a task keeps, and characters that are cut into words at once.
-WORDS, STRETCH = 300_000, 1 << 20
+WORDS, STRETCH = 800_000, 1 << 20
+#: Texts that are not folded here: letters whose folding may depend on others, and what may begin a special token.
+BEYOND_LATIN = re.compile("[^\\x00-\u012f\u0131-\u017f]|<[|]")
+END_MARKS = re.compile(r"(?<=[a-z0-9])[.,;:!?](?=\s)")
 #: Documents of a batch of the second file.
 DOCUMENTS = 1 << 15
 
@@ -34,8 +37,9 @@ DOCUMENTS = 1 << 15
 class Encoder:
     """The ids of whole texts as the library gives them, as bytes of little-endian unsigned numbers.
 
-    Where white space parts words for good, as the vocabulary is probed for, each distinct word is encoded once and kept.
-    Other vocabularies encode whole texts.
+    Where white space parts words for good, as the vocabulary is probed for, each distinct word is encoded once and kept,
+    many new ones in a call with a mark between them. Where the vocabulary also folds case and parts marks from letters,
+    Latin texts are folded and parted before, so that fewer words are distinct. Other vocabularies encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -49,7 +53,12 @@ class Encoder:
         self.parting = [c for c in spaces if self._plain(f"ab{c}{c}cd{c}") == a + b and not self._plain(c)]
         self.by_word = " " in self.parting
         self.at_spaces = re.compile(f"[{re.escape(''.join(self.parting or ' '))}]+")
-        self.joining = re.compile(f"[{re.escape(''.join({*spaces} - {*self.parting}) or '(?!)')}]") if {*spaces} - {*self.parting} else None
+        joining = {*spaces} - {*self.parting}
+        self.joining = re.compile(f"[{re.escape(''.join(joining))}]") if joining else None
+        parts_marks = all(self._plain(f"ab{m} 1{m}") == a + self._plain(m) + self._plain("1") + self._plain(m) for m in ".,;:!?")
+        self.folds = self.by_word and parts_marks and self._plain("ABÉÀÜ") == self._plain("abéàü")
+        self.mark = next((m for m in map(chr, range(9)) if len(self._plain(m)) == 1), None)
+        self.mark_id = self._plain(self.mark)[0] if self.mark else None
 
     def _plain(self, text: str) -> list[int]:
         return self.library.encode(text, add_special_tokens=False).ids
@@ -58,10 +67,27 @@ class Encoder:
         return np.array(ids, dtype=self.dtype).tobytes()
 
     def _words(self, text: str) -> list[str]:
+        if self.folds and not BEYOND_LATIN.search(text):
+            text = END_MARKS.sub(r" \g<0>", text.lower())
         if self.joining and self.joining.search(text):
             return [w for w in self.at_spaces.split(text) if w]
         return text.split()
 
+    def _learn(self, words: list[str]) -> None:
+        """Encodes new words: those without the mark in calls of many, the others one by one."""
+        easy = [w for w in words if self.mark and self.mark not in w]
+        for w in {*words} - {*easy}:
+            self.known[w] = self._bytes(self._plain(w))
+        for at in range(0, len(easy), 2000):
+            some = easy[at : at + 2000]
+            ids = np.array(self.library.encode_batch_fast([f" {self.mark} ".join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            ends = np.flatnonzero(ids == self.mark_id) * self.dtype.itemsize
+            if len(ends) != len(some) - 1:
+                raise ValueError("the mark is not apart from the words")
+            data, starts = ids.tobytes(), (ends + self.dtype.itemsize).tolist()
+            for w, start, end in zip(some, [0, *starts], [*ends.tolist(), len(data)], strict=True):
+                self.known[w] = data[start:end]
+
     def parts(self, text: str) -> Iterator[bytes]:
         """The ids of a text, in parts of bounded size where it has white space."""
         if not self.by_word:
@@ -72,18 +98,26 @@ class Encoder:
             cut = self.at_spaces.search(text, at + STRETCH)
             to = cut.start() if cut else len(text)
             words = self._words(text[at:to])
-            known = self.known
-            new = {w for w in words if w not in known}
-            if new and len(known) + len(new) > WORDS:
-                known.clear()
-                new = {*words}
-            new = list(new)
-            for word, found in zip(new, self.library.encode_batch(new, add_special_tokens=False), strict=True):
-                known[word] = self._bytes(found.ids)
-            yield b"".join(map(known.__getitem__, words))
+            new = {*words}.difference(self.known)
+            if new:
+                if len(self.known) + len(new) > WORDS:
+                    self.known.clear()
+                    new = {*words}
+                self._learn(list(new))
+            yield b"".join(map(self.known.__getitem__, words))
             at = to
 
 
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a vocabulary, kept from task to task of a Python worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
+
+
 class ShardWriter:
     """Writes a shard to two sinks; documents are added in order, and no more than a batch is kept."""
 
@@ -204,7 +238,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end: int = 2, len
         fs, local = storage(path)
         for batch in batches:
             if writer is None and batch.num_rows:
-                encoder = Encoder(tokenizer)
+                encoder = encoder_of(tokenizer)
                 last = np.array([end], encoder.dtype).tobytes()
                 writer = ShardWriter(fs.open_output_stream(local + ".arrow"), fs.open_output_stream(local + ".docs.arrow"), encoder.dtype, batch.schema.field("doc_id").type, length, rows)
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
