@@ -67,6 +67,45 @@ def byte_cut(x: Column, most: int, mark: str = "...[truncated]") -> Column:
     return F.when(F.octet_length(x) > most, F.concat(short, F.lit(mark))).otherwise(x)
 
 
+def let(x: Column, then) -> Column:
+    """``then`` of the value of ``x``, which is computed once however often it stands in ``then``."""
+    return F.get(F.transform(F.array(x), then), 0)
+
+
+def sentence_cut(x: Column, most: int = 480, back: int = 80) -> Column:
+    """A text of over ``most`` bytes cut behind its last sentence, else before its last comma or word, of the last ``back`` bytes."""
+
+    def short(head: Column) -> Column:
+        near = F.octet_length(head) - back
+        behind = lambda n: F.decode(F.encode(head, "UTF-8").substr(n, F.lit(most)), "UTF-8")
+        starts = [F.hex(F.encode(head, "UTF-8").substr(near + 1 - k, F.lit(1))).between("80", "BF") for k in range(3)]
+        start = near - F.when(~starts[0], 0).when(~starts[1], 1).when(~starts[2], 2).otherwise(3)  # where a character begins
+        return let(behind(start + 1), lambda tail: ended(F.left(head, F.length(head) - F.length(tail)), tail, head))
+
+    def ended(front: Column, tail: Column, head: Column) -> Column:
+        upto = lambda pattern: F.regexp_replace(F.concat(front, F.regexp_extract(tail, pattern, 1)), r"\s+$", "")
+        found = F.when(tail.rlike("[.!?]"), upto(r"(?s)^(.*[.!?])"))
+        for stop in (r"[,;:]", r"\s"):
+            found = found.when(tail.rlike(stop), F.concat(upto(rf"(?s)^(.*){stop}"), F.lit(" …")))
+        return found.otherwise(F.concat(head, F.lit(" …")))
+
+    return F.when(F.octet_length(x) <= most, x).otherwise(let(byte_cut(x, most, ""), short))
+
+
+#: Endings of files that count as evidence.
+EVIDENCE_FILES = (".rs", ".md", ".json", ".jsonl", ".toml", ".yaml", ".yml", ".ts", ".tsx", ".js", ".jsx", ".py", ".sh", ".txt")
+
+
+def evidence_tokens(x: Column) -> Column:
+    """The files with a path, commit hashes and scores that a text names; of equal ones the first."""
+    words = F.transform(F.split(x, r"\s+"), lambda t: F.regexp_replace(t, r"""^[,.;:()\[\]{}"']+|[,.;:()\[\]{}"']+$""", ""))
+    ending = "|".join(e.replace(".", r"\.") for e in EVIDENCE_FILES)
+    is_file = lambda t: F.lower(t).rlike(ending) & (t.rlike(r"[/\\:]") | F.startswith(t, F.lit("src.")))
+    is_score = lambda t: F.lower(t).rlike("^(?:p[012]=0$|score[=:])|/10$")
+    named = F.filter(words, lambda t: (t != "") & (is_file(t) | t.rlike("^[0-9a-fA-F]{7,40}$") | is_score(t)))
+    return let(named, lambda all: F.filter(all, lambda t, i: F.array_position(F.transform(all, normalize_key), normalize_key(t)) == i + 1))
+
+
 def path_tokens(x: Column) -> Column:
     """The sorted distinct paths that a text names: spans in backticks with a slash, and bare words whose last part has a dot."""
     is_path = lambda t: F.contains(t, F.lit("/")) & ~F.contains(t, F.lit("://")) & ~F.startswith(t, F.lit("~")) & ~F.contains(t, F.lit("*"))

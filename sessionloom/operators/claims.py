@@ -7,25 +7,32 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions.text import hash_tokens, path_tokens, trimmed
 
-#: Claim rules in order: type, phrases of which one must stand in the line, high risk.
+# The phrases of claims, English and Polish, in order; the first whose words stand in a line side by side decides.
 CLAIMS = (
-    ("tests_pass", ("tests pass", "all green"), True),
-    ("deployed", ("deployed", "released"), True),
-    ("fixed", ("fix", "fixed"), True),
-    ("committed", ("commit", "merged"), True),
-    ("done", ("done", "completed", "result"), False),
+    ("no_blockers", ("no blocker", "no blockers", "zero blocker", "zero blockers", "bez blokerów", "bez blokerow")),
+    ("blocked", ("blocked", "blocker", "blockers", "zablokowane")),
+    ("ready_to_push", ("production ready", "ready to push", "ready to ship", "ready to merge", "gotowe do push", "gotowe do pusha", "można pushować", "mozna pushowac")),
+    ("shippable", ("shippable", "ship it")),
+    ("migrated", ("migration complete", "migrated")),
+    ("installed", ("installed",)),
+    ("implemented", ("wdrożone", "wdrozone")),
+    ("documented", ("docs updated", "documented")),
+    ("verified", ("verified", "działa", "dziala")),
+    ("green", ("all green", "tests green", "green", "wszystko zielone", "testy zielone", "zielone")),
+    ("tested", ("tests pass", "passing", "tested", "przetestowane", "testy przechodzą", "testy przechodza")),
+    ("fixed", ("fixed", "naprawione", "naprawiłem", "naprawilem")),
+    ("implemented", ("implemented", "shipped", "complete", "completed", "done", "zrobione", "gotowe")),
 )
-HIGH_RISK = tuple(c[0] for c in CLAIMS if c[2])
+#: Applause: such claims need direct evidence.
+HIGH_RISK = ("green", "ready_to_push", "shippable", "no_blockers")
 
 
 def claim_type(line: Column) -> Column:
-    """The first rule with a phrase among the words of the line."""
-    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(line), "[^0-9a-z]+", " "), F.lit(" "))
+    """The first rule with a phrase among the words of the line; words are letters and digits, so incomplete is not complete."""
+    padded = F.concat(F.lit(" "), F.regexp_replace(F.lower(line), r"[^\p{IsAlphabetic}\p{N}]+", " "), F.lit(" "))
     found = None
-    for name, phrases, _ in CLAIMS:
-        test = F.lit(False)
-        for p in phrases:
-            test = test | F.contains(padded, F.lit(f" {p} "))
+    for name, phrases in CLAIMS:
+        test = padded.rlike(" (?:" + "|".join(phrases) + ") ")
         found = F.when(test, name) if found is None else found.when(test, name)
     return found
 
@@ -36,7 +43,7 @@ def _first_line(message: Column) -> Column:
 
 def claims(timeline: DataFrame) -> DataFrame:
     """One claim per reply whose first non-empty line makes one, with the commits and the files that it names."""
-    replies = timeline.where(F.col("frame_kind") == "agent_reply").withColumn("line", _first_line(F.col("message")))
+    replies = timeline.where(F.lower("role").isin("assistant", "agent", "model", "gemini")).withColumn("line", _first_line(F.col("message")))
     typed = replies.withColumn("claim_type", claim_type(F.col("line"))).where("line is not null and claim_type is not null")
     about = F.lower("line")
     tests = F.contains(about, F.lit("test")) | F.contains(about, F.lit("green")) | F.contains(about, F.lit("zielon"))
@@ -88,7 +95,13 @@ def audited(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     A failing test run fails a claim; otherwise what matches passes it, but a high-risk claim only by direct evidence.
     Test runs match all claims about tests in their project; these are counted by project, not joined pair by pair.
     """
-    of_claim = linked(claims, evidence).groupBy("id").agg(F.bool_or("direct").alias("direct"), F.bool_or("fails").alias("fails"))
+    direct = evidence.where("claim_id is not null").groupBy(F.col("claim_id").alias("id")).agg(F.lit(True).alias("direct"), F.bool_or("fails").alias("fails"))
+    sides = [direct]
+    for of in ("hashes", "files"):  # what evidence says of a commit or a file is one row before claims meet it
+        said = evidence.select("project", "fails", F.explode(of).alias("named")).groupBy("project", "named").agg(F.bool_or("fails").alias("fails"))
+        ours = claims.select("id", "project", F.explode(of).alias("named"))
+        sides.append(ours.join(said, ["project", "named"]).select("id", F.lit(False).alias("direct"), "fails"))
+    of_claim = sides[0].unionByName(sides[1]).unionByName(sides[2]).groupBy("id").agg(F.bool_or("direct").alias("direct"), F.bool_or("fails").alias("fails"))
     runs = evidence.where("kind = 'test_run'").groupBy("project").agg(F.bool_or("fails").alias("run_fails"), F.min(F.when(F.col("fails"), F.col("excerpt"))).alias("failure"))
     known = claims.join(of_claim, "id", "left").join(runs, "project", "left")
     run = F.col("about_tests") & F.col("run_fails").isNotNull()

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sessionloom.plans.queries import query
 from sessionloom.plans.views import table
 from sessionloom.sources import adapters
+from sessionloom.sources.shared import new_path
 
 
 def _rows(spark, sf_dir):
@@ -42,8 +41,7 @@ def block_lines(spark, sf_dir):
 
 def written_lines(spark, sf_dir):
     """The block lines written as text files into a new shared folder and read back."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    path = f"{base.rstrip('/')}/sessionloom/logs-{uuid.uuid4().hex}"
+    path = new_path(spark, "logs")
     block_lines(spark, sf_dir).repartition("session").sortWithinPartitions("session", "turn").select("value").write.text(path)
     return adapters.raw_lines(spark, path)
 

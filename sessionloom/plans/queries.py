@@ -2,35 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as T
 from sessionloom.operators import dedup, filters, intents, reports, retrieval, segments
+from sessionloom.plans.directives import LINES_SQL, directives
+from sessionloom.plans.registry import ORACLE_SQL, QUERIES, query, sha  # noqa: F401  the tables are read from here too
 from sessionloom.plans.views import CHUNKS, TIMELINE, USAGE, chunks, table, timeline, usage
 from sessionloom.sources import postings
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def sha(column: str = "message"):
-    return F.sha2(column, 256).alias("sha")
-
-
 # Filters and projections
 
 
@@ -352,19 +332,15 @@ def r20_recall_ndcg(spark, sf_dir):
 
 
 def found_intents(spark, sf_dir):
-    return intents.candidates(timeline(spark, sf_dir))
+    return intents.candidates(directives(spark, sf_dir))
 
 
-_LINES = f"""{TIMELINE}, ln AS (SELECT * EXCLUDE (message), unnest(string_split(message, chr(10))) AS line FROM tl),
-ty AS (SELECT *, CASE WHEN regexp_matches(line, '^\\s*[-*+] \\[[ xX]\\] ') THEN 'task' WHEN regexp_matches(line, '(?i)^\\s*decision\\s*:') THEN 'decision' WHEN regexp_matches(line, '(?i)^\\s*question\\s*:') THEN 'question' WHEN regexp_matches(line, '(?i)^\\s*why\\s*:') THEN 'why' WHEN regexp_matches(line, '(?i)^\\s*result\\s*:') THEN 'result' WHEN regexp_matches(line, '(?i)^\\s*outcome\\s*:') THEN 'outcome' WHEN regexp_matches(line, '(?i)^\\s*assum(?:ption\\s*:|ing )') THEN 'assumption' WHEN regexp_matches(line, '(?i)^\\s*insight\\s*:') THEN 'insight' WHEN regexp_matches(line, '(?i)^\\s*(?:let''s|let us|we need to|i want to|please) ') THEN 'intent' WHEN regexp_matches(line, '(?i)(?:^|[^A-Za-z0-9])P[012](?:[^A-Za-z0-9]|$)') THEN 'task' END AS type FROM ln),
-kd AS (SELECT *, CASE WHEN type IN ('decision', 'task') THEN type WHEN type IN ('intent', 'question', 'why') THEN 'intent' WHEN type IN ('outcome', 'result') THEN 'outcome' END AS kind, CASE WHEN regexp_matches(line, '^\\s*[-*+] \\[ \\] ') THEN 'open' WHEN regexp_matches(line, '^\\s*[-*+] \\[[xX]\\] ') THEN 'done' END AS state,
-  substr(trim(regexp_replace(regexp_replace(regexp_replace(line, '^\\s*[-*+] (\\[[ xX]\\] )?', ''), '(?i)^(decision|intent|question|why|result|outcome|task)\\s*:\\s*', ''), '[ \\t\\n\\r\\f\\x0B]+', ' ', 'g'), ' '), 1, 160) AS summary FROM ty),
-ca AS (SELECT * EXCLUDE (line), least(5, CASE WHEN kind = 'intent' THEN 2 ELSE 3 END + CASE WHEN kind = 'intent' AND regexp_matches(line, '(?i)(?:^|[^A-Za-z0-9])P[012](?:[^A-Za-z0-9]|$)') THEN 1 ELSE 0 END + CASE WHEN length(line) > 60 THEN 1 ELSE 0 END) AS confidence, lower(trim(regexp_replace(summary, '\\s+', ' ', 'g'), ' ')) AS key FROM kd WHERE kind IS NOT NULL AND (frame_kind = 'user_msg' OR (frame_kind = 'agent_reply' AND kind <> 'outcome')))"""
+_LINES = LINES_SQL
 
 
-@query(f"WITH {_LINES} SELECT source_seq, kind, type, sha256(summary) AS sha, CAST(confidence AS INTEGER) AS confidence, state FROM ca")
+@query(f"WITH {_LINES} SELECT source_seq, line_no, kind, type, sha256(summary) AS sha, CAST(confidence AS INTEGER) AS confidence, state FROM ca")
 def i06_i11_candidates(spark, sf_dir):
-    return found_intents(spark, sf_dir).select("source_seq", "kind", "type", sha("summary"), F.col("confidence").cast("int").alias("confidence"), "state")
+    return found_intents(spark, sf_dir).select("source_seq", F.col("line_no").cast("long").alias("line_no"), "kind", "type", sha("summary"), F.col("confidence").cast("int").alias("confidence"), "state")
 
 
 @query(f"WITH {_LINES} SELECT kind, project, sha256(key) AS key, CAST(max(confidence) AS INTEGER) AS confidence, arg_max(session_id, (ts, confidence, source_seq)) AS session_id, arg_max(agent, (ts, confidence, source_seq)) AS agent, max(ts) AS ts, count(*) AS evidence FROM ca GROUP BY kind, project, ca.key")
@@ -382,9 +358,16 @@ def j10_unresolved(spark, sf_dir):
     return intents.unresolved(found_intents(spark, sf_dir)).select("source_seq", "type")
 
 
-@query(f"WITH {_LINES}, w AS (SELECT project, kind, source_seq, list_distinct(list_filter(regexp_split_to_array(lower(summary), '[^0-9a-z]+'), lambda x: length(x) >= 4)) AS u FROM ca), p AS (SELECT i.source_seq AS intent_seq, o.source_seq AS outcome_seq, round(len(list_intersect(i.u, o.u)) / greatest(1, least(len(i.u), len(o.u))), 6) AS overlap FROM w i JOIN w o ON i.project = o.project WHERE i.kind = 'intent' AND o.kind = 'outcome') SELECT intent_seq, arg_max(outcome_seq, (overlap, -outcome_seq)) AS outcome_seq, max(overlap) AS overlap FROM p WHERE overlap >= 0.02 GROUP BY intent_seq")
+_STOP = "fix fixed fixing ship shipped shipping implement implemented implementing add added adding test tests tested testing run running done completed complete finished finish working works success successfully fail failed with for and the a an in on at to of from by that this is are was were be been have has had do does did as or napraw naprawione naprawiłem wdrożone wdrozone wdrożyłem dodaj dodane dodałem zrobione zrobiłem gotowe dziala działa testy przetestowane uruchom uruchomione sukces porażka błąd bledu bledy błędy z do na w o i lub dla przez pod po działające"
+
+
+@query(
+    f"WITH {_LINES}, w AS (SELECT project, kind, source_seq, list_distinct(list_filter(regexp_split_to_array(lower(summary), '[^\\pL\\pN_-]+'), lambda x: strlen(x) > 1 AND NOT list_contains(string_split('{_STOP}', ' '), x))) AS u, lower(regexp_replace(summary, '[^\\pL\\pN]', '', 'g')) AS n FROM ca), "
+    "p AS (SELECT i.source_seq AS intent_seq, o.source_seq AS outcome_seq, least(len(i.u), len(o.u)) AS l, CASE WHEN least(len(i.u), len(o.u)) > 0 THEN len(list_intersect(i.u, o.u)) / least(len(i.u), len(o.u)) ELSE CAST(i.n <> '' AND o.n <> '' AND (contains(o.n, i.n) OR contains(i.n, o.n)) AS INTEGER) END AS overlap FROM w i JOIN w o ON i.project = o.project WHERE i.kind = 'intent' AND o.kind = 'outcome') "
+    "SELECT intent_seq, arg_max(outcome_seq, (overlap, -outcome_seq)) AS outcome_seq, round(max(overlap), 6) AS overlap FROM p WHERE overlap >= CASE WHEN l <= 2 THEN 0.99 ELSE 0.5 END GROUP BY intent_seq"
+)
 def j09_outcomes_of_intents(spark, sf_dir):
-    return intents.answered(found_intents(spark, sf_dir), 0.02)
+    return intents.answered(found_intents(spark, sf_dir))
 
 
 @query(f"WITH {_LINES}, t AS (SELECT *, array_to_string(string_split(key, ' ')[1:5], ' ') AS topic FROM ca) SELECT source_seq, type, coalesce(lead(source_seq) OVER (PARTITION BY project, type, topic ORDER BY ts, source_seq), -1) AS next_seq FROM t")

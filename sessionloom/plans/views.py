@@ -62,6 +62,8 @@ WORK = (
     "decision: keep the parser small", "- [ ] write src/app.rs tests", "- [x] write src/app.rs tests", "P0 fix: repair the login", "let's ship the importer", "test result: ok. 12 passed", "test result: FAILED. 2 failed",
     "Insight: caches are cold\nkeep them warm\n", "commit abc1234 src/app.rs", "Fixed src/app.rs, tests pass at abc1234\n", "All checks passed, completed docs/guide.md\n", "outcome: importer shipped\nwith docs", "ultrathink about the index\n  and its size",
     "plan mode entered\n\n* [ ]  review the plan: step 1: look, step 2: tell", "```\n- [ ] no task\n```\n+ [X] real task\nsource: let's go", "merged abc1234 into main, status report",
+    "No blockers left in src/app.rs", "Blocked by abc1234", "Incomplete, but ready to merge abc1234", "Ship it: docs/guide.md", "Migrated src/app.rs", "Installed the importer", "Wdrożone: src/app.rs", "Docs updated in docs/guide.md",
+    "działa na abc1234", "Greenfield work, all green", "testy przechodzą", "naprawiłem src/app.rs", "abandoned and incomplete", "Zrobione.", "commit abc1234 docs/guide.md",
 )
 
 

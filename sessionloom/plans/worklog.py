@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from sessionloom.functions import text as T
 from sessionloom.operators import chunker, claims, identity, intents, segments, signals
-from sessionloom.plans.queries import _LINES, query
+from sessionloom.plans.directives import DIRECTIVES, LINES_SQL
+from sessionloom.plans.registry import query
 from sessionloom.plans.views import TIMELINE, WORKLOG, timeline, worklog
 
 # SQL for DuckDB
@@ -134,11 +135,17 @@ def u12_path_tokens(spark, sf_dir):
 # Claims and evidence
 
 _FIRST = f"list_filter(list_transform(string_split(message, chr(10)), lambda x: {_sql_trim('x')}), lambda x: x <> '')[1]"
-_CLAIMS = f"""{_LINES.replace(TIMELINE, WORKLOG)}, fl AS (SELECT *, {_FIRST} AS line FROM tl WHERE frame_kind = 'agent_reply'),
-pd AS (SELECT *, ' ' || regexp_replace(lower(line), '[^0-9a-z]+', ' ', 'g') || ' ' AS p FROM fl WHERE line IS NOT NULL),
-cl AS (SELECT 'k' || source_seq AS id, project, session_id, ts, source_seq, line, CASE {' '.join(f"WHEN {_sql_any('p', [f' {p} ' for p in phrases])} THEN '{name}'" for name, phrases, _ in claims.CLAIMS)} END AS claim_type,
+_CLAIM_TYPE = """CASE WHEN regexp_matches(p, ' (no|zero) blockers? | bez bloker(ów|ow) ') THEN 'no_blockers' WHEN regexp_matches(p, ' (blocked|blockers?|zablokowane) ') THEN 'blocked'
+  WHEN regexp_matches(p, ' (production ready|ready to (push|ship|merge)|gotowe do pusha?|można pushować|mozna pushowac) ') THEN 'ready_to_push' WHEN regexp_matches(p, ' (shippable|ship it) ') THEN 'shippable'
+  WHEN regexp_matches(p, ' (migration complete|migrated) ') THEN 'migrated' WHEN contains(p, ' installed ') THEN 'installed' WHEN regexp_matches(p, ' wdro[żz]one ') THEN 'implemented'
+  WHEN regexp_matches(p, ' (docs updated|documented) ') THEN 'documented' WHEN regexp_matches(p, ' (verified|działa|dziala) ') THEN 'verified' WHEN regexp_matches(p, ' (green|zielone) ') THEN 'green'
+  WHEN regexp_matches(p, ' (tests pass|passing|tested|przetestowane|testy przechodz[ąa]) ') THEN 'tested' WHEN regexp_matches(p, ' (fixed|naprawione|naprawi[łl]em) ') THEN 'fixed'
+  WHEN regexp_matches(p, ' (implemented|shipped|completed?|done|zrobione|gotowe) ') THEN 'implemented' END"""
+_CLAIMS = f"""{LINES_SQL.replace(DIRECTIVES, WORKLOG)}, fl AS (SELECT *, {_FIRST} AS line FROM tl WHERE role IN ('assistant', 'agent', 'model', 'gemini')),
+pd AS (SELECT *, ' ' || regexp_replace(lower(line), '[^\\pL\\pN]+', ' ', 'g') || ' ' AS p FROM fl WHERE line IS NOT NULL),
+cl AS (SELECT 'k' || source_seq AS id, project, session_id, ts, source_seq, line, {_CLAIM_TYPE} AS claim_type,
   {_sql_hashes('line')} AS hashes, {_sql_paths('line')} AS files, {_sql_any('lower(line)', ('test', 'green', 'zielon'))} AS about FROM pd),
-cm AS (SELECT *, claim_type <> 'done' AS high_risk FROM cl WHERE claim_type IS NOT NULL),
+cm AS (SELECT *, claim_type IN ('green', 'shippable', 'no_blockers', 'ready_to_push') AS high_risk FROM cl WHERE claim_type IS NOT NULL),
 e0 AS (SELECT 'e' || source_seq AS evidence_id, project, session_id, source_seq, contains(message, 'test result:') AS test, {_sql_trim(f"CASE WHEN contains(message, 'test result:') THEN list_filter(string_split(message, chr(10)), lambda x: contains(x, 'test result:'))[1] ELSE {_FIRST} END")} AS excerpt FROM tl WHERE frame_kind <> 'agent_reply' AND (contains(message, 'test result:') OR starts_with(message, 'commit '))),
 ev AS (SELECT evidence_id, e.project, e.session_id, test, cm.id AS claim_id, excerpt, test AND contains(lower(excerpt), 'failed') AS fails, CASE WHEN test THEN [] ELSE {_sql_hashes('excerpt')} END AS hashes, CASE WHEN test THEN [] ELSE {_sql_paths('excerpt')} END AS files FROM e0 e ASOF LEFT JOIN cm ON e.session_id = cm.session_id AND e.source_seq >= cm.source_seq),
 lk AS (SELECT id, evidence_id, id = claim_id IS TRUE AS direct, fails FROM cm JOIN ev ON cm.id = ev.claim_id OR (cm.project = ev.project AND (len(list_intersect(cm.hashes, ev.hashes)) > 0 OR len(list_intersect(cm.files, ev.files)) > 0))),
