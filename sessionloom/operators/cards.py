@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from sessionloom.functions.measures import MONTHS
 from sessionloom.functions.text import normalize_query
 from sessionloom.operators.filters import project_matches
+from sessionloom.sources import versions
+from sessionloom.sources.versions import Version
 
 SCHEMA = "card.v1"
 
@@ -25,6 +27,43 @@ def cards(timeline: DataFrame) -> DataFrame:
     return turns.select(card_id.alias("id"), F.lit(SCHEMA).alias("schema"), "session_id", "turn_idx", F.coalesce("project", F.lit("unclassified")).alias("project"), "agent", "frame_kind", "text_hash", F.length("message").alias("text_chars"), F.col("message").alias("text"))
 
 
+def publish(cards: DataFrame, root: str) -> Version:
+    """Publishes the cards with their sidecars and their count by session as the next version below ``root``.
+
+    The revision in the manifest is a hash of the cards in any order. Readers of the version before are not disturbed.
+    """
+    from sessionloom.operators.overlay import revision
+
+    spark = cards.sparkSession
+    tables = {
+        "cards": cards,
+        "sidecars": lambda done: sidecars(done["cards"]),
+        "sessions": lambda done: done["cards"].groupBy("session_id").agg(F.count("*").alias("turns"), F.countDistinct("id").alias("ids")),
+    }
+    revised = revision(cards, "id", "text_hash").first()
+    return versions.publish(spark, root, tables, {"card": SCHEMA, "revision": revised[0] if revised else None})
+
+
+def read_published(spark: SparkSession, root: str, number: int | None = None) -> Version:
+    """The newest whole version, or the one asked for, checked: tables and rows, schema of the cards, ids, revision."""
+    from sessionloom.operators.overlay import revision
+
+    found = versions.read(spark, root, number)
+    if found is None:
+        raise versions.Drift("missing", f"nothing is published below {root}")
+    if found.facts.get("card") != SCHEMA:
+        raise versions.Drift("card", f"cards of schema {found.facts.get('card')}")
+    wrong = versions.problems(spark, found)
+    if wrong:
+        raise versions.Drift("tables", ", ".join(wrong))
+    if found.table(spark, "sessions").where("turns <> ids").head(1):
+        raise versions.Drift("ids", "a card's id stands twice")
+    revised = revision(found.table(spark, "cards"), "id", "text_hash").first()
+    if (revised[0] if revised else None) != found.facts.get("revision"):
+        raise versions.Drift("revision", "the cards are not those that were published")
+    return found
+
+
 def sidecars(cards: DataFrame) -> DataFrame:
     """(id, meta): each card's fields but its text, as JSON."""
     return cards.select("id", F.to_json(F.struct(*(c for c in cards.columns if c not in ("id", "text")))).alias("meta"))

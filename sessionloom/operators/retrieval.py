@@ -46,22 +46,20 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^0-9a-zà-öø-ÿ]+"), lambda w: (w != "") & (F.octet_length(w) <= 40))
 
 
-def lexical_index(chunks: DataFrame) -> DataFrame:
-    """Postings (id, term, tf, length), with one row for each distinct term of a chunk."""
-    split = chunks.select(F.col("chunk_id").alias("id"), terms_of(F.col("text")).alias("w"))
-    return split.select("id", F.size("w").alias("length"), F.explode("w").alias("term")).groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+def bm25_part() -> Column:
+    """What a term adds to the score of a chunk, from tf, length, df, n and mean."""
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
 
 
-def bm25(postings: DataFrame, totals: DataFrame, k: int) -> DataFrame:
+def bm25(postings: DataFrame, frequencies: DataFrame, totals: DataFrame, k: int) -> DataFrame:
     """The best chunks by BM25 over the postings (id, term, tf, length) of a query's terms.
 
-    ``totals`` is one row: the number of chunks and their mean length. Document frequencies are a row for each term.
+    ``frequencies`` has the document frequency of each of these terms; ``totals`` is one row: the number of chunks and
+    their mean length.
     """
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    rows = postings.join(F.broadcast(df), "term").crossJoin(F.broadcast(totals))  # as many rows as the query has terms; one row
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return top(rows.groupBy("id").agg(F.round(F.sum(part), 6).alias("score")), k, F.desc("score"), "id")
+    rows = postings.join(F.broadcast(frequencies), "term").crossJoin(F.broadcast(totals))  # as many rows as the query has terms; one row
+    return top(rows.groupBy("id").agg(F.round(F.sum(bm25_part()), 6).alias("score")), k, F.desc("score"), "id")
 
 
 def fuse(lexical: DataFrame, dense: DataFrame, k: int = RRF_K, limit: int = 10) -> DataFrame:

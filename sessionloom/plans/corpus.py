@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sessionloom.operators import cards, overlay
+from sessionloom.operators import cards, overlay, validation
 from sessionloom.plans.queries import query
 from sessionloom.plans.views import CHUNKS, TIMELINE, chunks, table, timeline
+from sessionloom.sources.shared import new_path
 
 _CARDS = f"""{TIMELINE}, tn AS (SELECT *, row_number() OVER (PARTITION BY agent, session_id ORDER BY ts, source_seq) - 1 AS turn_idx, sha256(message) AS text_hash FROM tl),
 cd AS (SELECT substr(sha256(session_id || '|' || turn_idx || '|' || text_hash), 1, 24) AS id, * FROM tn)"""
@@ -44,6 +45,18 @@ def v04_card_violations(spark, sf_dir):
 _PATHS = f"{CHUNKS}, pt AS (SELECT project || '/' || day || '/' || chunk_id || '.md' AS path, chunk_id FROM ch)"
 
 
+@query(f"WITH {_CARDS} SELECT 1 AS version, id, text_hash, project FROM cd WHERE session_id NOT LIKE '%3' UNION ALL SELECT 2, id, text_hash, CASE WHEN session_id LIKE '%5' THEN 'moved' ELSE project END FROM cd")
+def k04_s21_published(spark, sf_dir):
+    """Two versions: the second replaces some sessions and adds others; both are read back by number."""
+    root, made = new_path(spark, "projection"), cards.cards(timeline(spark, sf_dir))
+    cards.publish(made.where("session_id not like '%3'"), root)
+    before = cards.read_published(spark, root).table(spark, "cards")
+    moved = made.where("session_id like '%5' or session_id like '%3'").withColumn("project", F.when(F.col("session_id").like("%5"), "moved").otherwise(F.col("project")))
+    cards.publish(validation.replaced(before, moved, "session_id"), root)
+    read = lambda n: cards.read_published(spark, root, n).table(spark, "cards").select(F.lit(n).alias("version"), "id", "text_hash", "project")
+    return read(1).unionByName(read(2))
+
+
 @query(f"WITH {_PATHS}, h AS (SELECT path, sha256(path) AS h FROM pt) SELECT chunk_id || '.md' AS ref, path FROM pt UNION ALL SELECT path, path FROM pt UNION ALL SELECT substr(h, 1, 12), path FROM h UNION ALL SELECT '0000', CASE WHEN count(*) = 1 THEN min(path) END FROM h WHERE h LIKE '0000%' UNION ALL SELECT 'nothing', NULL")
 def j20_chunk_refs(spark, sf_dir):
     paths = chunks(spark, sf_dir).select(F.concat_ws("/", "project", "day", F.concat("chunk_id", F.lit(".md"))).alias("path"), "chunk_id")

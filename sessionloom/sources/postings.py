@@ -1,47 +1,259 @@
-"""A lexical index that is kept: postings by term, built once and read by the terms of a query."""
+"""A lexical index with positions, published as a version, and queries of words, phrases and boolean operators over it.
+
+``postings`` has a row for each term and chunk: how often, where, and the length of the chunk. They are partitioned by a
+bucket of the term, and the rows of frequent terms are spread over several files of their bucket. ``terms`` has the
+document frequency of each term, ``totals`` the number and the mean length of the chunks. The manifest binds the index to
+the chunks that it was built from.
+"""
 
 from __future__ import annotations
 
-import uuid
+import re
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.operators.retrieval import lexical_index, terms_of
+from sessionloom.operators.retrieval import bm25_part, terms_of
+from sessionloom.sources import versions
+from sessionloom.sources.shared import shared_dir
+from sessionloom.sources.versions import Drift, Version
 
+#: Folders of terms.
 BUCKETS = 64
-#: The indexes that this process has built, by application and name.
-_BUILT: dict[tuple[str, str], str] = {}
+GENERATION = 2
+
+
+def stemmed(term: Column) -> Column:
+    """A light stem: a plural s and the endings ing and ed go where three letters and more are left."""
+    return F.regexp_replace(F.regexp_replace(term, r"^(.{3,}[^s])s$", "$1"), r"^(.{3,})(?:ing|ed)$", "$1")
 
 
-def bucket_of(term):
+def bucket_of(term: Column) -> Column:
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
-def build(chunks: DataFrame, path: str) -> None:
-    """Writes the postings of ``chunks`` (``chunk_id``, ``text``), a folder for each bucket of terms, and their totals."""
-    postings = lexical_index(chunks).withColumn("bucket", bucket_of(F.col("term")))
-    postings.repartition("bucket").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
-    sizes = chunks.select(F.size(terms_of(F.col("text"))).alias("length"))
-    sizes.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).write.mode("overwrite").parquet(f"{path}/totals")
+def build(chunks: DataFrame, root: str, stem: bool = False, facts: dict | None = None) -> Version:
+    """Indexes chunk_id and text of ``chunks`` as the next version below ``root``.
+
+    A bucket, and so a term of very many chunks, is dealt over as many tasks as there are shuffle partitions for it.
+    """
+    spark = chunks.sparkSession
+    words = terms_of(F.col("text"))
+    words = F.transform(words, stemmed) if stem else words
+    sized = chunks.select(F.col("chunk_id").alias("id"), words.alias("words")).withColumn("length", F.size("words"))
+    each = sized.select("id", "length", F.posexplode("words").alias("at", "term"))
+    postings = each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("at"), F.first("length").alias("length"))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
+    dealt = postings.withColumns({"bucket": bucket_of(F.col("term")), "part": F.pmod(F.xxhash64("id"), F.lit(parts))}).repartition("bucket", "part")
+    dealt = dealt.sortWithinPartitions("bucket", "term", "id").drop("part")
+    tables = {
+        "postings": dealt,
+        "terms": lambda done: done["postings"].groupBy("term").agg(F.count("*").alias("df")),
+        "totals": sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean")),
+    }
+    told = {"generation": GENERATION, "source": versions.stamp(chunks), "stem": stem} | (facts or {})
+    return versions.publish(spark, root, tables, told, {"postings": ["bucket"]})
+
+
+def checked(spark: SparkSession, root: str, chunks: DataFrame | None = None, **facts) -> Version:
+    """The newest index of ``root``; an error that says what does not fit: missing, generation, source, or one of ``facts``."""
+    found = versions.read(spark, root)
+    if found is None:
+        raise Drift("missing", f"no index below {root}")
+    if found.facts.get("generation") != GENERATION:
+        raise Drift("generation", f"index of generation {found.facts.get('generation')}")
+    for name, value in facts.items():
+        if found.facts.get(name) != value:
+            raise Drift(name, f"index has {found.facts.get(name)!r}, asked for {value!r}")
+    if chunks is not None and found.facts.get("source") != versions.stamp(chunks):
+        raise Drift("source", "the chunks have changed since the index was built")
+    return found
 
 
-def postings_of(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+def root_of(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/sessionloom/index-{re.sub('[^0-9A-Za-z]+', '-', name).strip('-')}"
+
+
+def kept_index(spark: SparkSession, name: str, chunks: DataFrame) -> Version:
+    """The index of ``chunks`` below the shared folder, built anew where there is none or the chunks have changed."""
+    root = root_of(spark, name)
+    try:
+        return checked(spark, root, chunks)
+    except Drift:
+        return build(chunks, root)
+
+
+def postings_of(spark: SparkSession, index: Version, terms: list[str]) -> DataFrame:
     """The postings of these terms; only the folders of their buckets are read, and in them the row groups of the terms."""
     buckets = sorted({r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t"))).collect()})
-    return spark.read.parquet(f"{path}/postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
+    return index.table(spark, "postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
+
+
+def frequencies(spark: SparkSession, index: Version, terms: list[str]) -> DataFrame:
+    return index.table(spark, "terms").where(F.col("term").isin(list(terms)))
+
+
+def totals(spark: SparkSession, index: Version) -> DataFrame:
+    return index.table(spark, "totals")
+
+
+# Queries
+
+
+@dataclass(frozen=True)
+class Node:
+    """A query: kind is term, phrase, and, or, not, all; ``words`` of a term or phrase, ``parts`` of the others."""
+
+    kind: str
+    words: tuple[str, ...] = ()
+    parts: tuple[Node, ...] = ()
+
+
+_TOKEN = re.compile(r'\s*(?:"([^"]*)"|(\()|(\))|(AND|OR|NOT)(?![^\s()"])|([^\s()"]+))')
+
+
+def _words(text: str) -> tuple[str, ...]:
+    return tuple(w for w in re.split(r"[^0-9a-zà-öø-ÿ]+", text.lower()) if w and len(w.encode()) <= 40)
+
+
+def parse(query: str) -> Node:
+    """A query as a tree: words side by side are alternatives; +word must be there, -word must not; "a phrase"; AND binds
+    closer than OR, NOT and - before a part leave it out; brackets. What cannot be read is an error with its place."""
+    tokens, at = [], 0
+    while query[at:].strip():
+        found = _TOKEN.match(query, at)
+        if not found:
+            raise ValueError(f"cannot read the query at {at}: {query[at:]!r}")
+        tokens.append((found.lastindex, found[found.lastindex]))
+        at = found.end()
+    tokens.append((0, ""))
+    place = 0
+
+    def peek():
+        return tokens[place]
+
+    def take():
+        nonlocal place
+        place += 1
+        return tokens[place - 1]
+
+    def leaf(text: str) -> Node | None:
+        words = _words(text)
+        return Node("phrase", words) if len(words) > 1 else Node("term", words) if words else None
+
+    def atom() -> tuple[str, Node | None]:
+        kind, text = take()
+        if kind == 4 and text == "NOT":
+            return "-", atom()[1]
+        if kind == 1:
+            return "", leaf(text)
+        if kind == 2:
+            inner = either()
+            if take()[0] != 3:
+                raise ValueError("a bracket is not closed")
+            return "", inner
+        if kind == 5:
+            sign = text[0] if text[0] in "+-" else ""
+            rest = text[len(sign) :]
+            return (sign, leaf(rest)) if rest else (sign, atom()[1])
+        raise ValueError(f"a part is missing before {text!r}")
+
+    def together() -> list[tuple[str, Node]]:
+        parts = [atom()]
+        while peek() == (4, "AND"):
+            take()
+            parts.append(atom())
+        if len(parts) == 1:
+            return [p for p in parts if p[1]]
+        made = [Node("not", parts=(n,)) if s == "-" else n for s, n in parts if n]
+        return [("", Node("and", parts=tuple(made)))] if made else []
+
+    def either() -> Node | None:
+        clauses = together()
+        while peek()[0] not in (0, 3):
+            if peek() == (4, "OR"):
+                take()
+            clauses += together()
+        need, may, leave = ([n for s, n in clauses if s == k] for k in ("+", "", "-"))
+        if not need and not may and not leave:
+            return None
+        found = Node("and", parts=tuple(need)) if len(need) > 1 else need[0] if need else None
+        if not need:
+            found = Node("or", parts=tuple(may)) if len(may) > 1 else may[0] if may else Node("all")
+        if leave:
+            found = Node("and", parts=(found, *(Node("not", parts=(n,)) for n in leave)))
+        return found
+
+    tree = either() if len(tokens) > 1 else None
+    if peek()[0] == 3:
+        raise ValueError("a bracket is closed that was not opened")
+    return tree or Node("or")
+
+
+def leaves(tree: Node) -> list[str]:
+    """The words of a tree that count for the score: all but those that are left out."""
+    if tree.kind == "not":
+        return []
+    return sorted({*tree.words, *(w for p in tree.parts for w in leaves(p))})
+
+
+def _ids(spark: SparkSession, index: Version, tree: Node) -> DataFrame:
+    """The ids that a tree matches, by joins of its parts."""
+    if tree.kind == "term":
+        return postings_of(spark, index, list(tree.words)).select("id")
+    if tree.kind == "phrase":
+        found = None
+        for offset, word in enumerate(tree.words):  # the places where the phrase would begin
+            rows = postings_of(spark, index, [word]).select("id", F.expr(f"transform(at, p -> p - {offset})").alias("starts"))
+            found = rows if found is None else found.join(rows.withColumnRenamed("starts", "more"), "id").select("id", F.array_intersect("starts", "more").alias("starts")).where(F.size("starts") > 0)
+        return found.select("id")
+    if tree.kind == "all":
+        return index.table(spark, "postings").select("id").distinct()
+    if tree.kind == "or":
+        found = [_ids(spark, index, p) for p in tree.parts]
+        out = found[0] if found else spark.createDataFrame([], "id string")
+        for more in found[1:]:
+            out = out.unionByName(more)
+        return out.distinct()
+    kept = [p for p in tree.parts if p.kind != "not"] or [Node("all")]
+    out = _ids(spark, index, kept[0])
+    for p in kept[1:]:
+        out = out.join(_ids(spark, index, p), "id", "left_semi")
+    for p in tree.parts:
+        if p.kind == "not":
+            out = out.join(_ids(spark, index, p.parts[0]), "id", "left_anti")
+    return out
+
+
+def matching(spark: SparkSession, index: Version, tree: Node) -> DataFrame:
+    """(id, score): the chunks that a query matches, by BM25 over its words with the index's frequencies."""
+    terms = leaves(tree)
+    ids = _ids(spark, index, tree)
+    if not terms:
+        return ids.select("id", F.lit(0.0).alias("score"))
+    rows = postings_of(spark, index, terms).join(F.broadcast(frequencies(spark, index, terms)), "term").crossJoin(F.broadcast(totals(spark, index)))  # a row a term; one row
+    return rows.join(ids, "id", "left_semi").groupBy("id").agg(F.round(F.sum(bm25_part()), 6).alias("score"))
+
+
+def search(spark: SparkSession, index: Version, query: str, limit: int = 10) -> DataFrame:
+    """(id, score, rank) of the best matches of a query; ties by id; ranks from 0."""
+    from pyspark.sql import Window
+
+    tree = parse(query)
+    if index.facts.get("stem"):
+        tree = _stemmed(spark, tree)
+    best = matching(spark, index, tree).orderBy(F.desc("score"), "id").limit(limit)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")) - 1)  # at most limit rows
 
 
-def totals(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/totals")
+def _stemmed(spark: SparkSession, tree: Node) -> Node:
+    """The tree with its words stemmed as the index's are."""
+    words = sorted({w for n in _nodes(tree) for w in n.words})
+    stems = dict(spark.createDataFrame([(w,) for w in words], "w string").select("w", stemmed(F.col("w"))).collect()) if words else {}
+    swap = lambda n: Node(n.kind, tuple(stems[w] for w in n.words), tuple(map(swap, n.parts)))
+    return swap(tree)
 
 
-def kept_index(spark: SparkSession, name: str, chunks: DataFrame) -> str:
-    """The path of the index ``name``, built at the first call of an application, below spark.checkpoint.dir or the warehouse."""
-    key = (spark.sparkContext.applicationId, name)
-    if key not in _BUILT:
-        base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-        path = f"{base.rstrip('/')}/sessionloom/postings-{uuid.uuid4().hex}"
-        build(chunks, path)
-        _BUILT[key] = path
-    return _BUILT[key]
+def _nodes(tree: Node) -> list[Node]:
+    return [tree, *(n for p in tree.parts for n in _nodes(p))]
