@@ -173,6 +173,18 @@ def supersede(candidates: DataFrame) -> DataFrame:
     return chain.withColumn("status", F.when(F.col("next_seq").isNull(), "active").otherwise("superseded"))
 
 
+def contradictions(entries: DataFrame) -> DataFrame:
+    """(assumption, result, shared): results of a session that tell of a failure and share two words with an assumption of it.
+
+    ``entries`` has session_id, id, type and title; they are joined by session and word.
+    """
+    words = F.explode(F.array_distinct(F.filter(F.split(normalize_key(F.col("title")), " "), lambda w: w != ""))).alias("w")
+    failed = F.lower("title").rlike("fail|broken|wrong|error|invalid|rejected")
+    a = entries.where("type = 'assumption'").select("session_id", F.col("id").alias("assumption"), words)
+    b = entries.where((F.col("type") == "result") & failed).select("session_id", F.col("id").alias("result"), words)
+    return a.join(b, ["session_id", "w"]).groupBy("assumption", "result").agg(F.count("*").alias("shared")).where("shared >= 2")
+
+
 def insights(candidates: DataFrame, most: int = 3) -> DataFrame:
     """Decisions with the first so many outcomes of their session."""
     w = Window.partitionBy("session_id").orderBy("ts", "source_seq")

@@ -2,44 +2,85 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sessionloom.operators.retrieval import pairs_within
+from sessionloom.sources.shared import written
 
-REVERSAL = r"(?i)\b(?:not|never|no longer|instead of|revert|drop|stop)\b"
+# What marks a thesis as a reversal, with a blank before it and, where one stands here, behind it.
+REVERSALS = (
+    " disabled", " rejected", " reverted", " withdrawn", " no longer", " do not ", " don't ", " never ", " instead of ", " wyłączon", " odrzucon", " cofnięt", " wycofan", " nie robimy", " nie używ", " już nie", " nigdy ", " zamiast ",
+)
+
+
+def reverses(thesis: Column) -> Column:
+    return F.lower(F.concat(F.lit(" "), thesis, F.lit(" "))).rlike("|".join(REVERSALS))
 
 
 def vetoed(a: Column, b: Column) -> Column:
     """Whether exactly one of two theses reverses."""
-    return a.rlike(REVERSAL) != b.rlike(REVERSAL)
+    return reverses(a) != reverses(b)
 
 
-def grouped(claims: DataFrame, least: float = 0.82) -> DataFrame:
-    """(id, group_id) of claims (id, target, thesis, embedding, ts): similar ones of a target, best pairs first, no group with a veto inside.
+def _renamed(pairs: DataFrame, merges: DataFrame, *ends: str) -> DataFrame:
+    """``pairs`` with the groups in ``ends`` after merges (gone, into)."""
+    for end in ends:
+        pairs = pairs.join(merges.withColumnRenamed("gone", end), end, "left").withColumn(end, F.coalesce("into", end)).drop("into")
+    return pairs
 
-    Pairs come from a join within targets; merging in order of similarity is done per target in pandas, on pairs only.
+
+def merged_groups(edges: DataFrame) -> DataFrame:
+    """(id, group_id) of the ids of edges (a, b, similarity, veto): merged by the best edges first, no veto within a group.
+
+    The result is that of taking the edges one by one, most similar first, ties by a and b. An edge that comes first for
+    both of its groups depends on no other, so each turn takes all such edges at once; those within a group and those
+    between groups that a veto parts are gone for good. All of it is joins and minima over edges; a target or a group of
+    any size is not one task. The number of turns is that of the longest chain of edges that wait for each other.
     """
-    text = claims.select("id", "target", "thesis", "ts")
+    a, b = F.least("a", "b"), F.greatest("a", "b")
+    edges = written(edges.select(a.alias("x"), b.alias("y"), F.struct((-F.col("similarity")).alias("s"), a.alias("a"), b.alias("b")).alias("order"), "veto"), "edges")
+    live = edges.where("not veto").select("x", "y", "order")
+    vetoes = edges.where("veto").select("x", "y").distinct()
+    groups = edges.select(F.explode(F.array("x", "y")).alias("id")).distinct().withColumn("group_id", F.col("id"))
+    while True:
+        both = lambda df: df.where("x <> y").withColumns({"x": F.least("x", "y"), "y": F.greatest("x", "y")})
+        vetoes = written(both(vetoes).distinct(), "vetoes")
+        live = written(both(live).join(vetoes, ["x", "y"], "left_anti").groupBy("x", "y").agg(F.min("order").alias("order")), "live")
+        ends = live.select(F.explode(F.array("x", "y")).alias("g"), "order").groupBy("g").agg(F.min("order").alias("order"))
+        best = live.join(ends.select(F.col("g").alias("x"), "order"), ["x", "order"], "left_semi").join(ends.select(F.col("g").alias("y"), "order"), ["y", "order"], "left_semi")
+        merges = written(best.select(F.col("y").alias("gone"), F.col("x").alias("into")), "merges")
+        if not merges.head(1):
+            return groups
+        live, vetoes = _renamed(live, merges, "x", "y"), _renamed(vetoes, merges, "x", "y")
+        groups = written(_renamed(groups, merges, "group_id"), "groups")
+
+
+def grouped(claims: DataFrame, least: float = 0.82) -> DataFrame:
+    """(id, group_id) of claims (id, target, thesis, embedding, ts): similar ones of a target, no group with a veto inside."""
     edges = pairs_within(claims.select("id", "target", "embedding"), "target", least)
-    a, b = text.select(F.col("id").alias("a"), "target", F.col("thesis").alias("ta")), text.select(F.col("id").alias("b"), F.col("thesis").alias("tb"))
-    edges = edges.join(a, "a").join(b, "b").select("target", "a", "b", "similarity", vetoed(F.col("ta"), F.col("tb")).alias("veto"))
-
-    def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        bad = {(a, b) for a, b, v in zip(rows["a"], rows["b"], rows["veto"], strict=True) if v}
-        group = {i: {i} for i in {*rows["a"], *rows["b"]}}
-        for a, b, v in rows.sort_values(["similarity", "a", "b"], ascending=[False, True, True])[["a", "b", "veto"]].itertuples(index=False):
-            x, y = group[a], group[b]
-            if v or x is y or any((min(i, j), max(i, j)) in bad for i in x for j in y):
-                continue
-            x |= y
-            for i in y:
-                group[i] = x
-        return pd.DataFrame([(i, min(g)) for i, g in group.items()], columns=["id", "group_id"])
-
-    found = edges.groupBy("target").applyInPandas(merge, "id long, group_id long")
-    return text.join(found, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
+    a, b = claims.select(F.col("id").alias("a"), F.col("thesis").alias("ta")), claims.select(F.col("id").alias("b"), F.col("thesis").alias("tb"))
+    edges = edges.join(a, "a").join(b, "b").select("a", "b", "similarity", vetoed(F.col("ta"), F.col("tb")).alias("veto"))
+    return claims.select("id").join(merged_groups(edges), "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
+
+
+def upserted(index: DataFrame | None, cards: DataFrame, rebuild: bool = False) -> DataFrame:
+    """The side index (claim_key, intent_id, evidence, session_id, thesis, valid_from, authority) after ``cards``.
+
+    ``cards`` has evidence, session_id, thesis, ts and role, a row for each thesis. What the index holds by claim_key, a
+    hash of evidence and thesis, stays as it is, with its lasting id; new keys get an id; a rebuild forgets keys that no
+    card has any more. Of equal keys the earliest card counts.
+    """
+    key = F.sha2(F.concat_ws("\u0001", "evidence", "thesis"), 256)
+    first = F.struct("ts", "session_id", "role")
+    fresh = cards.where("evidence is not null").groupBy(key.alias("claim_key"), "evidence", "thesis").agg(F.min(first).alias("f"))
+    authority = F.when(F.col("f.role") == "user", "operator_confirmed").otherwise("agent_derived")
+    lasting = F.substring(F.sha2(F.concat(F.lit("intent"), "claim_key"), 256), 1, 16)
+    fresh = fresh.select("claim_key", lasting.alias("intent_id"), "evidence", "f.session_id", "thesis", F.col("f.ts").alias("valid_from"), authority.alias("authority"))
+    if index is None:
+        return fresh
+    kept = index.join(fresh.select("claim_key"), "claim_key", "left_semi") if rebuild else index
+    return kept.unionByName(fresh.join(index.select("claim_key"), "claim_key", "left_anti"))
 
 
 def succeeded(claims: DataFrame, vetoes: DataFrame) -> DataFrame:

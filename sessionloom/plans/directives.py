@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as T
-from sessionloom.operators import intents, linerules
+from sessionloom.operators import intents, linerules, overlay
 from sessionloom.plans.registry import query, sha
 from sessionloom.plans.views import _timeline_sql, timeline
 
@@ -20,6 +20,7 @@ LINES = (
     "Done: loader green at abc1234", "source: let's go", "<bash-stdout let's", "feat: add loader\nFix the parser\nabc1234f wire it", "Fix the parser alone", "- [ ] write src/app.rs tests",
     "* [x]  write  src/app.rs tests", "<command-name>/plan let's", "1 musi być", "zrobię to jutro", "pomysłu brak", "yyy chcę coś\n", "validation: p0=0 score:9/10", "tradeoff: memory for speed", "Wynik: loader index rebuilt",
     "czy to działa dobrze?", "DEFAULT_KEYWORDS_PATH = x", "field(default=1)", "I disagree with that", "let's-go", "lub chcę, nie chcę", "next step: docs/guide.md, a1b2c3d and A1B2C3D", "fix tests", "outcome: fixtests works",
+    "the cache is disabled\nthe cache is enabled", "we never rebuild\nwe do not cache", "Assumption: the loader holds the index\nresult: the loader failed on the index",
 )
 
 
@@ -155,3 +156,9 @@ def f16_injected(spark, sf_dir):
 def d16_u05_evidence(spark, sf_dir):
     found = intents.candidates(directives(spark, sf_dir))
     return found.select("source_seq", F.col("line_no").cast("long").alias("line_no"), sha("summary"), F.array_join("evidence", " ").alias("evidence"), F.sha2(F.coalesce("context", F.lit("")), 256).alias("context"))
+
+
+@query(f"WITH {LINES_SQL} SELECT source_seq, line_no, regexp_matches(' ' || lower(line) || ' ', ' (disabled|rejected|reverted|withdrawn|no longer|do not |don''t |never |instead of |wyłączon|odrzucon|cofnięt|wycofan|nie robimy|nie używ|już nie|nigdy |zamiast )') <> regexp_matches(' ' || lower(behind) || ' ', ' (disabled|rejected|reverted|withdrawn|no longer|do not |don''t |never |instead of |wyłączon|odrzucon|cofnięt|wycofan|nie robimy|nie używ|już nie|nigdy |zamiast )') AS veto FROM ln WHERE behind IS NOT NULL")
+def u24_vetoes(spark, sf_dir):
+    rows = linerules.message_lines(directives(spark, sf_dir), "source_seq").where("behind is not null")
+    return rows.select("source_seq", F.col("line_no").cast("long").alias("line_no"), overlay.vetoed(F.col("line"), F.col("behind")).alias("veto"))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as T
-from sessionloom.operators import dedup, filters, overlay, projections, reports, retrieval, segments, validation
-from sessionloom.plans.queries import _LINES, found_intents, query, sha, vectors
+from sessionloom.operators import dedup, filters, intents, linerules, overlay, projections, reports, retrieval, segments, validation
+from sessionloom.plans.directives import directives
+from sessionloom.plans.queries import _LINES, _NEAR, found_intents, near_vectors, query, sha
 from sessionloom.plans.views import CHUNKS, TIMELINE, chunks, table, timeline
 
 
@@ -156,12 +157,14 @@ def j19_resolve_refs(spark, sf_dir):
     return projections.resolve(F.broadcast(refs), sessions)  # five refs
 
 
-@query(f"WITH {_LINES}, d AS (SELECT session_id, source_seq AS a, list_distinct(list_filter(regexp_split_to_array(lower(summary), '[^0-9a-z]+'), lambda x: length(x) >= 2)) AS u FROM ca WHERE kind = 'decision'), o AS (SELECT session_id, source_seq AS b, list_distinct(list_filter(regexp_split_to_array(lower(summary), '[^0-9a-z]+'), lambda x: length(x) >= 2)) AS v FROM ca WHERE kind = 'task') SELECT a, b, len(list_intersect(u, v)) AS shared FROM d JOIN o ON d.session_id = o.session_id WHERE len(list_intersect(u, v)) >= 2")
+@query(
+    f"WITH {_LINES}, w AS (SELECT session_id, source_seq * 1000 + line_no AS id, type, low, list_distinct(list_filter(regexp_split_to_array(trim(low, ' '), '\\s+'), lambda x: x <> '')) AS u FROM ty WHERE type IN ('assumption', 'result') AND x <> '') "
+    "SELECT a.id AS assumption, b.id AS result, len(list_intersect(a.u, b.u)) AS shared FROM w a JOIN w b ON a.session_id = b.session_id WHERE a.type = 'assumption' AND b.type = 'result' AND regexp_matches(b.low, 'fail|broken|wrong|error|invalid|rejected') AND len(list_intersect(a.u, b.u)) >= 2"
+)
 def j12_x04_contradictions(spark, sf_dir):
-    rows = found_intents(spark, sf_dir).withColumn("w", T.words(F.col("summary"), 2))
-    a = rows.where("kind = 'decision'").select("session_id", F.col("source_seq").alias("a"), F.col("w").alias("u"))
-    b = rows.where("kind = 'task'").select("session_id", F.col("source_seq").alias("b"), F.col("w").alias("v"))
-    return a.join(b, "session_id").withColumn("shared", F.size(F.array_intersect("u", "v")).cast("long")).where("shared >= 2").select("a", "b", "shared")
+    rows = linerules.message_lines(directives(spark, sf_dir), "session_id", "source_seq", "role").withColumn("line", T.trimmed(F.col("line"))).where("line <> ''")
+    rows = linerules.once(rows, type=linerules.entry_type(F.col("line"), F.lower("role") == "user")["type"])
+    return intents.contradictions(rows.select("session_id", (F.col("source_seq") * 1000 + F.col("line_no")).alias("id"), "type", F.col("line").alias("title")))
 
 
 @query(f"WITH {CHUNKS}, {TIMELINE} SELECT DISTINCT project FROM ch WHERE split_part(project, '/', 1) IN (SELECT split_part(project, '/', 1) FROM tl)")
@@ -174,17 +177,31 @@ def j16_known_owner(spark, sf_dir):
 # Overlay
 
 
-@query("WITH v AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.label = b.label AND a.id < b.id WHERE round(list_cosine_similarity(a.e, b.e), 6) >= 0.35), e AS (SELECT a, b, a % 7 AS t0, b % 7 AS t1 FROM p UNION ALL SELECT b, a, b % 7, a % 7 FROM p), s AS (SELECT a, arg_min(b, (t1, b)) AS successor FROM e WHERE t1 > t0 GROUP BY a), d AS (SELECT DISTINCT a FROM e WHERE t1 = t0) SELECT v.id, coalesce(successor, -1) AS successor, CASE WHEN successor IS NOT NULL THEN 'superseded' WHEN d.a IS NOT NULL THEN 'disputed' ELSE 'active' END AS status FROM v LEFT JOIN s ON v.id = s.a LEFT JOIN d ON v.id = d.a")
+@query(f"WITH {_NEAR}, p AS (SELECT a.id AS a, b.id AS b FROM nv a JOIN nv b ON a.label = b.label AND a.id < b.id WHERE round(list_cosine_similarity(a.e, b.e), 6) >= 0.82), e AS (SELECT a, b, a % 7 AS t0, b % 7 AS t1 FROM p UNION ALL SELECT b, a, b % 7, a % 7 FROM p), s AS (SELECT a, arg_min(b, (t1, b)) AS successor FROM e WHERE t1 > t0 GROUP BY a), d AS (SELECT DISTINCT a FROM e WHERE t1 = t0) SELECT v.id, coalesce(successor, -1) AS successor, CASE WHEN successor IS NOT NULL THEN 'superseded' WHEN d.a IS NOT NULL THEN 'disputed' ELSE 'active' END AS status FROM v LEFT JOIN s ON v.id = s.a LEFT JOIN d ON v.id = d.a")
 def g03_successors(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    pairs = retrieval.pairs_within(v, "label", 0.35).select("a", "b")
+    v = near_vectors(spark, sf_dir)
+    pairs = retrieval.pairs_within(v, "label", 0.82).select("a", "b")
     return overlay.succeeded(v.select("id", (F.col("id") % 7).alias("ts")), pairs).select("id", F.coalesce("successor", F.lit(-1).cast("long")).alias("successor"), "status")
 
 
 @query()
 def g02_semantic_groups(spark, sf_dir):
-    v = vectors(spark, sf_dir).select("id", F.col("label").alias("target"), "embedding", F.when(F.col("id") % 9 == 0, "not so").otherwise("so").alias("thesis"), F.col("id").alias("ts"))
-    return overlay.grouped(v, 0.35)
+    v = near_vectors(spark, sf_dir).select("id", F.col("label").alias("target"), "embedding", F.when(F.col("id") % 9 == 0, "it is rejected").otherwise("it is so").alias("thesis"), F.col("id").alias("ts"))
+    return overlay.grouped(v)
+
+
+@query(
+    f"WITH {TIMELINE}, c AS (SELECT source_seq, 'e' || (source_seq % 500) AS evidence, session_id, substr(message, 1, 12) AS thesis, ts, role FROM tl), o AS (SELECT * FROM c WHERE source_seq % 3 = 0), n AS (SELECT * FROM c WHERE source_seq % 2 = 0), "
+    "k AS (SELECT sha256(evidence || chr(1) || thesis) AS claim_key, arg_min(session_id, (ts, session_id, role)) AS session_id, arg_min(role, (ts, session_id, role)) AS role, min(ts) AS valid_from FROM o GROUP BY evidence, thesis), "
+    "l AS (SELECT sha256(evidence || chr(1) || thesis) AS claim_key, arg_min(session_id, (ts, session_id, role)) AS session_id, arg_min(role, (ts, session_id, role)) AS role, min(ts) AS valid_from FROM n GROUP BY evidence, thesis), "
+    "u AS (SELECT false AS rebuilt, * FROM k UNION ALL SELECT false, * FROM l WHERE claim_key NOT IN (SELECT claim_key FROM k) UNION ALL SELECT true, * FROM k WHERE claim_key IN (SELECT claim_key FROM l) UNION ALL SELECT true, * FROM l WHERE claim_key NOT IN (SELECT claim_key FROM k)) "
+    "SELECT rebuilt, claim_key, substr(sha256('intent' || claim_key), 1, 16) AS intent_id, session_id, valid_from, CASE role WHEN 'user' THEN 'operator_confirmed' ELSE 'agent_derived' END AS authority FROM u"
+)
+def g01_side_index(spark, sf_dir):
+    rows = timeline(spark, sf_dir).select("source_seq", F.concat(F.lit("e"), F.col("source_seq") % 500).alias("evidence"), "session_id", F.substring("message", 1, 12).alias("thesis"), "ts", "role")
+    before = overlay.upserted(None, rows.where("source_seq % 3 = 0"))
+    both = [overlay.upserted(before, rows.where("source_seq % 2 = 0"), again).withColumn("rebuilt", F.lit(again)) for again in (False, True)]
+    return both[0].unionByName(both[1]).select("rebuilt", "claim_key", "intent_id", "session_id", "valid_from", "authority")
 
 
 @query(f"WITH {CHUNKS}, h AS (SELECT sha256(chunk_id || '|' || kind) AS h FROM ch), p6 AS (SELECT substr(h, 1, 6) AS p, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1), p4 AS (SELECT substr(p, 1, 4) AS p, sha256(string_agg(h, '' ORDER BY p6.p, h)) AS h FROM p6 GROUP BY 1), p AS (SELECT substr(p, 1, 2) AS p, sha256(string_agg(h, '' ORDER BY p4.p, h)) AS h FROM p4 GROUP BY 1) SELECT sha256(string_agg(h, '' ORDER BY p)) AS revision FROM p")
