@@ -9,6 +9,8 @@ from sessionloom.operators import dedup, filters, intents, linerules, overlay, p
 from sessionloom.plans.directives import directives
 from sessionloom.plans.queries import _LINES, _NEAR, found_intents, near_vectors, query, sha
 from sessionloom.plans.views import CHUNKS, TIMELINE, chunks, table, timeline
+from sessionloom.sources import ignore, store
+from sessionloom.sources.shared import new_path
 
 
 # Sources as metadata
@@ -19,18 +21,38 @@ def s22_inventory(spark, sf_dir):
     return chunks(spark, sf_dir).groupBy("agent").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"), F.countDistinct("session_id").alias("sessions"))
 
 
-@query(f"WITH {CHUNKS} SELECT chunk_id, day, kind FROM ch WHERE project = 'org1/src7'")
+def laid_out(spark, sf_dir):
+    root = new_path(spark, "store")
+    store.lay_out(chunks(spark, sf_dir), root)
+    return root
+
+
+_PLACED = f"{CHUNKS}, pl AS (SELECT *, project || '/' || replace(day[1:4], '-', '_') || '_' || day[6:7] || day[9:10] || '/' || kind || '/' || agent || '/' || chunk_id || '.md' AS path FROM ch)"
+
+
+@query(f"WITH {_PLACED} SELECT path, project, day, kind, agent, session_id, frame_kind, sha256(text) AS sha FROM pl")
+def s15_store_scan(spark, sf_dir):
+    return store.scan(spark, laid_out(spark, sf_dir)).select("path", "project", "day", "kind", "agent", "session_id", "frame_kind", sha("text"))
+
+
+@query(f"WITH {CHUNKS} SELECT chunk_id, day, kind FROM ch WHERE split_part(project, '/', 1) = 'org1' AND day BETWEEN '2024-01-03' AND '2024-01-20' AND agent = 'bravo'")
 def s16_pruned_scan(spark, sf_dir):
-    return chunks(spark, sf_dir).where(filters.project_matches(F.col("project"), "org1/src7")).select("chunk_id", "day", "kind")
+    return store.scan(spark, laid_out(spark, sf_dir), project="ORG1/", days="2024-01-03..2024-01-20", agent="Bravo").select("chunk_id", "day", "kind")
+
+
+IGNORE = """
+# what is not indexed
+org1/
+!/org1/src[1-4]/**
+**/*9.md
+{org0,org2}/**/2024_010?/*
+!**/de/**/c1*.md
+"""
 
 
-@query(f"WITH {CHUNKS}, r AS (SELECT chunk_id, CASE WHEN project LIKE '%/src1' THEN false WHEN project LIKE 'org1/%' THEN true ELSE false END AS ignored FROM ch) SELECT ignored, count(*) AS n FROM r GROUP BY ignored")
+@query(f"WITH {_PLACED} SELECT path, CASE WHEN regexp_matches(path, '/de/(.*/)?c1[^\\n]*[.]md$') THEN false WHEN regexp_matches(path, '^org[02]/(.*/)?2024_010./.*') THEN true WHEN regexp_matches(path, '9[.]md$') THEN true WHEN regexp_matches(path, '^org1/src[1-4]/.') THEN false ELSE starts_with(path, 'org1/') END AS ignored FROM pl")
 def s17_ignore_rules(spark, sf_dir):
-    rules = [("org1/", True), ("/src1", False)]  # the last rule that matches wins
-    hit = F.lit(False)
-    for pattern, ignore in rules:
-        hit = F.when(filters.project_matches(F.col("project"), pattern), F.lit(ignore)).otherwise(hit)
-    return chunks(spark, sf_dir).groupBy(hit.alias("ignored")).agg(F.count("*").alias("n"))
+    return store.scan(spark, laid_out(spark, sf_dir)).select("path", ignore.ignored(F.col("path"), ignore.parse(IGNORE)).alias("ignored"))
 
 
 @query(f"WITH {CHUNKS}, a AS (SELECT chunk_id AS k, kind FROM ch WHERE frame_kind = 'user_msg'), b AS (SELECT chunk_id AS k, agent FROM ch WHERE kind = 'de') SELECT coalesce(a.k, b.k) AS k, coalesce(kind, '-') AS kind, coalesce(agent, '-') AS agent FROM a FULL JOIN b ON a.k = b.k")

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from sessionloom.operators.dedup import by_content
+from sessionloom.operators.filters import project_matches, within_days
+from sessionloom.sources.ignore import ignored
 
 LEAF = ["project", "day", "kind", "agent"]
 CORRUPT_SHARE, CORRUPT_ROWS = 0.05, 20
@@ -33,6 +36,38 @@ def append_chunks(chunks: DataFrame, path: str, known: bool) -> DataFrame:
     return spark.read.parquet(path).groupBy("project", "agent").agg(F.count("*").alias("chunks"))
 
 
+#: The folders of a laid out store, outermost first.
+FOLDERS = ["org", "repo", "date", "kind", "agent"]
+
+
+def lay_out(chunks: DataFrame, root: str) -> None:
+    """Writes chunks below ``root`` by organisation, repository, date, kind and agent; projects of no owner lie below ``-``."""
+    owned = F.contains("project", F.lit("/"))
+    org = F.when(owned, F.substring_index("project", "/", 1)).otherwise("-")
+    rows = chunks.withColumns({"org": org, "repo": F.when(owned, F.regexp_replace("project", "^[^/]*/", "")).otherwise(F.col("project")), "date": F.concat(F.substring("day", 1, 4), F.lit("_"), F.substring("day", 6, 2), F.substring("day", 9, 2))})
+    rows.drop("project", "day").repartition(*FOLDERS).sortWithinPartitions(*FOLDERS, "session_id", "chunk_id").write.option("compression", "zstd").partitionBy(*FOLDERS).parquet(root)
+
+
+def scan(spark: SparkSession, root: str, project: str | None = None, days: str | None = None, kind: str | None = None, agent: str | None = None, ignore: list[tuple[bool, str]] | None = None) -> DataFrame:
+    """The chunks of a laid out store with project, day and ``path``, their place below ``root``.
+
+    All filters but ``ignore`` are on folders, so that folders they leave out are not read. ``project`` and ``days`` are
+    written as in ``filters``; ``ignore`` is what an ignore file's rules were parsed to.
+    """
+    kept = [f for f in spark.read.parquet(root).schema if f.name not in FOLDERS]
+    rows = spark.read.schema(StructType([*kept, *(StructField(c, StringType()) for c in FOLDERS)])).parquet(root)  # folders are text, whatever they look like
+    name = F.when(F.col("org") == "-", F.col("repo")).otherwise(F.concat("org", F.lit("/"), "repo"))
+    day = F.concat_ws("-", F.substring("date", 1, 4), F.substring("date", 6, 2), F.substring("date", 8, 2))
+    if project is not None:
+        rows = rows.where(project_matches(name, project))
+    if days is not None:
+        rows = rows.where(within_days(day, days))
+    for column, value in (("kind", kind), ("agent", agent)):
+        rows = rows if value is None else rows.where(F.lower(column) == value.lower())
+    rows = rows.withColumns({"project": name, "day": day, "path": F.concat_ws("/", *FOLDERS, F.concat("chunk_id", F.lit(".md")))})
+    return (rows.where(~ignored(F.col("path"), ignore)) if ignore else rows).drop("org", "repo", "date")
+
+
 def credited(sessions: DataFrame, chunks: DataFrame) -> DataFrame:
     """Entries of a session credited to its chunks in proportion, rounded half up, the rest to the last chunk by id."""
     from pyspark.sql import Window
