@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionloom.operators import cards, overlay, validation
+from sessionloom.operators.filters import within_days
 from sessionloom.plans.queries import query
 from sessionloom.plans.views import CHUNKS, TIMELINE, chunks, table, timeline
 from sessionloom.sources.shared import new_path
@@ -79,10 +80,18 @@ def w09_cwd_segments(spark, sf_dir):
     return cards.cwd_segments(timeline(spark, sf_dir).withColumn("cwd", F.when(F.col("turn") % 3 != 1, F.col("cwd")))).select("source_seq", "segment")
 
 
-@query("SELECT * FROM (VALUES ('fix auth', '2026-01-01..2026-01-31', 'fix january 2026 auth'), ('index', '2024-02-01..2024-02-29', 'index 2024 lutego'), ('logs', '2025-03-01..2025-03-31', '2025-03 logs'), ('a b', '2025-03-04', 'a 2025-03-04 b'), ('plain words', NULL, 'plain words')) t(cleaned, dates, asked)")
+@query(
+    f"WITH {CHUNKS}, a AS (SELECT * FROM (VALUES ('fix january 2024 auth', 'fix auth', '2024-01-01', '2024-01-31'), ('index 2024 lutego', 'index', '2024-02-01', '2024-02-29'), ('2024-01 logs', 'logs', '2024-01-01', '2024-01-31'), ('a 2024-02-04 b', 'a b', '2024-02-04', '2024-02-04'), ('plain words', 'plain words', '0', '9')) t(asked, cleaned, first, last)) "
+    "SELECT asked, cleaned, chunk_id FROM a JOIN ch ON day BETWEEN first AND last"
+)
 def f10_m05_dates_in_queries(spark, sf_dir):
-    asked = ("fix january 2026 auth", "index 2024 lutego", "2025-03 logs", "a 2025-03-04 b", "plain words")
-    return spark.createDataFrame([(*cards.date_of_query(q), q) for q in asked], "cleaned string, dates string, asked string")
+    out = None
+    for asked in ("fix january 2024 auth", "index 2024 lutego", "2024-01 logs", "a 2024-02-04 b", "plain words"):
+        cleaned, days = cards.date_of_query(asked)
+        rows = chunks(spark, sf_dir)
+        found = (rows.where(within_days(F.col("day"), days)) if days else rows).select(F.lit(asked).alias("asked"), F.lit(cleaned).alias("cleaned"), "chunk_id")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 @query(f"WITH {CHUNKS}, h AS (SELECT chunk_id, agent AS case_id, project AS identity, text FROM ch WHERE day < '2024-01-20'), a AS (SELECT * FROM (VALUES ('alpha', 'src', ['the', 'qzx'], 'all'), ('bravo', 'src', ['the', 'qzx'], 'any'), ('nobody', 'src', ['the'], 'any')) t(case_id, map_id, terms, match)) SELECT a.case_id, coalesce(bool_or(contains(identity, map_id) AND CASE match WHEN 'all' THEN len(list_filter(terms, lambda t: contains(lower(text), t))) = len(terms) ELSE len(list_filter(terms, lambda t: contains(lower(text), t))) > 0 END), false) AS passed FROM a LEFT JOIN h USING (case_id) GROUP BY a.case_id")

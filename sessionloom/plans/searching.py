@@ -51,9 +51,12 @@ def o03_r13_orders(spark, sf_dir):
     return out
 
 
-@query("SELECT k AS case_no, CASE WHEN filtered THEN greatest(n * 10, 50) ELSE n END AS fetched FROM (VALUES (1, 3, true), (2, 3, false), (3, 20, true)) t(k, n, filtered)")
+@query(f"WITH {CHUNKS}, h AS (SELECT chunk_id, agent, length(text) - length(replace(lower(text), 'the', '')) AS score, day FROM ch), t AS (SELECT * FROM h ORDER BY score DESC, chunk_id LIMIT 50) SELECT chunk_id, score FROM t WHERE agent = 'bravo' ORDER BY score DESC, chunk_id LIMIT 3")
 def o05_over_fetch(spark, sf_dir):
-    return spark.createDataFrame([(k, search.fetch_limit(n, f)) for k, n, f in ((1, 3, True), (2, 3, False), (3, 20, True))], "case_no int, fetched int")
+    score = F.length("text") - F.length(F.replace(F.lower("text"), F.lit("the"), F.lit("")))
+    hits = chunks(spark, sf_dir).select("chunk_id", "agent", score.cast("long").alias("score"), "day")
+    fetched = hits.orderBy(F.desc("score"), "chunk_id").limit(search.fetch_limit(3, True))
+    return search.post_filters(fetched, agent="bravo").orderBy(F.desc("score"), "chunk_id").limit(3).select("chunk_id", "score")
 
 
 @query(f"WITH {CHUNKS}, s AS (SELECT DISTINCT project FROM ch) SELECT 'named' AS q, CASE WHEN (SELECT count(*) FROM s WHERE split_part(project, '/', 1) = 'org1') = 1 THEN (SELECT min(project) FROM s WHERE split_part(project, '/', 1) = 'org1') ELSE 'org1' END AS project UNION ALL SELECT 'one', 'org1/src7' FROM s WHERE project = 'org1/src7' UNION ALL SELECT 'generic', NULL UNION ALL SELECT 'none', NULL")
@@ -67,15 +70,15 @@ def j23_project_of_query(spark, sf_dir):
     return out
 
 
-@query("SELECT * FROM (VALUES ('fix-auth', true), ('v12x5', true), ('login', false), ('src/app.rs', true), ('a-b-c', false), ('the', false)) t(token, strong)")
+@query(f"WITH {CHUNKS}, q AS (SELECT chunk_id, regexp_split_to_array('fix-' || chunk_id || ' (' || kind || ') [' || project || '], a-b-c ' || agent || ' ab ' || agent || ' ' || day, '\\s+') AS w FROM ch), t AS (SELECT chunk_id, unnest(list_distinct(list_filter(list_transform(w, lambda x: regexp_replace(x, '^[^0-9A-Za-z_/:.-]+|[^0-9A-Za-z_/:.-]+$', '', 'g')), lambda x: strlen(x) >= 3))) AS token FROM q) SELECT chunk_id, token, strlen(token) >= 5 AND (regexp_matches(token, '[0-9]') OR (regexp_matches(token, '[-_/:.]') AND len(list_distinct(list_filter(regexp_split_to_array(token, '[^0-9A-Za-z]'), lambda p: strlen(p) >= 3))) >= 2)) AS strong FROM t")
 def u17_anchors(spark, sf_dir):
-    q = spark.createDataFrame([("fix-auth v12x5 (login) 'src/app.rs' a-b-c the the ab",)], "q string")
-    return q.select(F.explode(search.anchors(F.col("q"))).alias("a")).select("a.*")
+    asked = F.concat(F.lit("fix-"), "chunk_id", F.lit(" ("), "kind", F.lit(") ["), "project", F.lit("], a-b-c "), "agent", F.lit(" ab "), "agent", F.lit(" "), "day")
+    return chunks(spark, sf_dir).select("chunk_id", F.explode(search.anchors(asked)).alias("a")).select("chunk_id", "a.*")
 
 
-@query(f"WITH {CHUNKS}, w AS (SELECT chunk_id, list_distinct(list_filter(list_transform(regexp_split_to_array(lower(translate(substr(text, 1, 80), 'ĄąĆćĘęŁłŃńÓóŚśŹźŻż', 'aacceellnnoosszzzz')), '[^0-9A-Za-z-]+'), lambda t: regexp_replace(t, '^-+|-+$', '', 'g')), lambda t: strlen(t) >= 3 AND NOT list_contains([{', '.join(repr(w) for w in search.STOP_WORDS)}], t))) AS t FROM ch) SELECT chunk_id, array_to_string(list_sort(t), ' ') AS terms FROM w")
+@query(f"WITH {CHUNKS}, w AS (SELECT chunk_id, list_distinct(list_filter(list_transform(regexp_split_to_array(lower(translate(text, 'ĄąĆćĘęŁłŃńÓóŚśŹźŻż', 'aacceellnnoosszzzz')), '[^0-9A-Za-z-]+'), lambda t: regexp_replace(t, '^-+|-+$', '', 'g')), lambda t: strlen(t) >= 3 AND NOT list_contains([{', '.join(repr(w) for w in search.STOP_WORDS)}], t))) AS t FROM ch) SELECT chunk_id, md5(array_to_string(list_sort(t), ' ')) AS terms FROM w")
 def u18_evidence_terms(spark, sf_dir):
-    return chunks(spark, sf_dir).select("chunk_id", F.array_join(F.sort_array(search.evidence_terms(F.substring("text", 1, 80))), " ").alias("terms"))
+    return chunks(spark, sf_dir).select("chunk_id", F.md5(F.array_join(F.sort_array(search.evidence_terms(F.col("text"))), " ")).alias("terms"))
 
 
 # Rules on texts
@@ -111,11 +114,12 @@ def f07_mentions(spark, sf_dir):
     return worklog(spark, sf_dir).select("source_seq", search.mentions(F.col("message"), "Parser").alias("mentioned"))
 
 
-@query("SELECT * FROM (VALUES (1, 'missing'), (2, 'pending'), (3, 'stale_chunks'), (4, 'stale_index'), (5, 'ready')) t(case_no, state)")
+@query(f"WITH {CHUNKS}, g AS (SELECT project, bool_or(kind = 'de') AS there, coalesce(bool_or(kind = 'fr' AND frame_kind IS NULL), false) AS temp, count(*) FILTER (day > '2024-02-06') AS newer, count(*) FILTER (frame_kind = 'tool_call' AND day < '2024-01-04') AS pending FROM ch GROUP BY project) SELECT project, CASE WHEN NOT there AND NOT temp THEN 'missing' WHEN NOT there THEN 'pending' WHEN newer > 0 THEN 'stale_chunks' WHEN pending > 0 THEN 'stale_index' ELSE 'ready' END AS state FROM g")
 def a14_readiness(spark, sf_dir):
-    cases = [(1, False, False, 0, 0), (2, False, True, 0, 0), (3, True, False, 2, 1), (4, True, True, 0, 3), (5, True, False, 0, 0)]
-    rows = spark.createDataFrame(cases, "case_no int, there boolean, temp boolean, newer int, pending int")
-    return rows.select("case_no", search.readiness(F.lit(1), F.col("there"), F.col("temp"), F.col("newer"), F.col("pending")).alias("state"))
+    kind, frame, day = F.col("kind"), F.col("frame_kind"), F.col("day")
+    facts = {"there": F.bool_or(kind == "de"), "temp": F.bool_or((kind == "fr") & frame.isNull()), "newer": F.count_if(day > "2024-02-06"), "pending": F.count_if((frame == "tool_call") & (day < "2024-01-04"))}
+    per = chunks(spark, sf_dir).groupBy("project").agg(*(v.alias(k) for k, v in facts.items()), F.count("*").alias("n"))
+    return per.select("project", search.readiness(F.col("n"), *(F.col(c) for c in facts)).alias("state"))
 
 
 @query(f"WITH {TIMELINE}, s AS (SELECT agent, session_id, max(ts) AS ended FROM tl GROUP BY ALL) SELECT session_id, ended FROM s WHERE agent = 'bravo' AND ended >= TIMESTAMP '2024-01-01 00:30:00' ORDER BY ended DESC, session_id LIMIT 7")
@@ -132,21 +136,26 @@ def m01_compact_dates(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", c.alias("compact"), M.iso_date(c).alias("back"))
 
 
-@query("SELECT * FROM (VALUES (1, TIMESTAMP '2024-03-01 10:00:00'), (2, TIMESTAMP '2024-03-01 08:00:00'), (3, TIMESTAMP '2024-03-01 00:00:00'), (4, NULL), (5, NULL), (6, TIMESTAMP '2024-03-01 10:00:00.5')) t(case_no, t_at)")
+@query("SELECT event_id, CASE event_id % 5 WHEN 0 THEN date_trunc('second', ts) WHEN 1 THEN date_trunc('second', ts) - INTERVAL 2 HOUR WHEN 2 THEN date_trunc('day', ts) END AS t_at FROM events")
 def m02_times(spark, sf_dir):
-    texts = ["2024-03-01T10:00:00Z", "2024-03-01T10:00:00+02:00", "2024-03-01", "soon", "", "2024-03-01T10:00:00.500Z"]
-    return spark.createDataFrame(list(enumerate(texts, 1)), "case_no int, t string").select("case_no", M.utc(F.col("t")).cast("timestamp_ntz").alias("t_at"))
+    way = F.col("event_id") % 5
+    at = lambda form: F.date_format("ts", form)
+    text = F.when(way == 0, at("yyyy-MM-dd'T'HH:mm:ss'Z'")).when(way == 1, at("yyyy-MM-dd'T'HH:mm:ss'+02:00'")).when(way == 2, at("yyyy-MM-dd")).when(way == 3, at("MMM d")).otherwise("")
+    return table(spark, sf_dir, "events").select("event_id", M.utc(text).cast("timestamp_ntz").alias("t_at"))
 
 
-@query("SELECT * FROM (VALUES ('24h', 86400), ('7d', 604800), (' 1h ', 3600), ('x', NULL), ('5', NULL), ('', NULL)) t(text, seconds)")
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN user_id * 3600 WHEN 1 THEN user_id * 86400 END AS seconds FROM events")
 def m04_relative(spark, sf_dir):
-    return spark.createDataFrame([(x,) for x in ("24h", "7d", " 1h ", "x", "5", "")], "text string").select("text", M.relative_seconds(F.col("text")).alias("seconds"))
+    unit = F.element_at(F.array(*map(F.lit, ("h ", "d", "w", ""))), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", M.relative_seconds(F.concat(F.lit(" "), F.col("user_id").cast("string"), unit)).alias("seconds"))
 
 
-@query("SELECT * FROM (VALUES ('February', '2024-02-01', '2024-02-29'), ('lutego', '2024-02-01', '2024-02-29'), ('grudnia', '2024-12-01', '2024-12-31'), ('nothing', NULL, NULL)) t(word, first, last)")
+@query("SELECT event_id, CASE WHEN event_id % 3 < 2 THEN strftime(date_trunc('month', ts), '%Y-%m-%d') END AS first, CASE WHEN event_id % 3 < 2 THEN strftime(last_day(ts), '%Y-%m-%d') END AS last FROM events")
 def m05_months(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("February", "lutego", "grudnia", "nothing")], "word string")
-    return rows.select("word", M.month_range(F.lit(2024), M.month_number(F.col("word"))).alias("r")).select("word", "r.first", "r.last")
+    polish = ("stycznia", "lutego", "marca", "kwietnia", "maja", "czerwca", "lipca", "sierpnia", "września", "października", "listopada", "grudnia")
+    own = F.element_at(F.array(*map(F.lit, polish)), F.month("ts"))
+    word = F.when(F.col("event_id") % 3 == 0, F.date_format("ts", "MMMM")).when(F.col("event_id") % 3 == 1, normalize_query(own)).otherwise(F.reverse(own))
+    return table(spark, sf_dir, "events").select("event_id", M.month_range(F.year("ts"), M.month_number(word)).alias("r")).select("event_id", "r.first", "r.last")
 
 
 @query("WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v) SELECT vec_id, round(e[1] / n, 6) AS x, round(e[64] / n, 6) AS y FROM u")
@@ -178,10 +187,11 @@ def m13_eta(spark, sf_dir):
     return per.select("user_id", M.eta_seconds(F.col("d"), F.col("n"), F.col("ms")).alias("eta"))
 
 
-@query("SELECT * FROM (VALUES (1, 'a', '1'), (1, 'b', '2'), (1, 'c', '4'), (2, 'b', '3'), (2, 'c', '4')) t(case_no, key, value)")
+@query(f"WITH {CHUNKS} SELECT chunk_id, unnest(['kind', 'at', 'agent']) AS key, unnest([kind, chunk_id, agent]) AS value FROM ch")
 def m16_merged_maps(spark, sf_dir):
-    rows = spark.createDataFrame([(1, {"a": "1", "b": "2"}, {"b": "3", "c": "4"}), (2, {}, {"b": "3", "c": "4"})], "case_no int, a map<string,string>, b map<string,string>")
-    return rows.select("case_no", F.explode(M.merged_maps(F.col("a"), F.col("b"))))
+    lexical = F.create_map(F.lit("kind"), F.col("kind"), F.lit("at"), F.col("chunk_id"))
+    dense = F.create_map(F.lit("at"), F.col("day"), F.lit("agent"), F.col("agent"))
+    return chunks(spark, sf_dir).select("chunk_id", F.explode(M.merged_maps(lexical, dense)))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN NULL ELSE greatest(date_trunc('second', ts), TIMESTAMP '2024-01-10 00:00:00') END AS at FROM events")
