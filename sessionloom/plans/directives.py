@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sessionloom.functions import text as T
-from sessionloom.operators import intents, linerules, overlay
+from sessionloom.operators import intents, linerules, machines, overlay
 from sessionloom.plans.registry import query, sha
 from sessionloom.plans.views import _timeline_sql, timeline
 
@@ -162,3 +162,33 @@ def d16_u05_evidence(spark, sf_dir):
 def u24_vetoes(spark, sf_dir):
     rows = linerules.message_lines(directives(spark, sf_dir), "source_seq").where("behind is not null")
     return rows.select("source_seq", F.col("line_no").cast("long").alias("line_no"), overlay.vetoed(F.col("line"), F.col("behind")).alias("veto"))
+
+
+def _session_lines(spark, sf_dir):
+    """The lines of each session in order, some with tags of speech and marks of blocks before and behind them."""
+    rows = linerules.message_lines(directives(spark, sf_dir), "session_id", "turn", "source_seq")
+    seven = F.col("source_seq") % 7
+    first = F.col("line_no") == 0
+    line = F.concat(F.when(first & (seven == 1), "<voice id=1>").when(first & (seven == 4), "[read]").otherwise(""), "line", F.when(first & (seven == 2), " </voice>").when(first & (seven == 5), "[/read]").otherwise(""))
+    return rows.select(F.col("session_id").alias("text_id"), (F.col("turn") * 64 + F.col("line_no")).alias("line_no"), line.alias("line"))
+
+
+_SESSION = f"{LINES_SQL}, sl AS (SELECT session_id AS text_id, turn * 64 + line_no AS line_no, line, line_no = 0 AS first, source_seq % 7 AS k FROM ln)"
+
+
+@query(rf"WITH {_SESSION}, v AS (SELECT text_id, line_no, CASE WHEN first AND k = 4 THEN '[read]' ELSE '' END || line || CASE WHEN first AND k = 5 THEN '[/read]' ELSE '' END AS line, first AND k = 1 AS begun, CASE WHEN first AND k = 1 THEN 1 WHEN first AND k = 2 THEN 0 END AS made FROM sl) SELECT text_id, line_no, md5({_TRIM % 'line'}) AS line, begun OR coalesce(last_value(made IGNORE NULLS) OVER (PARTITION BY text_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS spoken FROM v")
+def u26_voice_lines(spark, sf_dir):
+    return machines.voice_lines(_session_lines(spark, sf_dir)).select("text_id", "line_no", F.md5("line").alias("line"), "spoken")
+
+
+@query(f"WITH {_SESSION}, v AS (SELECT text_id, line_no, CASE WHEN first AND k = 4 THEN 1 WHEN first AND k = 5 THEN 0 END AS made FROM sl) SELECT text_id, line_no FROM (SELECT *, coalesce(last_value(made IGNORE NULLS) OVER (PARTITION BY text_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS inside FROM v) WHERE made IS NULL AND inside = 0")
+def f23_read_blocks(spark, sf_dir):
+    return machines.outside_blocks(_session_lines(spark, sf_dir), "[read]", "[/read]").select("text_id", "line_no")
+
+
+@query()
+def w11_line_classes(spark, sf_dir):
+    rows, line = _session_lines(spark, sf_dir), F.col("line")
+    own = linerules.entry_type(line, F.lit(False))["type"].isNotNull()
+    flags = {"noise": linerules.is_source_metadata(line) | linerules.is_command_output(line), "signal": own, "header": F.startswith(line, F.lit("[read]")), "footer": linerules.is_code_fragment(line), "exit": F.startswith(line, F.lit("<voice"))}
+    return machines.line_classes(linerules.once(rows, **flags))
