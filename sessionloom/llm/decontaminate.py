@@ -10,18 +10,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sessionloom.llm.shared import lower_ascii, narrow_side, written
+from sessionloom.llm.shared import BROADCAST_ROWS, lower_ascii, narrow_side, written
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before A-Z are lower-cased.
-RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words of lower-cased text.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 KGRAM = 5
+#: Parts of each key where a table of keys is too large to be broadcast, so that a common phrase is no single task.
+SALTS = 8
 
 
 def words(text: Column) -> Column:
     """The lower-cased words; a null text has none."""
-    return F.coalesce(F.regexp_extract_all(lower_ascii(text), F.lit(WORD), F.lit(0)), F.array().cast("array<string>"))
+    cut = F.array_remove(F.split(lower_ascii(text), BETWEEN), "")
+    return F.coalesce(cut, F.array().cast("array<string>"))
 
 
 def let(value: Column, body) -> Column:
@@ -63,43 +65,77 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return out.distinct()
 
 
-def hits(docs: DataFrame, windows: DataFrame, text_column: str = "text") -> DataFrame:
-    """(doc_id, text_hash, start, length, window_text): each occurrence of an item's window in a document, once."""
-    found = None
-    for length in sorted(r[0] for r in windows.select("length").distinct().collect()):  # 1 to WINDOW
-        of_length = windows.where(F.col("length") == length)
-        w = length - min(KGRAM, length) + 1
-        keys = narrow_side(written(of_length.select("fingerprint").distinct(), "leak-fingerprints"))
-        texts = narrow_side(written(of_length.select("window_text").distinct(), "leak-windows"), 100_000)
-        arrays = docs.select("doc_id", F.xxhash64(text_column).alias("text_hash"), words(F.col(text_column)).alias("w")).where(F.size("w") >= length)
-        marked = arrays.select("doc_id", "text_hash", "w", fingerprints(F.col("w"), length).alias("f"))
-        runs = marked.select("doc_id", "text_hash", "w", F.posexplode("f").alias("at", "fingerprint")).where("fingerprint is not null").join(keys, "fingerprint")
-        near = runs.select("doc_id", "text_hash", "at", F.slice("w", F.col("at") + 1, length + w - 1).alias("near"))
-        starts = near.select("doc_id", "text_hash", "at", "near", F.explode(F.sequence(F.lit(0), F.size("near") - length)).alias("shift"))
-        spans = starts.select("doc_id", "text_hash", (F.col("at") + F.col("shift")).alias("start"), F.lit(length).alias("length"), F.array_join(F.slice("near", F.col("shift") + 1, length), " ").alias("window_text"))
-        some = spans.join(texts, "window_text")
-        found = some if found is None else found.unionByName(some)
-    if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, start int, length int, window_text string")
-    return found.select("doc_id", "text_hash", "start", "length", "window_text").distinct()
-
-
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def _matched(rows: DataFrame, keys: DataFrame, on: list[str], spread: Column, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``rows`` joined with ``keys``, a written table: by broadcast if it has at most ``most`` rows, else salted by ``spread``."""
+    if keys.limit(most + 1).count() <= most:
+        return rows.join(F.broadcast(keys), on)
+    salted = keys.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(spread, F.lit(SALTS)).cast("int")).join(salted, [*on, "_salt"]).drop("_salt")
+
+
+def _runs(word_array: Column, lengths: list[int]) -> Column:
+    """An array of (length, at, fingerprint), for all lengths."""
+
+    def of_length(n: int) -> Column:
+        placed = F.transform(fingerprints(word_array, n), lambda x, i: F.when(x.isNotNull(), F.struct(F.lit(n).alias("length"), i.alias("at"), x.alias("fingerprint"))))
+        return F.when(F.size(word_array) >= n, F.array_compact(placed))
+
+    parts = [of_length(n) for n in lengths]
+    return F.flatten(F.array_compact(F.array(*parts))) if len(parts) > 1 else parts[0]
+
+
+def candidates(docs: DataFrame, windows: DataFrame, text_column: str = "text", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Per row of ``docs``: doc_id, text_hash, n_words, and near: (start, length, window_text) at joined fingerprints.
+
+    Texts are read twice: once for the fingerprints, of which only places and hashes are joined, and once for the counts
+    and the words around the places that joined.
+    """
+    key = [F.col("doc_id"), F.xxhash64(text_column).alias("text_hash")]
+    lengths = sorted(r[0] for r in windows.select("length").distinct().collect())  # 1 to WINDOW
+    # the words are a column of a step of their own, which the optimizer does not fold into their many uses
+    worded = docs.select(*key, words(F.col(text_column)).alias("w"))
+    if not lengths:
+        return worded.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:int,length:int,window_text:string>>").alias("near"))
+    keys = written(windows.select("length", "fingerprint").distinct(), "leak-fingerprints")
+    placed = worded.select("doc_id", "text_hash", _runs(F.col("w"), lengths).alias("runs")).select("doc_id", "text_hash", F.inline("runs"))
+    joined = _matched(placed, keys, ["length", "fingerprint"], F.xxhash64("doc_id", "text_hash", "at"), broadcast_rows)
+    places = written(joined.select("doc_id", "text_hash", "length", "at").distinct(), "leak-places")
+    of_text = places.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("length", "at")).alias("places"))
+    if places.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        of_text = F.broadcast(of_text)
+    with_places = worded.join(of_text, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash")), "left")
+
+    def around(place: Column) -> Column:
+        length, at = place["length"], place["at"]
+        w = length - F.least(length, F.lit(KGRAM)) + 1
+        last = F.least(at + w - 1, F.size("w") - length)
+        return F.transform(F.sequence(at, last), lambda p: F.struct(p.alias("start"), length.alias("length"), F.array_join(F.slice("w", p + 1, length), " ").alias("window_text")))
+
+    near = F.array_distinct(F.flatten(F.transform("places", around)))
+    return with_places.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), near.alias("near"))
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per row of ``docs``: doc_id, text_hash, n_words, n_hit, n_items, items (sorted as strings), contaminated.
 
-    A null or empty text has no words and no hits. Rows with the same doc_id and text are repeated rows: each is
-    returned, with equal values. A null doc_id is kept. Items without words, or with a null item_id, hit nothing.
+    A null or empty text has no words and no hits; very long texts are taken whole. Rows with the same doc_id and text are
+    repeated rows: each is returned, with equal values. A null doc_id is kept. Items without words, or with a null item_id,
+    hit nothing. Empty tables give no rows or no hits; columns but doc_id and text, whatever their names, are not looked at.
+    Tables of at most ``broadcast_rows`` narrow rows are broadcast.
     """
+    docs, key = docs.select("doc_id", "text"), ["doc_id", "text_hash"]
     windows = written(item_windows(benchmark.where("item_id is not null"), window), "leak-items")
-    spans = written(hits(docs, windows), "leak-hits")
-    key = ["doc_id", "text_hash"]
+    rows = written(candidates(docs, windows, broadcast_rows=broadcast_rows), "leak-candidates")
+    texts = written(windows.select("window_text").distinct(), "leak-windows")
+    near = rows.select(*key, F.inline("near")).distinct()
+    spread = F.xxhash64(*key, "start")
+    spans = written(_matched(near, texts, ["window_text"], spread, broadcast_rows // 5), "leak-hits")
     covered = spans.select(*key, F.explode(F.sequence(F.col("start"), F.col("start") + F.col("length") - 1)).alias("p")).distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
-    per_window = narrow_side(written(windows.select("window_text", "item_id").distinct(), "leak-owners"), 100_000)
-    owners = spans.select(*key, "window_text").distinct().join(per_window, "window_text").select(*key, "item_id").distinct()
-    items = owners.groupBy(*key).agg(F.sort_array(F.collect_list("item_id")).alias("items"))
+    per_window = written(windows.select("window_text", "item_id").distinct(), "leak-owners")
+    owners = _matched(spans.select(*key, "window_text").distinct(), per_window, ["window_text"], F.xxhash64(*key), broadcast_rows // 5)
+    items = owners.select(*key, "item_id").distinct().groupBy(*key).agg(F.sort_array(F.collect_list("item_id")).alias("items"))
     found = covered.join(items, covered["doc_id"].eqNullSafe(items["doc_id"]) & (covered["text_hash"] == items["text_hash"])).select(covered["doc_id"].alias("_doc"), covered["text_hash"].alias("_hash"), "n_hit", "items")
-    counted = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.coalesce(F.regexp_count("text", F.lit(RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
-    out = counted.join(found, counted["doc_id"].eqNullSafe(found["_doc"]) & (counted["text_hash"] == found["_hash"]), "left")
+    out = rows.drop("near").join(found, rows["doc_id"].eqNullSafe(found["_doc"]) & (rows["text_hash"] == found["_hash"]), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     items = F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), (n_hit > 0).alias("contaminated"))

@@ -206,6 +206,11 @@ def test_decontamination(spark):
     left = decontaminate.decontaminate(frame(spark, docs), bench)
     assert left.columns == frame(spark, docs).columns and left.count() == sum(not r["contaminated"] for r in got)
     assert decontaminate.contamination(frame(spark, docs), bench.where("false")).where("contaminated").count() == 0
+    # without broadcasts, over repeated rows and a column that clashes: the same values
+    rows = frame(spark, docs).withColumn("near", F.lit("x"))
+    again = decontaminate.contamination(rows.unionByName(rows), bench, broadcast_rows=0)
+    assert sorted(again.collect()) == sorted(r for r in got for _ in range(2))
+    assert decontaminate.contamination(rows.where("false"), bench).count() == 0
 
 
 # 5
