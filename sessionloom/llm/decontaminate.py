@@ -54,15 +54,10 @@ def fingerprints(word_array: Column, window: int, k: int = KGRAM, keep_all: bool
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(item_id, length, fingerprint, window_text) for the runs of ``window`` words of each item, or all words of a shorter one."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("w")).where("size(w) > 0")
-    parts = []
-    for length in range(1, window + 1):
-        fits = F.size("w") == length if length < window else F.size("w") >= length
-        runs = items.where(fits).select("item_id", "w", F.posexplode(fingerprints(F.col("w"), length, keep_all=True)).alias("i", "fingerprint"))
-        parts.append(runs.select("item_id", F.lit(length).alias("length"), "fingerprint", F.array_join(F.slice("w", F.col("i") + 1, length), " ").alias("window_text")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    size = F.least(F.size("w"), F.lit(window))
+    prints = F.coalesce(*(F.when(size == n, fingerprints(F.col("w"), n, keep_all=True)) for n in range(1, window + 1)))
+    runs = items.select("item_id", "w", size.alias("length"), F.posexplode(prints).alias("i", "fingerprint"))
+    return runs.select("item_id", "length", "fingerprint", F.array_join(F.slice("w", F.col("i") + 1, F.col("length")), " ").alias("window_text")).distinct()
 
 
 def _matched(rows: DataFrame, keys: DataFrame, on: list[str], spread: Column, most: int = BROADCAST_ROWS) -> DataFrame:
@@ -97,7 +92,8 @@ def candidates(docs: DataFrame, windows: DataFrame, text_column: str = "text", b
     if not lengths:
         return worded.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:int,length:int,window_text:string>>").alias("near"))
     keys = written(windows.select("length", "fingerprint").distinct(), "leak-fingerprints")
-    placed = worded.select("doc_id", "text_hash", _runs(F.col("w"), lengths).alias("runs")).select("doc_id", "text_hash", F.inline("runs"))
+    # before the plain inline the optimizer would put a filter on the array, which computes it thrice
+    placed = worded.select("doc_id", "text_hash", _runs(F.col("w"), lengths).alias("runs")).select("doc_id", "text_hash", F.inline_outer("runs")).where("fingerprint is not null")
     joined = _matched(placed, keys, ["length", "fingerprint"], F.xxhash64("doc_id", "text_hash", "at"), broadcast_rows)
     places = written(joined.select("doc_id", "text_hash", "length", "at").distinct(), "leak-places")
     of_text = places.groupBy(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("length", "at")).alias("places"))
