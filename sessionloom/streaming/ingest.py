@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
@@ -79,3 +79,50 @@ def watermarks(rows: DataFrame, skipped: DataFrame) -> DataFrame:
 def advanced(old: DataFrame, new: DataFrame) -> DataFrame:
     """The later of both watermarks for each key; a watermark never goes back."""
     return old.unionByName(new).groupBy("source_key").agg(F.max("last_processed").alias("last_processed"))
+
+
+def _table(spark, path: str, schema: str) -> DataFrame:
+    """The Parquet table at a path; empty before its first batch."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def marks(spark, root: str, before: int | None = None) -> DataFrame:
+    """(source_key, last_processed) of the committed batches, or of those before a batch."""
+    rows = _table(spark, f"{root}/marks", "source_key string, last_processed timestamp, batch long").where("source_key is not null")
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    return rows.groupBy("source_key").agg(F.max("last_processed").alias("last_processed"))
+
+
+def committed(spark, root: str, schema: str) -> DataFrame:
+    """The rows of the committed batches; a batch that failed midway is not seen."""
+    done = _table(spark, f"{root}/marks", "source_key string, last_processed timestamp, batch long").select("batch").distinct()
+    return _table(spark, f"{root}/rows", f"{schema}, batch long").join(F.broadcast(done), "batch", "left_semi").drop("batch")
+
+
+def append_marked(stream: DataFrame, root: str, checkpoint: str, keep: Callable[[DataFrame], DataFrame] = lambda rows: rows):
+    """Appends a stream with agent, ts and in_flight to ``root``; the marks of its sources advance with its batches.
+
+    A source with a row in flight is left out whole and its mark held, until it is sent again. Rows at or below their
+    source's mark are ignored; rows without ts are kept and move no mark, those without agent are the source ``""``. Marks
+    are of the rows as they come, before ``keep`` filters them. Rows are written below the number of their batch and its
+    marks last, in one file: without them the batch does not count, and its replay replaces what it left.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        keyed = batch.withColumn("source_key", F.coalesce("agent", F.lit("")))
+        held = keyed.where("in_flight").select("source_key").distinct()
+        old = marks(spark, root, number)
+        ready = keyed.join(held, "source_key", "left_anti").join(old, "source_key", "left")
+        fresh = ready.where("last_processed is null or ts is null or ts > last_processed").drop("last_processed")
+        keep(fresh).drop("source_key", "in_flight").write.mode("overwrite").parquet(f"{root}/rows/batch={number}")
+        new = fresh.groupBy("source_key").agg(F.max("ts").alias("last_processed")).where("last_processed is not null")
+        whole = advanced(old, new).unionByName(spark.createDataFrame([(None, None)], "source_key string, last_processed timestamp"))
+        whole.coalesce(1).write.mode("overwrite").parquet(f"{root}/marks/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
