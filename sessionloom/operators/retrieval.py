@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.sources.shared import written
+
 RRF_K = 60
 K1, B = 1.2, 0.75
+#: Different vectors of a target that a block holds, about; a task compares two blocks.
+BLOCK_VECTORS = 4096
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -70,11 +76,58 @@ def fuse(lexical: DataFrame, dense: DataFrame, k: int = RRF_K, limit: int = 10)
     return top(both, limit, F.desc("score"), "id")
 
 
+def _near_blocks(least: float):
+    """Of a pair of blocks (c, at, unit, i, j) the pairs of classes (x, y) whose product is not below ``least``, a little spared for single precision."""
+
+    def near(group: pa.Table) -> pa.Table:
+        vectors, at, c = group.column("unit").to_pylist(), group.column("at").to_numpy(), group.column("c").to_numpy()
+        unit = np.zeros((len(vectors), max((len(v) for v in vectors if v), default=0)), dtype=np.float32)
+        for k, v in enumerate(vectors):
+            unit[k, : len(v or ())] = v or ()
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        ours, theirs = np.flatnonzero(at == i), np.flatnonzero(at == j)
+        xs, ys = [], []
+        for lo in range(0, len(ours), 512):
+            some = ours[lo : lo + 512]
+            x, y = np.nonzero(~(unit[some] @ unit[theirs].T < least - 1e-4))  # what is not a number stays, as in SQL
+            xs.append(c[some[x]])
+            ys.append(c[theirs[y]])
+        x, y = np.concatenate(xs or [c[:0]]), np.concatenate(ys or [c[:0]])
+        once = x < y if i == j else np.ones(len(x), dtype=bool)
+        return pa.table({"x": x[once], "y": y[once]})
+
+    return near
+
+
+def near_classes(vectors: DataFrame, target: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """(id, c), the class of each vector, and (x, y, similarity), the classes that are linked; x = y links the rows of a class.
+
+    A class is the equal vectors of a target, so copies are one row to all that follows. The classes of a target are
+    compared all with all, as no exact bound parts vectors of many dimensions: in blocks of ``BLOCK_VECTORS``, a pair of
+    blocks a task, by products of matrices, which leave few pairs to the exact similarity.
+    """
+    rows = written(vectors.where(F.col("id").isNotNull() & F.col(target).isNotNull()).select("id", F.col(target).alias("t"), F.col("embedding").alias("e")), "vectors")
+    classes = written(rows.groupBy("t", "e").agg(F.count("*").alias("n")).withColumn("c", F.monotonically_increasing_id()), "classes")
+    members = written(rows.join(classes, (rows["t"] == classes["t"]) & rows["e"].eqNullSafe(classes["e"])).select("id", "c"), "members")
+    norm = F.sqrt(dot(F.col("e"), F.col("e")))
+    unit = F.transform("e", lambda x: F.coalesce(F.when(norm == 0, 0.0).otherwise(x.cast("double") / norm), F.lit(0.0)).cast("float"))
+    blocks = classes.groupBy("t").agg(F.ceil(F.count("*") / BLOCK_VECTORS).cast("int").alias("blocks"))
+    placed = classes.select("t", "c", unit.alias("unit")).join(blocks, "t").withColumn("at", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("at", k).alias("i"), F.greatest("at", k).alias("j")))
+    dealt = placed.select("t", "c", "at", "unit", F.explode(pair).alias("pair")).select("t", "c", "at", "unit", "pair.i", "pair.j")
+    near = dealt.groupBy("t", "i", "j").applyInArrow(_near_blocks(least), "x long, y long")
+    near = near.unionByName(classes.where("n > 1").select(F.col("c").alias("x"), F.col("c").alias("y")))
+    x, y = classes.select(F.col("c").alias("x"), F.col("e").alias("ex")), classes.select(F.col("c").alias("y"), F.col("e").alias("ey"))
+    links = near.join(x, "x").join(y, "y").select("x", "y", F.round(cosine(F.col("ex"), F.col("ey")), 6).alias("similarity")).where(F.col("similarity") >= least)
+    return members, written(links, "links")
+
+
 def pairs_within(vectors: DataFrame, target: str, least: float) -> DataFrame:
     """(a, b, similarity) of vectors of the same target that are at least so similar."""
-    a, b = vectors.alias("a"), vectors.alias("b")
-    both = a.join(b, (F.col(f"a.{target}") == F.col(f"b.{target}")) & (F.col("a.id") < F.col("b.id")))
-    return both.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.round(cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("similarity")).where(F.col("similarity") >= least)
+    members, links = near_classes(vectors, target, least)
+    both = links.join(members.select(F.col("c").alias("x"), F.col("id").alias("p")), "x").join(members.select(F.col("c").alias("y"), F.col("id").alias("q")), "y")
+    both = both.where(F.when(F.col("x") == F.col("y"), F.col("p") < F.col("q")).otherwise(F.col("p") != F.col("q")))
+    return both.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"), "similarity")
 
 
 def quality_score(hits: DataFrame, query: str, terms: Sequence[str]) -> DataFrame:
