@@ -85,3 +85,20 @@ def eta_seconds(done: Column, total: Column, elapsed_ms: Column) -> Column:
 def merged_maps(first: Column, second: Column) -> Column:
     """Both maps; the first one's values win."""
     return F.map_zip_with(first, second, lambda _, a, b: F.coalesce(a, b))
+
+
+def rounded_millis(ts: Column) -> Column:
+    """Milliseconds since 1970 by the clock of ``ts``, microseconds rounded to the nearest, halves away from zero."""
+    second = (F.date_part(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    micros = ((F.unix_date(ts.cast("date")).cast("long") * 24 + F.hour(ts)) * 60 + F.minute(ts)) * 60_000_000 + second
+    return whole(F.when(micros < 0, micros - 500).otherwise(micros + 500), 1000)
+
+
+def whole(x: Column, by: int) -> Column:
+    """The quotient of long numbers without its fraction, as SQL's // gives it: towards zero."""
+    return ((x - x % by) / by).cast("long")
+
+
+def at_second(seconds: Column) -> Column:
+    """The timestamp without zone so many seconds after 1970."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sessionloom.functions.measures import rounded_millis, whole
+
 SESSION = ["agent", "session_id"]
 ORDER = ["ts", "source_seq"]
 
@@ -65,8 +67,8 @@ def neighbours(timeline: DataFrame) -> DataFrame:
 
 
 def rolling_rate(df: DataFrame, key: str, seconds: int) -> DataFrame:
-    """Rows of the key within the seconds up to each row's time, per second."""
-    w = Window.partitionBy(key).orderBy(F.unix_timestamp("ts")).rangeBetween(-seconds, 0)
+    """Rows of the key within the seconds up to each row's time, per second; times are rounded to milliseconds, then cut to seconds."""
+    w = Window.partitionBy(key).orderBy(whole(rounded_millis(F.col("ts")), 1000)).rangeBetween(-seconds, 0)
     return df.withColumn("rate", F.count("*").over(w) / F.lit(float(seconds)))
 
 
