@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sessionloom.functions.text import hash_tokens, path_tokens, trimmed
+from sessionloom.sources.shared import written
 
 # The phrases of claims, English and Polish, in order; the first whose words stand in a line side by side decides.
 CLAIMS = (
@@ -25,6 +26,8 @@ CLAIMS = (
 )
 #: Applause: such claims need direct evidence.
 HIGH_RISK = ("green", "ready_to_push", "shippable", "no_blockers")
+#: Parts of a class of claims that meet evidence in tasks of their own.
+PARTS = 32
 
 
 def claim_type(line: Column) -> Column:
@@ -79,14 +82,24 @@ def evidence(timeline: DataFrame, claims: DataFrame) -> DataFrame:
 def linked(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """(id, evidence_id, direct, fails): the claim before it in the session, or a commit or a file that both name in a project.
 
-    All are equi-joins; hashes and files are exploded.
+    Claims that name the same are one class, evidence likewise, and classes meet by the exploded names. The pairs of the
+    members of classes that met are the result and are made last, a class of claims in ``PARTS`` parts by id, so that no
+    pair is shuffled and common names are many tasks.
     """
-    direct = evidence.where("claim_id is not null").select(F.col("claim_id").alias("id"), "evidence_id", F.lit(True).alias("direct"), "fails")
-    sides = []
-    for of in ("hashes", "files"):
-        ours, theirs = claims.select("id", "project", F.explode(of).alias("named")), evidence.select("evidence_id", "project", "fails", F.explode(of).alias("named"))
-        sides.append(ours.join(theirs, ["project", "named"]).select("id", "evidence_id", F.lit(False).alias("direct"), "fails"))
-    return direct.unionByName(sides[0]).unionByName(sides[1]).groupBy("id", "evidence_id").agg(F.bool_or("direct").alias("direct"), F.bool_or("fails").alias("fails"))
+    names = lambda df: df.select("*", F.array_sort(F.array_distinct("hashes")).alias("h"), F.array_sort(F.array_distinct("files")).alias("f")).drop("hashes", "files")
+    key = lambda: F.struct("project", "h", "f")
+    ours, theirs = names(claims.select("id", "project", "hashes", "files")), names(evidence.select("evidence_id", "project", "claim_id", "fails", "hashes", "files"))
+    named = F.concat(F.transform("h", lambda x: F.struct(F.lit("h").alias("k"), x.alias("x"))), F.transform("f", lambda x: F.struct(F.lit("f").alias("k"), x.alias("x"))))
+    each = lambda df, name: df.select(key().alias(name)).distinct().select(name, f"{name}.*").select(name, "project", F.explode(named).alias("named"))
+    met = written(each(ours, "a").join(each(theirs, "b"), ["project", "named"]).select("a", "b").distinct(), "met")
+    part = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int")
+    parts = F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part")
+    pairs = ours.select("id", key().alias("a"), part.alias("part")).join(met.select("a", "b", parts), ["a", "part"]).select("id", "b", "part")
+    facts = theirs.select("evidence_id", "claim_id", "fails", key().alias("b"), parts)
+    pairs = pairs.join(facts, ["b", "part"]).select("id", "evidence_id", F.coalesce(F.col("id") == F.col("claim_id"), F.lit(False)).alias("direct"), "fails")
+    before = theirs.where("claim_id is not null").join(ours.select("id", key().alias("a")), F.col("claim_id") == F.col("id"), "left")
+    own = before.withColumn("b", key()).join(met, ["a", "b"], "left_anti")
+    return pairs.unionByName(own.select(F.col("claim_id").alias("id"), "evidence_id", F.lit(True).alias("direct"), "fails"))
 
 
 def audited(claims: DataFrame, evidence: DataFrame) -> DataFrame:
