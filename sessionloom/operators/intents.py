@@ -54,6 +54,8 @@ def candidates(timeline: DataFrame) -> DataFrame:
     Messages that the tool put in, runs of commit lines, metadata and printed output are left out. Checklist items are
     tasks. Replies and tools never give outcomes. An intent with neither context nor evidence must not read garbled.
     """
+    tasks = int(timeline.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    timeline = timeline.repartition(tasks, "source_seq")  # a small file is one task, and its lines are much work
     user = F.lower("role") == "user"
     kept = ("project", "agent", "session_id", "ts", "source_seq", "day", "frame_kind", "role")
     rows = linerules.message_lines(timeline.where(~linerules.is_injected(F.col("role"), F.col("message"))), *kept)
@@ -188,6 +190,7 @@ def contradictions(entries: DataFrame) -> DataFrame:
 def insights(candidates: DataFrame, most: int = 3) -> DataFrame:
     """Decisions with the first so many outcomes of their session."""
     w = Window.partitionBy("session_id").orderBy("ts", "source_seq")
+    candidates = written(candidates.where(F.col("kind").isin("decision", "outcome")).select("session_id", "source_seq", "ts", "kind"), "insights")  # lines are classified once
     firsts = candidates.where("kind = 'outcome'").withColumn("n", F.row_number().over(w)).where(F.col("n") <= most)
     return candidates.where("kind = 'decision'").select("session_id", F.col("source_seq").alias("decision_seq")).join(firsts.select("session_id", F.col("source_seq").alias("outcome_seq"), "n"), "session_id")
 
