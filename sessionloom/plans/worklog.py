@@ -9,6 +9,7 @@ from sessionloom.operators import chunker, claims, identity, intents, segments,
 from sessionloom.plans.directives import DIRECTIVES, LINES_SQL
 from sessionloom.plans.registry import query
 from sessionloom.plans.views import CHUNKS, TIMELINE, WORKLOG, chunks, timeline, worklog
+from sessionloom.sources.shared import written
 
 # SQL for DuckDB
 
@@ -165,20 +166,26 @@ fr AS (SELECT id, session_id, ts, CASE WHEN status = 'contradicted' AND high_ris
 
 
 def found_claims(spark, sf_dir):
+    """The worklog, its claims and its evidence; these are written, as what follows reads them many times."""
     rows = worklog(spark, sf_dir)
-    made = claims.claims(rows)
-    return rows, made, claims.evidence(rows, made)
+    made = written(claims.claims(rows), "claims")
+    return rows, made, written(claims.evidence(rows, made), "evidence")
 
 
 def found_results(spark, sf_dir):
     _, made, facts = found_claims(spark, sf_dir)
     files = spark.createDataFrame([("src/app.rs",)], "path string")
-    return made, claims.audited(made, facts).unionByName(claims.artifacts(made, files))
+    return made, written(claims.audited(made, facts).unionByName(claims.artifacts(made, files)), "results")
+
+
+def wanted_intents(spark, sf_dir):
+    """The intents of the worklog, written: their lines are classified once."""
+    return written(intents.candidates(worklog(spark, sf_dir)).where("kind = 'intent'").select("source_seq", "project", "session_id", "ts", "summary"), "intents")
 
 
 def found_fractures(spark, sf_dir):
     made, results = found_results(spark, sf_dir)
-    wanted = intents.candidates(worklog(spark, sf_dir)).where("kind = 'intent'").select("source_seq", "project", "session_id", "ts", "summary")
+    wanted = wanted_intents(spark, sf_dir)
     return claims.fractures(claims.verified(made, results), claims.orphans(wanted, made, results))
 
 
@@ -214,7 +221,7 @@ def i22_j06_verified(spark, sf_dir):
 @query(f"WITH {_CLAIMS} SELECT source_seq, sha256(summary) AS sha FROM orp")
 def j08_orphan_intents(spark, sf_dir):
     made, results = found_results(spark, sf_dir)
-    wanted = intents.candidates(worklog(spark, sf_dir)).where("kind = 'intent'").select("source_seq", "project", "summary")
+    wanted = wanted_intents(spark, sf_dir)
     return claims.orphans(wanted, made, results).select("source_seq", F.sha2("summary", 256).alias("sha"))
 
 
