@@ -1,6 +1,6 @@
 """A lexical index with positions, published as a version, and queries of words, phrases and boolean operators over it.
 
-``postings`` has a row for each term and chunk: how often, where, and the length of the chunk. They are partitioned by a
+``chunks`` has the ids of the chunks with words, ``postings`` has a row for each term and chunk: how often, where, and the length of the chunk. They are partitioned by a
 bucket of the term, and the rows of frequent terms are spread over several files of their bucket. ``terms`` has the
 document frequency of each term, ``totals`` the number and the mean length of the chunks. The manifest binds the index to
 the chunks that it was built from.
@@ -21,7 +21,7 @@ from sessionloom.sources.versions import Drift, Version
 
 #: Folders of terms.
 BUCKETS = 64
-GENERATION = 2
+GENERATION = 3
 
 
 def stemmed(term: Column) -> Column:
@@ -39,20 +39,29 @@ def build(chunks: DataFrame, root: str, stem: bool = False, facts: dict | None =
     A bucket, and so a term of very many chunks, is dealt over as many tasks as there are shuffle partitions for it.
     """
     spark = chunks.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    told = {"generation": GENERATION, "source": versions.stamp(chunks), "stem": stem} | (facts or {})
+    if chunks.rdd.getNumPartitions() < tasks:  # a small file is one task
+        chunks = chunks.select("chunk_id", "text").repartition(tasks, "chunk_id")
     words = terms_of(F.col("text"))
     words = F.transform(words, stemmed) if stem else words
     sized = chunks.select(F.col("chunk_id").alias("id"), words.alias("words")).withColumn("length", F.size("words"))
-    each = sized.select("id", "length", F.posexplode("words").alias("at", "term"))
-    postings = each.groupBy("id", "term").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("at")).alias("at"), F.first("length").alias("length"))
+    # the occurrences of a chunk's words are grouped within its row: its sorted words and places, cut where the word changes
+    placed = F.sort_array(F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("at"))))
+    firsts = F.filter(F.transform("placed", lambda x, i: F.when((i == 0) | (F.get("placed", i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
+    runs = sized.select("id", "length", placed.alias("placed")).select("*", firsts.alias("firsts"))
+    end = lambda k: F.coalesce(F.get("firsts", k + 1), F.size("placed"))
+    each = F.transform("firsts", lambda i, k: F.struct(F.get("placed", i)["term"].alias("term"), F.transform(F.slice("placed", i + 1, end(k) - i), lambda x: x["at"]).alias("at")))
+    postings = runs.select("id", "length", F.explode(each).alias("p")).select("id", "p.term", F.size("p.at").cast("long").alias("tf"), "p.at", "length")
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
     dealt = postings.withColumns({"bucket": bucket_of(F.col("term")), "part": F.pmod(F.xxhash64("id"), F.lit(parts))}).repartition("bucket", "part")
     dealt = dealt.sortWithinPartitions("bucket", "term", "id").drop("part")
     tables = {
         "postings": dealt,
         "terms": lambda done: done["postings"].groupBy("term").agg(F.count("*").alias("df")),
+        "chunks": sized.where("length > 0").select("id").distinct(),
         "totals": sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean")),
     }
-    told = {"generation": GENERATION, "source": versions.stamp(chunks), "stem": stem} | (facts or {})
     return versions.publish(spark, root, tables, told, {"postings": ["bucket"]})
 
 
@@ -209,7 +218,7 @@ def _ids(spark: SparkSession, index: Version, tree: Node) -> DataFrame:
             found = rows if found is None else found.join(rows.withColumnRenamed("starts", "more"), "id").select("id", F.array_intersect("starts", "more").alias("starts")).where(F.size("starts") > 0)
         return found.select("id")
     if tree.kind == "all":
-        return index.table(spark, "postings").select("id").distinct()
+        return index.table(spark, "chunks").select("id")
     if tree.kind == "or":
         found = [_ids(spark, index, p) for p in tree.parts]
         out = found[0] if found else spark.createDataFrame([], "id string")
