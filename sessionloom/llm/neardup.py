@@ -9,7 +9,9 @@ component, these are compared with all sets of the node, and the node is done. A
 its sets, of components drawn by hash, and branches, so that unlike sets part. Sets that resemble most of their node do
 not part by branching: where a share of DENSE resembles the pivots, the node is compared with further pivots as long as
 these halve what lies outside, and then what lies outside is compared with the whole node. A large group of near copies so
-falls together under its pivots. What is still large DEPTH levels down is compared exhaustively as well. However large a node is, its sets go to many tasks in parts of bounded size. Pairs that a
+falls together under its pivots. Dense nodes that share a set, which lie in several trees, are united first, so that the
+group is compared once and not in each of them; and where most sets of a node of a later tree have been compared in one
+node of the first, only the sets outside of that one are compared with the node. What is still large DEPTH levels down is compared exhaustively as well. However large a node is, its sets go to many tasks in parts of bounded size. Pairs that a
 node of the first tree has compared are not compared again in other trees.
 
 Comparing means: sizes within the threshold, one-bit sketches within MAX_BITS of each other, then the full shingle sets.
@@ -243,21 +245,36 @@ def _draw(turn: int, k: int, chosen: str) -> Column:
     return F.xxhash64(F.lit(turn), F.lit(k), "component", chosen)
 
 
-def _mixed_nodes(entries: DataFrame, turn: int) -> DataFrame:
-    """The nodes with more than one component: sizes, the largest component, pivots of components drawn for this turn."""
+def _with_blocks(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``block``, and with its sets and shingles in place of those of the largest component."""
+    large = nodes.where(F.col("members") - F.col("most") > SMALL).select("node")
+    per = entries.select("node", "n", F.explode("seen").alias("_block")).join(narrow_side(large), "node").groupBy("node", "_block").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    best = written(per.groupBy("node").agg(F.max(F.struct("c", "_block", "s")).alias("best")), "neardup-blocks")
+    better = F.coalesce(F.col("best.c") > F.col("most"), F.lit(False))
+    use = {"block": F.when(better, F.col("best._block")), "most": F.when(better, F.col("best.c")).otherwise(F.col("most")), "of_largest": F.when(better, F.col("best.s")).otherwise(F.col("of_largest"))}
+    return nodes.join(narrow_side(best), "node", "left").withColumns(use).drop("best")
+
+
+def _mixed_nodes(entries: DataFrame, turn: int, blocks: bool) -> DataFrame:
+    """The nodes with more than one component: sizes, the largest component, pivots of components drawn for this turn.
+
+    ``block`` is a node of an earlier tree which has compared more of these sets than the largest component holds. With
+    ``blocks`` it is looked for in nodes that are large without it.
+    """
     per = entries.groupBy("node", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"), F.min(F.xxhash64("id", "mark")).alias("set"), F.min("depth").alias("depth"), F.min("was").alias("was"))
     drawn = [F.min(_draw(turn, k, "set")).alias(f"pivot{k}") for k in range(PIVOTS)]
     nodes = per.groupBy("node").agg(
         F.count("*").alias("components"), F.sum("c").alias("members"), F.sum("s").alias("shingles"), F.max("c").alias("most"), F.max_by("component", "c").alias("largest"), F.max_by("s", "c").alias("of_largest"),
         F.min("depth").alias("depth"), F.min("was").alias("was"), *drawn,
     )
-    nodes = nodes.where("components > 1")
+    nodes = nodes.where("components > 1").withColumn("block", F.lit(None).cast("long"))
+    nodes = _with_blocks(entries, written(nodes, "neardup-mixed")) if blocks else nodes
     rest = F.col("members") - F.col("most")
     done = (rest <= SMALL) | (F.col("depth") >= DEPTH) | F.coalesce(2 * rest > F.col("was"), F.lit(False))
     mode = F.when(done, "all").otherwise("pivots")
     parts = F.greatest(F.ceil(F.col("members") / PART_SETS), F.ceil(F.col("shingles") / PART_SHINGLES), F.lit(1))
     chunks = F.when(done, F.greatest(F.ceil(rest / PART_SETS), F.ceil((F.col("shingles") - F.col("of_largest")) / PART_SHINGLES), F.lit(1))).otherwise(1)
-    return nodes.select("node", "members", "depth", rest.alias("rest"), mode.alias("mode"), "largest", F.array(*(f"pivot{k}" for k in range(PIVOTS))).alias("pivots"), parts.cast("int").alias("parts"), chunks.cast("int").alias("chunks"))
+    return nodes.select("node", "members", "depth", rest.alias("rest"), mode.alias("mode"), "largest", "block", F.array(*(f"pivot{k}" for k in range(PIVOTS))).alias("pivots"), parts.cast("int").alias("parts"), chunks.cast("int").alias("chunks"))
 
 
 def _of_nodes(entries: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -272,11 +289,12 @@ def _placed(entries: DataFrame, turn: int) -> DataFrame:
     """Each entry once for each group that it takes part in.
 
     A group is a part of a node with all its short sets, or with a chunk of them where these are many. Short are the
-    pivots, or the sets outside the largest component.
+    pivots, or the sets outside the largest component or outside the block.
     """
     entries = entries.withColumn("set", F.xxhash64("id", "mark"))
     pivot = F.arrays_overlap("pivots", F.array(*(_draw(turn, k, "set") for k in range(PIVOTS))))
-    short = F.when(F.col("mode") == "all", F.col("component") != F.col("largest")).otherwise(pivot)
+    outside = F.when(F.col("block").isNull(), F.col("component") != F.col("largest")).otherwise(~F.coalesce(F.array_contains("seen", F.col("block")), F.lit(False)))
+    short = F.when(F.col("mode") == "all", outside).otherwise(pivot)
     part = F.pmod(F.xxhash64("id", "mark"), F.col("parts")).cast("int")
     chunk = F.pmod(F.xxhash64("mark", "id"), F.col("chunks")).cast("int")
     place = lambda c, p, s: F.struct(c.alias("chunk"), p.alias("part"), s.alias("short"))
@@ -287,6 +305,22 @@ def _placed(entries: DataFrame, turn: int) -> DataFrame:
     return entries.select("node", *FIELDS, "component", F.explode(places).alias("at")).select("*", "at.*").drop("at")
 
 
+def _united(dense: DataFrame) -> DataFrame:
+    """(node, depth, was, FIELDS): these entries, nodes that share a set as one.
+
+    A node goes by its set that lies in most of these nodes, of such by the one with the least hash. A set lies in one
+    node for each branch of each tree, so no more are united. What was outside the largest of them counts for all.
+    """
+    hub = written(dense.groupBy("id", "mark").agg(F.count("*").alias("shared")).where("shared > 1"), "neardup-hubs")
+    own = dense.select("node", "id", "mark").join(narrow_side(hub), ["id", "mark"])
+    named = own.groupBy("node").agg(F.max(F.struct("shared", F.xxhash64(F.lit("hub"), "id", "mark").alias("hub"))).alias("h"))
+    named = narrow_side(written(named.select("node", F.col("h.hub").alias("hub")), "neardup-united"))
+    moved = dense.join(named, "node", "left").withColumn("node", F.coalesce("hub", "node"))
+    per = moved.groupBy("node").agg(F.min("depth").alias("depth"), F.max("rest").alias("was"))
+    one = moved.drop("depth", "rest").dropDuplicates(["node", "id", "mark"])
+    return one.join(narrow_side(written(per, "neardup-was")), "node").select("node", "depth", "was", *FIELDS)
+
+
 def _node_links(docs: DataFrame, entries: DataFrame, turn: int, repeats: bool) -> tuple[DataFrame, DataFrame]:
     """(a, b), links that join the components of these nodes as far as their short sets reach; (node, near), how many
     of a node's sets may be linked to a short set. ``repeats`` tells that rows of ``docs`` are repeated.
@@ -311,7 +345,7 @@ def _join_trees(docs: DataFrame, reps: DataFrame, edges: DataFrame | None, first
     seen, labels = None, None if edges is None else near_labels(edges)
     for turn in itertools.count():
         entries = _labelled(entries, labels)
-        nodes = written(_mixed_nodes(entries, turn), "neardup-nodes")
+        nodes = written(_mixed_nodes(entries, turn, first > 0), "neardup-nodes")
         finished, large = nodes.agg(F.count_if(F.col("mode") == "all"), F.count_if(F.col("mode") == "pivots")).first()
         if not finished + large:
             return edges, seen
@@ -328,7 +362,7 @@ def _join_trees(docs: DataFrame, reps: DataFrame, edges: DataFrame | None, first
         dense = F.coalesce("near", F.lit(0)) + F.col("members") - F.col("rest") >= DENSE * F.col("members")
         large = narrow_side(written(large.select("node", dense.alias("dense")), "neardup-large"))
         more = entries.where("mode = 'pivots'").join(large, "node")
-        again = more.where("dense").select("node", "depth", F.col("rest").alias("was"), *FIELDS)
+        again = _united(written(more.where("dense").select("node", "depth", "rest", *FIELDS), "neardup-dense"))
         below = more.where("not dense").select("node", (F.col("depth") + 1).alias("depth"), *FIELDS)
         below = reps.select("id", "mark", "mins").join(narrow_side(below), ["id", "mark"]).mapInArrow(_branch, f"node long, depth int, {ENTRY}")
         entries = written(again.unionByName(below.withColumn("was", F.lit(None).cast("long"))), "neardup-below")

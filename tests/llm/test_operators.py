@@ -292,6 +292,26 @@ def test_a_group_yields_fewer_links_than_members(spark):
     assert 0 < first.count() <= 2 * (len(texts) - 1)  # the first tree has two nodes, and they need no more parts
 
 
+def test_a_dense_group_is_compared_once(spark, monkeypatch):
+    """Copies that resemble many of their group but are linked to few meet in a few nodes, not in those of all trees."""
+    rng = random.Random(3)
+    base = " ".join(f"w{i}" for i in range(200))
+    texts = [edited(base, rng.randint(3, 12), rng) for _ in range(200)]
+    monkeypatch.setattr(neardup, "SMALL", 20)
+    monkeypatch.setattr(neardup, "HOT", 50)
+    kept, write = [], neardup.written
+
+    def watched(df, name):
+        found = write(df, name)
+        kept.extend([found] if name == "neardup-kept" else [])
+        return found
+
+    monkeypatch.setattr(neardup, "written", watched)
+    got = sorted(neardup.near_duplicates(frame(spark, texts)).collect(), key=lambda r: r["doc_id"])
+    assert [(r["n_shingles"], r["component_id"]) for r in got] == near_brute(texts)
+    assert sum(k.count() for k in kept) <= 12 * len(texts)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r["id"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
