@@ -16,6 +16,12 @@ def held_out(modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(False))
 
 
+def all_labels(labels: DataFrame, label: str, modulus: int, remainder: int) -> DataFrame:
+    """(_doc, _label): the greatest label of each document that is not held out. Null ids and null labels are left out."""
+    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(modulus, remainder))
+    return usable.groupBy(F.col("doc_id").alias("_doc")).agg(F.max(label).cast("int").alias("_label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, remainder: int, rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, label) of at most ``rows`` labelled documents that are not held out, one row a doc_id.
 
@@ -24,8 +30,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     null labels are left out. Only the bounded list of sampled ids is broadcast; the sample is written, so further passes
     over it do not read the documents again.
     """
-    usable = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(modulus, remainder))
-    usable = usable.groupBy(F.col("doc_id").alias("_doc")).agg(F.max(label).cast("int").alias("_label"))
+    usable = all_labels(labels, label, modulus, remainder)
     there = docs.select(F.col("doc_id").alias("_id")).join(usable, F.col("_id") == F.col("_doc")).groupBy("_doc").agg(F.max("_label").alias("_label"))
     picked = there.orderBy(F.xxhash64("_doc"), "_doc").limit(rows)
     texts = docs.select(F.col("doc_id").alias("_id"), F.col("text").alias("_text"))
