@@ -1,68 +1,147 @@
 """A lexical index with positions, published as a version, and queries of words, phrases and boolean operators over it.
 
-``chunks`` has the ids of the chunks with words, ``postings`` has a row for each term and chunk: how often, where, and the length of the chunk. They are partitioned by a
-bucket of the term, and the rows of frequent terms are spread over several files of their bucket. ``terms`` has the
-document frequency of each term, ``totals`` the number and the mean length of the chunks. The manifest binds the index to
-the chunks that it was built from.
+``postings`` has a row for each term and chunk: how often, where, and the length of the chunk. It is made of runs, each the
+inverted texts of some chunks in the order of their terms, so that the statistics of pages lead to the rows of a term in
+each run and no posting is shuffled; the first row of a term in a run also has how many there are. ``chunks`` has the ids of
+the chunks with words, ``terms`` the document frequency of each term, ``totals`` the number and the mean length of the
+chunks. The manifest binds the index to the chunks that it was built from.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sessionloom.operators.retrieval import bm25_part, terms_of
+from sessionloom.operators.retrieval import bm25_part
 from sessionloom.sources import versions
 from sessionloom.sources.shared import shared_dir
 from sessionloom.sources.versions import Drift, Version
 
-#: Folders of terms.
-BUCKETS = 64
-GENERATION = 3
+#: Bytes of texts that a run inverts, about; a longer text is a run of its own.
+RUN_BYTES = 1 << 24
+#: Rows of a run that are handed to Spark at once.
+RUN_ROWS = 1 << 15
+#: Words hardly repeat in a run, so a dictionary of them is of no use; short pages leave little beside a term to read.
+PAGES = {"parquet.enable.dictionary#term": "false", "parquet.page.row.count.limit": "4096"}
+GENERATION = 4
+#: Bytes of words besides the two-byte letters à to ÿ without ÷, and the most bytes of a word.
+_PLAIN = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8))
+WORD_BYTES = 40
 
 
-def stemmed(term: Column) -> Column:
-    """A light stem: a plural s and the endings ing and ed go where three letters and more are left."""
-    return F.regexp_replace(F.regexp_replace(term, r"^(.{3,}[^s])s$", "$1"), r"^(.{3,})(?:ing|ed)$", "$1")
+#: A light stem: a plural s and the endings ing and ed go where three letters and more are left.
+STEM = ((r"^(.{3,}[^s])s$", r"\1"), (r"^(.{3,})(?:ing|ed)$", r"\1"))
 
 
-def bucket_of(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+def stemmed(term: Column) -> Column:
+    """The light stem of a term."""
+    for pattern, kept in STEM:
+        term = F.regexp_replace(term, pattern, kept.replace("\\", "$"))
+    return term
+
+
+def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column of strings, and where each string begins and the last ends."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int64 if pa.types.is_large_string(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows, cut where the texts of a piece would be longer than ``RUN_BYTES``."""
+    held, size = [], 0
+    for batch in batches:
+        ends, at = _texts(batch.column("text"))[1], 0
+        while at < len(batch):
+            upto = int(np.searchsorted(ends, ends[at] + RUN_BYTES - size, side="right")) - 1
+            if upto > at or not held:
+                upto = max(upto, at + 1)
+                held.append(batch.slice(at, upto - at))
+                size += int(ends[upto] - ends[at])
+                at = upto
+            if at < len(batch) or size >= RUN_BYTES:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def words_in(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of lower-cased texts, each text with a blank at its end, one after the other, and how many each text has."""
+    data, ends = _texts(column)
+    inside = np.zeros(len(data) + 1, bool)
+    inside[1:] = _PLAIN[data]
+    second = np.flatnonzero(data == 0xC3) + 1
+    second = second[(data[second] >= 0xA0) & (data[second] != 0xB7)]
+    inside[second] = inside[second + 1] = True
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    words = pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(data[inside[1:]]))
+    if (sizes > WORD_BYTES).any():
+        words, starts = words.filter(pa.array(sizes <= WORD_BYTES)), starts[sizes <= WORD_BYTES]
+    return words, np.diff(np.searchsorted(starts, ends))
+
+
+def _inverted(stem: bool):
+    """Of chunks (id, text) the postings (id, term, tf, at, length, in_run), sorted by term within each run."""
+
+    def invert(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in _pieces(batches):
+            words, lengths = words_in(piece.column("text"))
+            if not len(words):
+                continue
+            coded = words.dictionary_encode()
+            terms = coded.dictionary
+            if stem:
+                for pattern, kept in STEM:
+                    terms = pc.replace_substring_regex(terms, pattern, kept)
+            sorted_terms = pc.unique(terms).sort()
+            rank = pc.index_in(terms, sorted_terms).to_numpy()
+            # the words by term, within a term as they come
+            keys = (rank[coded.indices.to_numpy()].astype(np.int64) << 32) | np.arange(len(words))
+            keys.sort()
+            term, word = keys >> 32, keys & 0xFFFFFFFF
+            chunk = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[word]
+            at = word - np.repeat(np.cumsum(lengths) - lengths, lengths)[word]
+            first = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (chunk[1:] != chunk[:-1])]))
+            bounds = np.append(first, len(words)).astype(np.int32)
+            where, heads = chunk[first], np.flatnonzero(np.diff(term[first], prepend=-1))
+            in_run = np.zeros(len(first), np.int32)
+            in_run[heads] = np.diff(heads, append=len(first))
+            columns = {"id": piece.column("id").take(pa.array(where)), "term": sorted_terms.take(pa.array(term[first])), "tf": np.diff(bounds).astype(np.int64)}
+            columns |= {"at": pa.ListArray.from_arrays(pa.array(bounds), pa.array(at.astype(np.int32))), "length": lengths[where].astype(np.int32), "in_run": pa.array(in_run, mask=in_run == 0)}
+            yield from pa.table(columns).to_batches(max_chunksize=RUN_ROWS)
+
+    return invert
 
 
 def build(chunks: DataFrame, root: str, stem: bool = False, facts: dict | None = None) -> Version:
     """Indexes chunk_id and text of ``chunks`` as the next version below ``root``.
 
-    A bucket, and so a term of very many chunks, is dealt over as many tasks as there are shuffle partitions for it.
+    The chunks are dealt over as many tasks as there are shuffle partitions, and each inverts its own in runs of bounded size.
     """
     spark = chunks.sparkSession
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     told = {"generation": GENERATION, "source": versions.stamp(chunks), "stem": stem} | (facts or {})
-    if chunks.rdd.getNumPartitions() < tasks:  # a small file is one task
-        chunks = chunks.select("chunk_id", "text").repartition(tasks, "chunk_id")
-    words = terms_of(F.col("text"))
-    words = F.transform(words, stemmed) if stem else words
-    sized = chunks.select(F.col("chunk_id").alias("id"), words.alias("words")).withColumn("length", F.size("words"))
-    # the occurrences of a chunk's words are grouped within its row: its sorted words and places, cut where the word changes
-    placed = F.sort_array(F.transform("words", lambda w, i: F.struct(w.alias("term"), i.alias("at"))))
-    firsts = F.filter(F.transform("placed", lambda x, i: F.when((i == 0) | (F.get("placed", i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
-    runs = sized.select("id", "length", placed.alias("placed")).select("*", firsts.alias("firsts"))
-    end = lambda k: F.coalesce(F.get("firsts", k + 1), F.size("placed"))
-    each = F.transform("firsts", lambda i, k: F.struct(F.get("placed", i)["term"].alias("term"), F.transform(F.slice("placed", i + 1, end(k) - i), lambda x: x["at"]).alias("at")))
-    postings = runs.select("id", "length", F.explode(each).alias("p")).select("id", "p.term", F.size("p.at").cast("long").alias("tf"), "p.at", "length")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // BUCKETS)
-    dealt = postings.withColumns({"bucket": bucket_of(F.col("term")), "part": F.pmod(F.xxhash64("id"), F.lit(parts))}).repartition("bucket", "part")
-    dealt = dealt.sortWithinPartitions("bucket", "term", "id").drop("part")
+    texts = chunks.select(F.col("chunk_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    lowered = texts.repartition(tasks, "id").select("id", F.concat(F.lower("text"), F.lit(" ")).alias("text"))  # a file's rows may be one task
+    kind = chunks.schema["chunk_id"].dataType.simpleString()
+    count = texts.agg(F.count("*").alias("n"))
     tables = {
-        "postings": dealt,
-        "terms": lambda done: done["postings"].groupBy("term").agg(F.count("*").alias("df")),
-        "chunks": sized.where("length > 0").select("id").distinct(),
-        "totals": sized.agg(F.count("*").alias("n"), F.avg("length").alias("mean")),
+        "postings": lowered.mapInArrow(_inverted(stem), f"id {kind}, term string, tf long, at array<int>, length int, in_run int"),
+        "terms": lambda done: done["postings"].where("in_run is not null").groupBy("term").agg(F.sum("in_run").alias("df")),
+        "chunks": lambda done: done["postings"].where(F.get("at", F.lit(0)) == 0).groupBy("id").agg(F.sum("length").alias("length")),  # a chunk's first word
+        "totals": lambda done: count.crossJoin(done["chunks"].agg(F.sum("length").alias("words"))).select("n", F.try_divide(F.coalesce("words", F.lit(0)), "n").alias("mean")),  # one row each
     }
-    return versions.publish(spark, root, tables, told, {"postings": ["bucket"]})
+    return versions.publish(spark, root, tables, told, options={"postings": PAGES})
 
 
 def checked(spark: SparkSession, root: str, chunks: DataFrame | None = None, **facts) -> Version:
@@ -94,9 +173,8 @@ def kept_index(spark: SparkSession, name: str, chunks: DataFrame) -> Version:
 
 
 def postings_of(spark: SparkSession, index: Version, terms: list[str]) -> DataFrame:
-    """The postings of these terms; only the folders of their buckets are read, and in them the row groups of the terms."""
-    buckets = sorted({r[0] for r in spark.createDataFrame([(t,) for t in terms], "t string").select(bucket_of(F.col("t"))).collect()})
-    return index.table(spark, "postings").where(F.col("bucket").isin(buckets) & F.col("term").isin(list(terms)))
+    """The postings of these terms; of each run only the pages of the terms are read."""
+    return index.table(spark, "postings").where(F.col("term").isin(list(terms)))
 
 
 def frequencies(spark: SparkSession, index: Version, terms: list[str]) -> DataFrame:

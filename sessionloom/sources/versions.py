@@ -62,10 +62,10 @@ def numbers(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(x.getPath().getName()[9:-5]) for x in found or [])
 
 
-def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame | Callable], facts: dict | None = None, partition_by: dict[str, list[str]] | None = None) -> Version:
+def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame | Callable], facts: dict | None = None, partition_by: dict[str, list[str]] | None = None, options: dict[str, dict[str, str]] | None = None) -> Version:
     """Writes the tables into a new folder, counts what was written, and then the manifest; the next number is taken.
 
-    A table may be a function of those written before it, which gets them by name.
+    A table may be a function of those written before it, which gets them by name. ``options`` are the writer's, by table.
     """
     root = root.rstrip("/")
     number, folder = max(numbers(spark, root), default=0) + 1, f"v-{uuid.uuid4().hex}"
@@ -73,7 +73,7 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame | Callab
     for name, df in tables.items():
         where = f"{root}/{folder}/{name}"
         df = df if isinstance(df, DataFrame) else df(done)
-        df.write.option("compression", "zstd").partitionBy(*(partition_by or {}).get(name, [])).parquet(where)
+        df.write.option("compression", "zstd").options(**(options or {}).get(name, {})).partitionBy(*(partition_by or {}).get(name, [])).parquet(where)
         done[name] = spark.read.schema(df.schema).parquet(where)
         told[name] = {"rows": done[name].count(), "schema": json.loads(df.schema.json())}
     version = Version(root, number, folder, told, facts or {})
