@@ -285,42 +285,57 @@ def leaves(tree: Node) -> list[str]:
     return sorted({*tree.words, *(w for p in tree.parts for w in leaves(p))})
 
 
-def _ids(spark: SparkSession, index: Version, tree: Node) -> DataFrame:
-    """The ids that a tree matches, by joins of its parts."""
+def _holds(tree: Node, count, places) -> Column:
+    """Whether a chunk matches; ``count`` and ``places`` give the postings of a word there and where it stands."""
     if tree.kind == "term":
-        return postings_of(spark, index, list(tree.words)).select("id")
+        return count(tree.words[0]) > 0
     if tree.kind == "phrase":
-        found = None
-        for offset, word in enumerate(tree.words):  # the places where the phrase would begin
-            rows = postings_of(spark, index, [word]).select("id", F.expr(f"transform(at, p -> p - {offset})").alias("starts"))
-            found = rows if found is None else found.join(rows.withColumnRenamed("starts", "more"), "id").select("id", F.array_intersect("starts", "more").alias("starts")).where(F.size("starts") > 0)
-        return found.select("id")
-    if tree.kind == "all":
-        return index.table(spark, "chunks").select("id")
-    if tree.kind == "or":
-        found = [_ids(spark, index, p) for p in tree.parts]
-        out = found[0] if found else spark.createDataFrame([], "id string")
-        for more in found[1:]:
-            out = out.unionByName(more)
-        return out.distinct()
-    kept = [p for p in tree.parts if p.kind != "not"] or [Node("all")]
-    out = _ids(spark, index, kept[0])
-    for p in kept[1:]:
-        out = out.join(_ids(spark, index, p), "id", "left_semi")
-    for p in tree.parts:
-        if p.kind == "not":
-            out = out.join(_ids(spark, index, p.parts[0]), "id", "left_anti")
-    return out
+        starts = places(tree.words[0])  # the places where the phrase would begin
+        for offset, word in enumerate(tree.words[1:], 1):
+            starts = F.array_intersect(starts, F.transform(places(word), lambda p: p - offset))  # noqa: B023  called at once
+        return F.size(starts) > 0
+    parts = [_holds(p, count, places) for p in tree.parts]
+    if tree.kind == "not":
+        return ~parts[0]
+    joined = F.lit(tree.kind != "or")
+    for part in parts:
+        joined = joined | part if tree.kind == "or" else joined & part
+    return joined
+
+
+def _needs_none(tree: Node) -> bool:
+    """Whether a chunk without any word of the tree matches."""
+    if tree.kind in ("term", "phrase"):
+        return False
+    parts = [_needs_none(p) for p in tree.parts]
+    return {"not": lambda: not parts[0], "or": lambda: any(parts)}.get(tree.kind, lambda: all(parts))()
+
+
+def matching_each(spark: SparkSession, index: Version, trees: dict[str, Node]) -> DataFrame:
+    """(query, id, score): the chunks that each query matches, by BM25 over its words with the index's frequencies.
+
+    The postings of all words are read once and meet in one row a chunk, where a query is a condition.
+    """
+    nodes = [n for t in trees.values() for n in _nodes(t)]
+    words, in_phrases = sorted({w for n in nodes for w in n.words}), {w for n in nodes if n.kind == "phrase" for w in n.words}
+    name = {w: str(i) for i, w in enumerate(words)}
+    rows = postings_of(spark, index, words).join(F.broadcast(frequencies(spark, index, words)), "term").crossJoin(F.broadcast(totals(spark, index)))  # a row a word; one row
+    of = lambda w, x: F.when(F.col("term") == w, F.col(x))
+    found = [f(w).alias(k + name[w]) for w in words for k, f in (("n", lambda w: F.count(of(w, "term"))), ("score", lambda w: F.sum(of(w, "part"))))]
+    found += [F.flatten(F.collect_list(of(w, "at"))).alias("at" + name[w]) for w in words if w in in_phrases]
+    chunks = rows.select("id", "term", "at", bm25_part().alias("part")).groupBy("id").agg(F.count("*").alias("postings"), *found)
+    if any(map(_needs_none, trees.values())):
+        chunks = index.table(spark, "chunks").select("id").join(chunks, "id", "left")
+    count = lambda w: F.coalesce("n" + name[w], F.lit(0))
+    places = lambda w: F.coalesce("at" + name[w], F.array().cast("array<int>"))
+    score = lambda tree: F.round(sum((F.coalesce("score" + name[w], F.lit(0.0)) for w in leaves(tree)), F.lit(0.0)), 6)
+    hits = [F.when(_holds(t, count, places), F.struct(F.lit(q).alias("query"), score(t).alias("score"))) for q, t in trees.items()]
+    return chunks.select("id", F.explode(F.array_compact(F.array(*hits))).alias("hit")).select("hit.query", "id", "hit.score")
 
 
 def matching(spark: SparkSession, index: Version, tree: Node) -> DataFrame:
-    """(id, score): the chunks that a query matches, by BM25 over its words with the index's frequencies."""
-    terms = leaves(tree)
-    ids = _ids(spark, index, tree)
-    if not terms:
-        return ids.select("id", F.lit(0.0).alias("score"))
-    rows = postings_of(spark, index, terms).join(F.broadcast(frequencies(spark, index, terms)), "term").crossJoin(F.broadcast(totals(spark, index)))  # a row a term; one row
-    return rows.join(ids, "id", "left_semi").groupBy("id").agg(F.round(F.sum(bm25_part()), 6).alias("score"))
+    """(id, score): the chunks that a query matches."""
+    return matching_each(spark, index, {"": tree}).select("id", "score")
 
 
 def search(spark: SparkSession, index: Version, query: str, limit: int = 10) -> DataFrame:
